@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.tokens import WORD_CHARS, words
 from citeloom.operators.postings import RECORD_KEY
 from citeloom.operators.search import DEFAULT_LIMIT
+from citeloom.session import salted_join, stored
 
 ATOM = ["field", "word", "is_prefix"]
 
@@ -47,7 +48,13 @@ def batch_search(
     clauses: DataFrame, postings: DataFrame, vocabulary: DataFrame, limit: int = DEFAULT_LIMIT,
     salts: int = 16,
 ) -> DataFrame:
-    """Top records per query: query_id, rank, _id, year."""
+    """Top records per query: query_id, rank, _id, year.
+
+    Intermediate tables are written to the shared folder. That fixes the atom numbers,
+    computes the word join once for its two uses, and lets the joins measure their
+    smaller side: a small batch is broadcast and the postings are never shuffled, a
+    large one meets them on (term, salt).
+    """
     asked = clauses.select(
         "query_id", F.coalesce(F.lower("field"), F.lit("")).alias("field"),
         F.col("term").alias("word"), "is_prefix",
@@ -60,46 +67,48 @@ def batch_search(
     rep_atoms = unique.select(
         "rep", F.size("signature").alias("n_atoms"), F.inline("signature").alias(*ATOM)
     )
-    atoms = rep_atoms.select(*ATOM).distinct()
+    numbered = rep_atoms.select(*ATOM).distinct().withColumn(
+        "atom", F.monotonically_increasing_id()
+    )
+    atoms = stored(numbered, "atoms")
 
     exact = atoms.filter(~F.col("is_prefix")).join(
         vocabulary.select(F.col("term").alias("word"), "term", "n_records"), "word"
     )
     prefixes = atoms.filter(F.col("is_prefix"))
     opened = prefixes.join(expand_prefixes(prefixes, vocabulary), "word")
-    atom_terms = exact.unionByName(opened)
-
+    fits = exact.unionByName(opened).select("atom", "field", "term", "n_records")
+    atom_terms = stored(fits, "atom_terms")
     # An atom without any word has no row here and so can never be satisfied.
-    weights = atom_terms.groupBy(*ATOM).agg(F.sum("n_records").alias("weight"))
+    weights = atom_terms.groupBy("atom").agg(F.sum("n_records").alias("weight"))
 
-    salt_values = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    salted_rows = postings.select(
-        "term", F.lower("col").alias("col"), *RECORD_KEY,
-        F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    atom_records = (
-        salted_rows.join(atom_terms.select(*ATOM, "term", salt_values), ["term", "salt"])
+    rows = postings.select("term", F.lower("col").alias("col"), *RECORD_KEY)
+    met = (
+        salted_join(rows, atom_terms.select("atom", "field", "term"), ["term"], "ord", salts)
         .filter((F.col("field") == "") | (F.col("field") == F.col("col")))
-        .select(*ATOM, "salt", *RECORD_KEY)
+        .select("atom", *RECORD_KEY)
         .distinct()
     )
+    atom_records = stored(met, "atom_records")
 
-    lead = F.min(F.struct("weight", *ATOM)).alias("lead")
     leads = (
-        rep_atoms.join(weights, ATOM)
+        rep_atoms.join(atoms, ATOM)
+        .join(weights, "atom")
         .groupBy("rep", "n_atoms")
-        .agg(lead, F.count("*").alias("found"))
-        .filter(F.col("found") == F.col("n_atoms"))
-        .join(unique, "rep")
-        .select("rep", "signature", *[F.col(f"lead.{a}").alias(a) for a in ATOM], salt_values)
+        .agg(
+            F.min(F.struct("weight", "atom"))["atom"].alias("atom"),
+            F.collect_list("atom").alias("atoms"),
+        )
+        .filter(F.size("atoms") == F.col("n_atoms"))
+        .select("rep", "atom", "atoms")
     )
-    # Candidates carry their query's clauses along, so no join on the query follows.
-    candidates = leads.join(atom_records, [*ATOM, "salt"]).select("rep", "signature", *RECORD_KEY)
+    # Candidates carry their query's atoms along, so no join on the query follows.
+    candidates = salted_join(atom_records, stored(leads, "leads"), ["atom"], "ord", salts)
     checks = candidates.select(
-        "rep", F.size("signature").alias("n_atoms"), *RECORD_KEY, F.inline("signature").alias(*ATOM)
+        "rep", F.size("atoms").alias("n_atoms"), *RECORD_KEY, F.explode("atoms").alias("atom")
     )
     matched = (
-        checks.join(atom_records.select(*ATOM, "_id"), [*ATOM, "_id"], "left_semi")
+        checks.join(atom_records.select("atom", "ord"), ["atom", "ord"], "left_semi")
         .groupBy("rep", "n_atoms", *RECORD_KEY)
         .count()
         .filter(F.col("count") == F.col("n_atoms"))

@@ -18,6 +18,13 @@ from citeloom.operators.normalize import RECORD_COLUMNS
 
 _WORD = f"[{WORD_CHARS}]"
 _GAP = f"[^{WORD_CHARS}]"
+_WORD_END = f"(?!{_WORD})"
+
+
+def _starting(word: str) -> str:
+    """A literal that begins at a word start."""
+    return f"{word}(?<!{_WORD}{word})"
+
 
 DEFAULT_DISTANCE = 10  # fixed value: words allowed between two near operands
 
@@ -64,15 +71,16 @@ class Phrase(Clause):
         if self.field is not None:
             object.__setattr__(self, "field", _column_name(self.field))
 
-    @property
-    def pattern(self) -> str:
-        tail = f"{_WORD}*" if self.prefix else ""
-        return f"{_GAP}++".join(self.words) + tail + f"(?!{_WORD})"
-
     def regex(self) -> str:
-        """Only ASCII letters match either case: no Unicode folding flag is set."""
-        last = "" if self.prefix else f"(?!{_WORD})"
-        return f"(?i)(?<!{_WORD})" + f"{_GAP}++".join(self.words) + last
+        """Pattern of the phrase; ``(?i)`` without a Unicode flag folds ASCII letters only.
+
+        The first word stands before the check of what precedes it: a pattern that
+        starts with a literal is scanned several times faster than one that starts
+        with a look-behind.
+        """
+        first, rest = self.words[0], self.words[1:]
+        end = "" if self.prefix else _WORD_END
+        return f"(?i){_starting(first)}" + "".join(f"{_GAP}++{w}" for w in rest) + end
 
 
 def Term(word: str, field: str | None = None, prefix: bool = False) -> Phrase:
@@ -100,8 +108,13 @@ class Near(Clause):
 
     def regex(self) -> str:
         between = f"{_GAP}++(?:{_WORD}++{_GAP}++){{0,{self.distance}}}?"
-        a, b = self.left.pattern, self.right.pattern
-        return f"(?i)(?<!{_WORD})(?:{a}{between}{b}|{b}{between}{a})"
+
+        def ordered(a: Phrase, b: Phrase) -> str:
+            a_tail = f"{_WORD}*+" if a.prefix else _WORD_END
+            b_end = "" if b.prefix else _WORD_END
+            return f"{_starting(a.words[0])}{a_tail}{between}{b.words[0]}{b_end}"
+
+        return f"(?i)(?:{ordered(self.left, self.right)}|{ordered(self.right, self.left)})"
 
 
 class _Group(Clause):

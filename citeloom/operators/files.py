@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import record as R
+from citeloom.session import by_rows, stored
+
+NAMES_PER_TASK = 20_000
 
 
 def wanted_files(library: DataFrame) -> DataFrame:
@@ -42,35 +45,31 @@ def list_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def _cut(text: Column, sizes: Column) -> Column:
-    """Distinct pieces of the given sizes at every position of a text."""
-
-    def of_size(size: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
-        return F.transform(starts, lambda at: F.substr(text, at, size))
-
-    fitting = F.filter(sizes, lambda size: size <= F.char_length(text))
-    return F.array_distinct(F.flatten(F.transform(fitting, of_size)))
-
-
 def resolve_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
-    """(lead, title, path) for distinct patterns; ``names`` is one path per base name."""
+    """(lead, title, path) for distinct patterns; ``names`` is a stored table of one path
+    per base name, cut by row count because each name yields some hundred pieces."""
     # Sizes per first literal: at most one per title length, which the pattern bounds.
     leads = patterns.groupBy("lead").agg(
         F.collect_set(F.char_length("title")).alias("title_sizes")
     )
     lead_sizes = leads.agg(F.collect_set(F.char_length("lead"))).scalar()
-    headed = names.withColumn("lead_sizes", lead_sizes).select(
+    tasks = by_rows(names, "basename", NAMES_PER_TASK)
+    headed = tasks.withColumn("lead_sizes", lead_sizes).select(
         "path", "basename",
         F.explode(
             F.filter("lead_sizes", lambda n: n <= F.char_length("basename"))
         ).alias("n"),
     )
     starting = headed.withColumn("lead", F.expr("left(basename, n)")).join(leads, "lead")
-    rest = starting.select(
-        "path", "lead", "title_sizes", F.expr("substr(basename, n + 1)").alias("rest")
-    )
-    pieces = rest.select("path", "lead", F.explode(_cut(F.col("rest"), F.col("title_sizes"))).alias("title"))
+    sized = starting.select(
+        "path", "lead", F.expr("substr(basename, n + 1)").alias("rest"),
+        F.explode("title_sizes").alias("size"),
+    ).filter(F.col("size") <= F.char_length("rest"))
+    # An empty title stands everywhere; one position is enough for it.
+    last_start = F.when(F.col("size") == 0, 1).otherwise(F.char_length("rest") - F.col("size") + 1)
+    pieces = sized.select(
+        "path", "lead", "rest", "size", F.explode(F.sequence(F.lit(1), last_start)).alias("start")
+    ).select("path", "lead", F.expr("substr(rest, start, size)").alias("title"))
     return pieces.groupBy("lead", "title").agg(F.min("path").alias("path")).join(
         patterns, ["lead", "title"]
     )
@@ -78,29 +77,28 @@ def resolve_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
 
 def resolve_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """ord, _id, fileName and the resolved path (NULL when no file fits)."""
-    names = files.groupBy("basename").agg(F.min("path").alias("path"))
-    exact = (
-        names.withColumnRenamed("basename", "exact")
-        .join(wanted.select("exact").distinct(), "exact", "left_semi")
-        .select("exact", F.lit(None).cast("string").alias("lead"),
-                F.lit(None).cast("string").alias("title"), "path")
-    )
-    patterns = wanted.filter(F.col("lead").isNotNull()).select("lead", "title").distinct()
-    by_pattern = resolve_patterns(patterns, names).select(
-        F.lit(None).cast("string").alias("exact"), "lead", "title", "path"
-    )
-    resolved = exact.unionByName(by_pattern)
-    # One resolved row per wanted name: a hot name is skewed on the record side only,
-    # which adaptive execution splits. Records without a file keep a key of their own.
+
     def key_of(kind: str, a: Column, b: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
 
-    key = F.when(
-        F.col("exact").isNotNull(), key_of("exact", F.col("exact"), F.lit(""))
-    ).when(F.col("lead").isNotNull(), key_of("pattern", F.col("lead"), F.col("title")))
-    keyed = resolved.select(key.alias("key"), "path")
-    with_key = wanted.withColumn("key", key)
-    found = with_key.filter(F.col("key").isNotNull()).join(keyed, "key", "left")
-    none = with_key.filter(F.col("key").isNull()).withColumn("path", F.lit(None).cast("string"))
-    columns = ["ord", "_id", "fileName", "path"]
-    return found.select(*columns).unionByName(none.select(*columns))
+    exact_key = key_of("exact", F.col("exact"), F.lit(""))
+    pattern_key = key_of("pattern", F.col("lead"), F.col("title"))
+    # A record without attachment gets a key of its own: it matches nothing, and the
+    # many such records do not meet in one task.
+    own_key = key_of("none", F.col("ord").cast("string"), F.lit(""))
+    key = (
+        F.when(F.col("exact").isNotNull(), exact_key)
+        .when(F.col("lead").isNotNull(), pattern_key)
+        .otherwise(own_key)
+    )
+    names = stored(files.groupBy("basename").agg(F.min("path").alias("path")), "names")
+    patterns = wanted.filter(F.col("lead").isNotNull()).select("lead", "title").distinct()
+    by_name = names.select(key_of("exact", F.col("basename"), F.lit("")).alias("key"), "path")
+    by_pattern = resolve_patterns(patterns, names).select(pattern_key.alias("key"), "path")
+    # The resolved side has one row per key, so a hot key is skewed on the record side
+    # only, and adaptive execution splits that.
+    return (
+        wanted.withColumn("key", key)
+        .join(by_name.unionByName(by_pattern), "key", "left")
+        .select("ord", "_id", "fileName", "path")
+    )

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.tokens import fold, raw_words
+from citeloom.functions.tokens import fold, raw_words, words
 from citeloom.operators.clauses import Clause, Near, Phrase, combine, leaves
 from citeloom.operators.normalize import RECORD_COLUMNS
 
@@ -43,15 +43,27 @@ def write_postings(postings: DataFrame, path: str) -> None:
     )
 
 
-def vocabulary(postings: DataFrame) -> DataFrame:
+def vocabulary(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per word: occurrences and records.
 
-    Counted per (word, record) first, which the map side reduces because a record's
-    words sit together; the second level then moves one row per word and task.
+    Counted from the records, where one record's distinct words are known without a
+    shuffle; then one row per word and task travels. Counting from the postings would
+    have to shuffle every (word, record) pair.
     """
-    per_record = postings.groupBy("term", "_id").agg(F.count("*").alias("n"))
-    return per_record.groupBy("term").agg(
-        F.sum("n").alias("n_occurrences"), F.count("*").alias("n_records")
+    columns = columns or RECORD_COLUMNS
+    every = F.flatten(F.array_compact(F.array(*[words(F.col(c)) for c in columns])))
+
+    def lane(occurrence: int, record: int, found: Column) -> Column:
+        return F.struct(
+            F.lit(occurrence).alias("occurrence"), F.lit(record).alias("record"), found.alias("w")
+        )
+
+    lanes = F.array(lane(1, 0, F.col("every")), lane(0, 1, F.array_distinct("every")))
+    counted = records.select(every.alias("every")).select(F.inline(lanes))
+    return (
+        counted.select("occurrence", "record", F.explode("w").alias("term"))
+        .groupBy("term")
+        .agg(F.sum("occurrence").alias("n_occurrences"), F.sum("record").alias("n_records"))
     )
 
 
@@ -136,10 +148,10 @@ def matching_records(postings: DataFrame, clause: Clause) -> DataFrame:
             for start in chunks
         ]
 
-    words = {i: leaf for i, leaf in enumerate(found) if _is_word(leaf)}
+    single = {i: leaf for i, leaf in enumerate(found) if _is_word(leaf)}
     parts = []
-    if words:
-        tests = {i: _word_leaf(leaf) for i, leaf in words.items()}
+    if single:
+        tests = {i: _word_leaf(leaf) for i, leaf in single.items()}
 
         def word_bit(i: int, bit: int) -> Column:
             hit = tests.get(i)
@@ -148,7 +160,7 @@ def matching_records(postings: DataFrame, clause: Clause) -> DataFrame:
         any_word = reduce(lambda a, b: a | b, tests.values())
         parts.append(postings.filter(any_word).select(*RECORD_KEY, *bits(word_bit)))
     for i, leaf in enumerate(found):
-        if i in words:
+        if i in single:
             continue
         if isinstance(leaf, Near):
             rows = _near_records(postings, leaf)

@@ -37,7 +37,6 @@ def build_library(
     store.write_table(facets.type_facet(records), root, version, "type_facet")
     word_path = f"{store.version_dir(root, version)}/postings"
     postings.write_postings(postings.build_postings(records), word_path)
-    words = postings.vocabulary(spark.read.parquet(word_path))
-    store.write_table(words, root, version, "vocabulary")
+    store.write_table(postings.vocabulary(records), root, version, "vocabulary")
     store.publish(spark, root, version)
     return version

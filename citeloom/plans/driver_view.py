@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.session import spread
+
 BASE = {
     "ord": "d.doc_id",
     "_id": "concat('d', d.doc_id)",
@@ -74,7 +76,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested library records. Columns a query does not use are never read."""
-    d = table(spark, sf_dir, "documents").alias("d")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").alias("d")
     l = table(spark, sf_dir, "labels").select("doc_id", "quality").alias("l")
     base = d.join(l, F.col("d.doc_id") == F.col("l.doc_id"), "left").selectExpr(
         *[f"{sql} as {name}" for name, sql in BASE.items()]
@@ -86,7 +88,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").alias("d")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").alias("d")
     return d.selectExpr(*[f"{sql} as {name}" for name, sql in BIB.items()])
 
 

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "citeloom") -> SparkSession:
@@ -37,3 +38,56 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{root.rstrip('/')}/citeloom-{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors and gives the optimizer the real size.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def by_rows(table: DataFrame, key: str, rows_per_task: int) -> DataFrame:
+    """Cut a stored table into tasks by row count, for work that multiplies its rows.
+
+    Small tables still use all cores as long as a task gets some hundred rows.
+    """
+    rows = table.count()
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(max(1, min(cores, rows // 500), rows // rows_per_task), key)
+
+
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def salted_join(
+    large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, salts: int
+) -> DataFrame:
+    """Equi-join a large side with many rows per key to a stored smaller side.
+
+    The smaller side is measured: up to BROADCAST_BYTES it is broadcast and the large
+    side stays where it is. Beyond that both sides are shuffled on the keys and a salt
+    taken from ``spread_by``, so one hot key becomes ``salts`` tasks.
+    """
+    width = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    size = small.agg(F.coalesce(width, F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= BROADCAST_BYTES:
+        return large.join(F.broadcast(small), keys)
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("salt", salt).join(copies, [*keys, "salt"]).drop("salt")
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table that arrives in fewer pieces than there are cores.
+
+    A table of many files has more splits than the cluster has cores and passes
+    through unchanged, without a shuffle. ``scan`` must be a plain file scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
