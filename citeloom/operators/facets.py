@@ -27,21 +27,26 @@ def name_id_pairs(records: DataFrame, names: str, ids: str, *keep: str) -> DataF
     return records.select(*keep, F.inline(zipped).alias("name", "id")).filter(F.col("name") != "")
 
 
-def name_facet(records: DataFrame, names: str, ids: str) -> DataFrame:
-    """Per name: records that carry it, first-seen id, and counts per type as text.
-
-    Output: name, total, id, summary ("type (n) type (n) ", most used first), first_ord.
-    """
+def facet_counts(records: DataFrame, names: str, ids: str) -> DataFrame:
+    """Per (name, id, type): records and first order key. Counts of several batches of
+    records may be unioned before ``finish_facet``."""
     raw_type = F.col("type")
     pairs = name_id_pairs(records, names, ids, "ord", "type").select(
         "ord", "name", "id", F.when(raw_type != "", R.summary_type(raw_type)).alias("kind")
     )
-    counted = pairs.groupBy("name", "id", "kind").agg(
+    return pairs.groupBy("name", "id", "kind").agg(
         F.count("*").alias("n"), F.min("ord").alias("first_ord")
     )
-    # From here on: one row per (name, id, type). Both levels below share one exchange.
+
+
+def finish_facet(counts: DataFrame) -> DataFrame:
+    """Per name: records that carry it, first-seen id, and counts per type as text.
+
+    Output: name, total, id, summary ("type (n) type (n) ", most used first), first_ord.
+    Both levels share the one exchange on the name.
+    """
     per_type = (
-        counted.repartition("name")
+        counts.repartition("name")
         .groupBy("name", "kind")
         .agg(
             F.sum("n").alias("n"),
@@ -72,13 +77,13 @@ def _summary(kinds: Column) -> Column:
 
 
 def label_facet(records: DataFrame) -> DataFrame:
-    return name_facet(records, "labelsNamed", "labels").withColumnsRenamed(
+    return finish_facet(facet_counts(records, "labelsNamed", "labels")).withColumnsRenamed(
         {"name": "label", "id": "label_id"}
     )
 
 
 def folder_facet(records: DataFrame) -> DataFrame:
-    return name_facet(records, "foldersNamed", "folders").withColumnsRenamed(
+    return finish_facet(facet_counts(records, "foldersNamed", "folders")).withColumnsRenamed(
         {"name": "folder", "id": "folder_id"}
     )
 
