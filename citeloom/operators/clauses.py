@@ -26,6 +26,7 @@ def _starting(word: str) -> str:
     return f"{word}(?<!{_WORD}{word})"
 
 
+BARRIER = "\uffff"  # not a character of any text; stands between joined columns
 DEFAULT_DISTANCE = 10  # fixed value: words allowed between two near operands
 
 
@@ -40,7 +41,7 @@ def _single_words(texts: tuple[str, ...]) -> tuple[str, ...]:
     folded = []
     for text in texts:
         found = split_words(text)
-        if len(found) != 1:
+        if len(found) != 1 or BARRIER in text:
             raise ValueError(f"{text!r} is not one word")
         folded.append(found[0])
     return tuple(folded)
@@ -178,10 +179,19 @@ def combine(clause: Clause, test) -> Column:
 
 
 def row_predicate(clause: Clause, columns: list[str] | None = None) -> Column:
-    """The tree as one filter over text columns. NULL text never matches."""
+    """The tree as one filter over text columns. NULL text never matches.
+
+    A word or phrase without a field is looked for once in all columns joined, with a
+    barrier word between columns that no clause can name. Closeness counts words, so
+    there the columns are tested one by one.
+    """
+    names = columns or RECORD_COLUMNS
+    joined = F.concat_ws(f" {BARRIER} ", *names)
 
     def test(leaf: Phrase | Near) -> Column:
-        scope = [leaf.field] if leaf.field else (columns or RECORD_COLUMNS)
+        if leaf.field is None and isinstance(leaf, Phrase):
+            return joined.rlike(leaf.regex())
+        scope = [leaf.field] if leaf.field else names
         hits = [F.coalesce(F.col(c).rlike(leaf.regex()), F.lit(False)) for c in scope]
         return reduce(lambda a, b: a | b, hits)
 
