@@ -16,10 +16,11 @@ How the work stays proportional to the data, whatever words the queries share:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.tokens import WORD_CHARS, words
+from citeloom.operators.normalize import RECORD_COLUMNS
 from citeloom.operators.postings import RECORD_KEY
 from citeloom.operators.search import DEFAULT_LIMIT
 from citeloom.session import salted_join, stored
@@ -44,6 +45,15 @@ def expand_prefixes(prefixes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return cut.join(prefixes.select("word").distinct(), "word")
 
 
+def _column_of(field: Column) -> Column:
+    """The record column a field name means, '' for any column. Other names fail the job."""
+    by_name = F.create_map(*[F.lit(x) for c in RECORD_COLUMNS for x in (c.lower(), c)])
+    known = F.coalesce(
+        by_name[F.lower(field)], F.raise_error(F.concat(F.lit("unknown field "), field))
+    )
+    return F.when(field.isNull(), F.lit("")).otherwise(known)
+
+
 def batch_search(
     clauses: DataFrame, postings: DataFrame, vocabulary: DataFrame, limit: int = DEFAULT_LIMIT,
     salts: int = 16,
@@ -56,8 +66,8 @@ def batch_search(
     large one meets them on (term, salt).
     """
     asked = clauses.select(
-        "query_id", F.coalesce(F.lower("field"), F.lit("")).alias("field"),
-        F.col("term").alias("word"), "is_prefix",
+        "query_id", _column_of(F.col("field")).alias("field"), F.col("term").alias("word"),
+        "is_prefix",
     )
     # One signature per query: its sorted distinct clauses. Its size is the query's own length.
     signed = asked.groupBy("query_id").agg(
@@ -82,7 +92,7 @@ def batch_search(
     # An atom without any word has no row here and so can never be satisfied.
     weights = atom_terms.groupBy("atom").agg(F.sum("n_records").alias("weight"))
 
-    rows = postings.select("term", F.lower("col").alias("col"), *RECORD_KEY)
+    rows = postings.select("term", "col", *RECORD_KEY)
     met = (
         salted_join(rows, atom_terms.select("atom", "field", "term"), ["term"], "ord", salts)
         .filter((F.col("field") == "") | (F.col("field") == F.col("col")))

@@ -167,6 +167,20 @@ def leaves(clause: Clause) -> list[Phrase | Near]:
     return list(dict.fromkeys(found))
 
 
+def required_words(clause: Clause) -> list[tuple[str, bool]]:
+    """(word, is prefix) pairs that every match holds; an OR requires none of its parts."""
+    if isinstance(clause, And):
+        return [w for part in clause.parts for w in required_words(part)]
+    if isinstance(clause, Not):
+        return required_words(clause.keep)
+    if isinstance(clause, Near):
+        return required_words(clause.left) + required_words(clause.right)
+    if isinstance(clause, Phrase):
+        last = len(clause.words) - 1
+        return [(w, clause.prefix and i == last) for i, w in enumerate(clause.words)]
+    return []
+
+
 def combine(clause: Clause, test) -> Column:
     """The boolean Column of a tree, given a Column for each leaf."""
     if isinstance(clause, And):

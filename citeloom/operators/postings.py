@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.tokens import fold, raw_words, words
-from citeloom.operators.clauses import Clause, Near, Phrase, combine, leaves
+from citeloom.operators.clauses import (
+    Clause, Near, Phrase, combine, leaves, required_words,
+)
 from citeloom.operators.normalize import RECORD_COLUMNS
 
 RECORD_KEY = ["_id", "ord", "year"]
 MASK_BITS = 62
+MAX_RARE_ROWS = 1_000_000  # a broadcast of at most that many record keys
 
 
 def build_postings(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -68,10 +71,44 @@ def vocabulary(records: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def _word_test(phrase: Phrase, index: int) -> Column:
-    word = phrase.words[index]
-    if phrase.prefix and index == len(phrase.words) - 1:
-        return F.col("term").startswith(word)
-    return F.col("term") == word
+    is_last = index == len(phrase.words) - 1
+    return _term_test(phrase.words[index], phrase.prefix and is_last)
+
+
+def write_vocabulary(words_table: DataFrame, path: str) -> None:
+    """Sorted by word, so that looking a few words up reads few row groups."""
+    (
+        words_table.repartitionByRange("term")
+        .sortWithinPartitions("term")
+        .write.mode("overwrite")
+        .parquet(path)
+    )
+
+
+def keep_rarest(postings: DataFrame, vocabulary: DataFrame, clause: Clause) -> DataFrame:
+    """Postings of the records that hold the rarest word every match must hold.
+
+    Saves shuffling the postings of hot words that stand beside a rare one. The
+    vocabulary gives the exact number of rows of each required word; the record keys
+    of the rarest are broadcast only up to MAX_RARE_ROWS, otherwise nothing changes.
+    """
+    wanted = list(dict.fromkeys(required_words(clause)))
+    if len(wanted) < 2:
+        return postings
+    tests = [_term_test(word, is_prefix) for word, is_prefix in wanted]
+    counts = vocabulary.filter(reduce(lambda a, b: a | b, tests)).agg(
+        *[F.coalesce(F.sum(F.when(t, F.col("n_occurrences"))), F.lit(0)) for t in tests]
+    )
+    sizes = list(counts.first())
+    rarest = sizes.index(min(sizes))
+    if sizes[rarest] > MAX_RARE_ROWS:
+        return postings
+    holders = postings.filter(tests[rarest]).select("ord")
+    return postings.join(F.broadcast(holders), "ord", "left_semi")
+
+
+def _term_test(word: str, is_prefix: bool) -> Column:
+    return F.col("term").startswith(word) if is_prefix else F.col("term") == word
 
 
 def _any_word(phrase: Phrase) -> Column:
@@ -129,12 +166,16 @@ def _near_records(postings: DataFrame, near: Near) -> DataFrame:
     return seen.filter(close)
 
 
-def matching_records(postings: DataFrame, clause: Clause) -> DataFrame:
-    """Record keys that satisfy a clause tree.
+def matching_records(
+    postings: DataFrame, clause: Clause, vocabulary: DataFrame | None = None
+) -> DataFrame:
+    """Record keys that satisfy a clause tree; with a vocabulary, rare words go first.
 
     Each leaf owns a bit. One aggregation per record ors the bits, and the whole
     boolean tree is then a test on that mask; NOT needs no anti join.
     """
+    if vocabulary is not None:
+        postings = keep_rarest(postings, vocabulary, clause)
     found = leaves(clause)
 
     def bits(test) -> list[Column]:

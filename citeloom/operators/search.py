@@ -57,10 +57,12 @@ def search(
 def search_postings(
     postings: DataFrame, records: DataFrame, clause: Clause, limit: int = DEFAULT_LIMIT,
     oldest_first: bool = False, columns: list[str] | None = None,
+    vocabulary: DataFrame | None = None,
 ) -> DataFrame:
     """Postings form: only the rows of the query's words are read, the top hits are
     ranked from the postings alone, and at most ``limit`` of them meet the records."""
-    hits = top_by_year(matching_records(postings, clause), limit, oldest_first).select("ord")
+    found = matching_records(postings, clause, vocabulary)
+    hits = top_by_year(found, limit, oldest_first).select("ord")
     if limit <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     wanted = records.select("ord", *(columns or RECORD_COLUMNS))

@@ -37,6 +37,7 @@ def build_library(
     store.write_table(facets.type_facet(records), root, version, "type_facet")
     word_path = f"{store.version_dir(root, version)}/postings"
     postings.write_postings(postings.build_postings(records), word_path)
-    store.write_table(postings.vocabulary(records), root, version, "vocabulary")
+    vocabulary_path = f"{store.version_dir(root, version)}/vocabulary"
+    postings.write_vocabulary(postings.vocabulary(records), vocabulary_path)
     store.publish(spark, root, version)
     return version

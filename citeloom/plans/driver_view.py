@@ -74,14 +74,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested library records. Columns a query does not use are never read."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id").alias("d")
-    l = table(spark, sf_dir, "labels").select("doc_id", "quality").alias("l")
-    base = d.join(l, F.col("d.doc_id") == F.col("l.doc_id"), "left").selectExpr(
-        *[f"{sql} as {name}" for name, sql in BASE.items()]
-    )
-    nested = base.withColumns({name: F.expr(sql) for name, sql in NESTED.items()})
+def library(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
+    """Nested library records. Columns a query does not use are never read.
+
+    Only the label lists come from ``labels``, which has one row per document. A query
+    without them passes ``labels=False``: no join, and the label lists are NULL.
+    """
+    base = dict(BASE)
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").alias("d")
+    if labels:
+        quality = table(spark, sf_dir, "labels").select("doc_id", "quality").alias("l")
+        rows = rows.join(quality, F.col("d.doc_id") == F.col("l.doc_id"), "left")
+    else:
+        base["label_csv"] = "cast(null as string)"
+    flat = rows.selectExpr(*[f"{sql} as {name}" for name, sql in base.items()])
+    nested = flat.withColumns({name: F.expr(sql) for name, sql in NESTED.items()})
     return nested.withColumn("attachments", F.expr(DRIVE)).drop(
         "pub_year_src", "label_csv", "folder_csv"
     )

@@ -15,7 +15,7 @@ from citeloom.operators.clauses import Near, Not, Phrase, Term, row_predicate, t
 from citeloom.operators.normalize import RECORD_COLUMNS, complete_only, normalize, normalize_bib
 from citeloom.operators.normalize import with_defaults
 from citeloom.operators.postings import (
-    build_postings, matching_records, vocabulary, write_postings,
+    build_postings, matching_records, vocabulary, write_postings, write_vocabulary,
 )
 from citeloom.plans import driver_view
 from citeloom.plans.driver_view import bib_text, table
@@ -76,6 +76,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, "records", lambda s, d: normalize(library(s, d)))
 
 
+def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(
+        spark, sf_dir, "unlabelled", lambda s, d: driver_view.library(s, d, labels=False)
+    )
+
+
+def unlabelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for queries that use no label column: no join."""
+    return _plan(spark, sf_dir, "unlabelled_records", lambda s, d: normalize(unlabelled(s, d)))
+
+
 def bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, "bib", driver_view.bib_entries)
 
@@ -98,7 +109,7 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = vocabulary(stored_records(spark, sf_dir))
-    path = _once(spark, sf_dir, "vocabulary", lambda p: words.write.parquet(p))
+    path = _once(spark, sf_dir, "vocabulary", lambda p: write_vocabulary(words, p))
     return spark.read.parquet(path)
 
 
@@ -164,7 +175,7 @@ def refresh_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of article files, title-named files and page urls as the searched listing."""
-    recs = library(spark, sf_dir).filter("ord % 4 <> 2").withColumn(
+    recs = unlabelled(spark, sf_dir).filter("ord % 4 <> 2").withColumn(
         "first", R.first_author(F.col("author"))
     )
     listing = recs.selectExpr(
@@ -177,7 +188,7 @@ def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = files.wanted_files(complete_only(library(spark, sf_dir)))
+    wanted = files.wanted_files(complete_only(unlabelled(spark, sf_dir)))
     return files.resolve_files(wanted, file_paths(spark, sf_dir)).select("_id", "fileName", "path")
 
 
@@ -195,6 +206,10 @@ def _select(*columns) -> Query:
     return lambda spark, sf_dir: records(spark, sf_dir).select(*columns)
 
 
+def _unlabelled(*columns) -> Query:
+    return lambda spark, sf_dir: unlabelled_records(spark, sf_dir).select(*columns)
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(ids: str, base: str):
         return R.joined(F.transform(ids, lambda i: R.link(LINK_BASES[base], i)))
@@ -215,7 +230,7 @@ def _matches(name: str) -> Query:
 
 def _postings_matches(name: str) -> Query:
     return lambda spark, sf_dir: matching_records(
-        stored_postings(spark, sf_dir), CLAUSES[name]
+        stored_postings(spark, sf_dir), CLAUSES[name], stored_vocabulary(spark, sf_dir)
     ).select("_id", "year")
 
 
@@ -234,7 +249,7 @@ def _top(oldest_first: bool) -> Query:
 def search_top_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_postings(
         stored_postings(spark, sf_dir), stored_records(spark, sf_dir), typed_text("the an"),
-        columns=["_id", "year", "title"],
+        columns=["_id", "year", "title"], vocabulary=stored_vocabulary(spark, sf_dir),
     ).select("ord", "_id", "year", "title")
 
 
@@ -266,29 +281,29 @@ def queries() -> dict[str, Query]:
         "schema_keys": schema_keys,
         "union_schema": union_schema,
         "label_export": label_export,
-        "complete_only": lambda s, d: complete_only(library(s, d)).select("_id", "title"),
-        "defaults": lambda s, d: with_defaults(library(s, d)).select(*R.DEFAULTS),
-        "journal_clean": _select("_id", "journal"),
-        "author_block": lambda s, d: complete_only(library(s, d)).select(
+        "complete_only": lambda s, d: complete_only(unlabelled(s, d)).select("_id", "title"),
+        "defaults": lambda s, d: with_defaults(unlabelled(s, d)).select(*R.DEFAULTS),
+        "journal_clean": _unlabelled("_id", "journal"),
+        "author_block": lambda s, d: complete_only(unlabelled(s, d)).select(
             "_id", R.author_block(F.col("author")).alias("authors")
         ),
-        "first_last": _select("_id", "first", "last"),
-        "pub_year": _select("_id", "year"),
-        "pub_type": _select("_id", "type"),
+        "first_last": _unlabelled("_id", "first", "last"),
+        "pub_year": _unlabelled("_id", "year"),
+        "pub_type": _unlabelled("_id", "type"),
         "label_text": _select("_id", "label", "labelID", "folder", "folderID"),
-        "file_pattern": _select("_id", "fileName", "gdrive_id"),
-        "pdf_flag": _select("_id", "pdfFlag"),
-        "short_ref": _select("_id", "subtitle"),
-        "full_ref": _select("_id", "fullReference"),
-        "display_type": _select(
+        "file_pattern": _unlabelled("_id", "fileName", "gdrive_id"),
+        "pdf_flag": _unlabelled("_id", "pdfFlag"),
+        "short_ref": _unlabelled("_id", "subtitle"),
+        "full_ref": _unlabelled("_id", "fullReference"),
+        "display_type": _unlabelled(
             "_id", R.display_type(F.col("type")).alias("display_type"),
             R.summary_type(F.col("type")).alias("summary_type"),
         ),
         "links": _links,
         "library_normalize": _select("ord", *RECORD_COLUMNS),
         "facet_labels": lambda s, d: facets.most_used_first(facets.label_facet(records(s, d))),
-        "facet_folders": lambda s, d: facets.most_used_first(facets.folder_facet(records(s, d))),
-        "facet_types": lambda s, d: facets.most_used_first(facets.type_facet(records(s, d))),
+        "facet_folders": lambda s, d: facets.most_used_first(facets.folder_facet(unlabelled_records(s, d))),
+        "facet_types": lambda s, d: facets.most_used_first(facets.type_facet(unlabelled_records(s, d))),
         "facet_pivot": lambda s, d: facets.facet_pivot(
             records(s, d), "labelsNamed", "labels", RAW_TYPES
         ),

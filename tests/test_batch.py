@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from helpers import library, record, table
 
 from citeloom.operators import search
@@ -56,6 +57,13 @@ def test_fields_prefixes_and_limits(spark):
     assert run(spark, recs, clauses, limit=1) == {1: ["r0"], 2: ["r2"], 3: ["r2"], 4: ["r0"], 6: ["r2"]}
 
 
+def test_unknown_field_fails(spark):
+    recs = normalize(library(spark, record("a", title="x")))
+    clauses = spark.createDataFrame([(1, 0, "nofield", "x", False)], CLAUSES)
+    with pytest.raises(Exception, match="unknown field nofield"):
+        run(spark, recs, clauses)
+
+
 def test_salted_path_gives_the_same(spark, monkeypatch):
     recs = normalize(library(spark, *[record(f"r{i}", title=f"hot w{i % 7}") for i in range(60)])).cache()
     texts = ["hot ", "hot w1", "w", "hot hot w2 "]

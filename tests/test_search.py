@@ -6,12 +6,14 @@ import pytest
 from helpers import author, library, record, table
 
 from citeloom.functions.tokens import fold, raw_words, split_words, words
-from citeloom.operators import search
+from citeloom.operators import postings, search
 from citeloom.operators.clauses import (
-    And, Near, Not, Or, Phrase, Term, leaves, row_predicate, typed_text,
+    And, Near, Not, Or, Phrase, Term, leaves, required_words, row_predicate, typed_text,
 )
 from citeloom.operators.normalize import RECORD_COLUMNS, normalize
-from citeloom.operators.postings import build_postings, matching_records, vocabulary
+from citeloom.operators.postings import (
+    build_postings, keep_rarest, matching_records, vocabulary,
+)
 from citeloom.plans import driver_view
 from pyspark.sql import functions as F
 
@@ -56,21 +58,22 @@ def corpus(spark):
     db.execute(f"create virtual table r using fts3({', '.join(RECORD_COLUMNS)})")
     db.executemany(f"insert into r values ({', '.join('?' * len(RECORD_COLUMNS))})", rows)
     posts = build_postings(recs).cache()
-    yield recs, posts, db
+    yield recs, posts, vocabulary(recs).cache(), db
     recs.unpersist()
     posts.unpersist()
 
 
 @pytest.mark.parametrize("text,clause", PAIRS, ids=[p[0] for p in PAIRS])
 def test_three_engines_agree(corpus, text, clause):
-    recs, posts, db = corpus
+    recs, posts, known_words, db = corpus
     expected = {r[0] for r in db.execute("select _id from r where r match ?", (text,))}
     scan = table(search.match_records(recs, clause), "_id")
     assert len(scan) == len(set(scan))
     assert {r[0] for r in scan} == expected
-    found = table(matching_records(posts, clause), "_id")
-    assert len(found) == len(set(found))
-    assert {r[0] for r in found} == expected
+    for words_table in (None, known_words):
+        found = table(matching_records(posts, clause, words_table), "_id")
+        assert len(found) == len(set(found))
+        assert {r[0] for r in found} == expected
 
 
 def small(spark, *titles):
@@ -197,6 +200,18 @@ def test_vocabulary_counts(spark):
     assert got == {"go": (3, 2), "stop": (1, 1)}
 
 
+def test_rare_word_first_and_its_bound(spark, monkeypatch):
+    recs = small(spark, "hot rare", "hot", "hot again")
+    posts, known_words = build_postings(recs), vocabulary(recs)
+    clause = Term("hot") & Term("rare")
+    assert required_words(clause | Term("x")) == []
+    assert keep_rarest(posts, known_words, clause).select("ord").distinct().count() == 1
+    assert keep_rarest(posts, known_words, Term("hot")) is posts
+    assert keep_rarest(posts, known_words, Term("hot") & Term("absent")).count() == 0
+    monkeypatch.setattr(postings, "MAX_RARE_ROWS", 0)
+    assert keep_rarest(posts, known_words, clause) is posts
+
+
 def test_leaves_are_distinct():
     assert leaves((Term("a") | Term("b")) & Not(Term("a"), Term("B"))) == [Term("a"), Term("b")]
 
