@@ -23,6 +23,7 @@ from citeloom.operators.normalize import RECORD_COLUMNS
 RECORD_KEY = ["_id", "ord", "year"]
 MASK_BITS = 62
 MAX_RARE_ROWS = 1_000_000  # a broadcast of at most that many record keys
+MIN_HOT_ROWS = 1_000_000  # below this a word's postings are shuffled as they are
 
 
 def build_postings(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -90,7 +91,8 @@ def keep_rarest(postings: DataFrame, vocabulary: DataFrame, clause: Clause) -> D
 
     Saves shuffling the postings of hot words that stand beside a rare one. The
     vocabulary gives the exact number of rows of each required word; the record keys
-    of the rarest are broadcast only up to MAX_RARE_ROWS, otherwise nothing changes.
+    of the rarest are broadcast only up to MAX_RARE_ROWS. Otherwise, and where no word
+    is hot, nothing changes.
     """
     wanted = list(dict.fromkeys(required_words(clause)))
     if len(wanted) < 2:
@@ -101,7 +103,7 @@ def keep_rarest(postings: DataFrame, vocabulary: DataFrame, clause: Clause) -> D
     )
     sizes = list(counts.first())
     rarest = sizes.index(min(sizes))
-    if sizes[rarest] > MAX_RARE_ROWS:
+    if sizes[rarest] > MAX_RARE_ROWS or max(sizes) < MIN_HOT_ROWS:
         return postings
     holders = postings.filter(tests[rarest]).select("ord")
     return postings.join(F.broadcast(holders), "ord", "left_semi")
@@ -120,6 +122,16 @@ def _in_field(postings: DataFrame, field: str | None) -> DataFrame:
     return postings if field is None else postings.filter(F.col("col") == field)
 
 
+def _offsets(phrase: Phrase) -> Column:
+    """The places a word has in a phrase: one value, or several rows where a word repeats."""
+    hits = [F.when(_word_test(phrase, i), F.lit(i)) for i in range(len(phrase.words))]
+    head, tail = phrase.words[:-1], phrase.words[-1]
+    repeats = len(set(phrase.words)) < len(phrase.words)
+    if repeats or (phrase.prefix and any(w.startswith(tail) for w in head)):
+        return F.explode(F.array_compact(F.array(*hits)))
+    return F.coalesce(*hits)
+
+
 def _phrase_records(postings: DataFrame, phrase: Phrase) -> DataFrame:
     """Records that hold a phrase.
 
@@ -129,10 +141,7 @@ def _phrase_records(postings: DataFrame, phrase: Phrase) -> DataFrame:
     """
     size = len(phrase.words)
     rows = _in_field(postings, phrase.field).filter(_any_word(phrase))
-    offsets = F.array_compact(
-        F.array(*[F.when(_word_test(phrase, i), F.lit(i)) for i in range(size)])
-    )
-    votes = rows.select(*RECORD_KEY, "col", "pos", F.explode(offsets).alias("offset")).select(
+    votes = rows.select(*RECORD_KEY, "col", "pos", _offsets(phrase).alias("offset")).select(
         *RECORD_KEY, "col", (F.col("pos") - F.col("offset")).alias("start")
     )
     return votes.groupBy(*RECORD_KEY, "col", "start").count().filter(F.col("count") == size)

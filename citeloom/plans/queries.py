@@ -60,6 +60,11 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
     return _written[key]
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> DataFrame:
+    path = _once(spark, sf_dir, name, write)
+    return _plan(spark, sf_dir, f"stored {name}", lambda s, d: s.read.parquet(path))
+
+
 def _plan(spark: SparkSession, sf_dir: str, name: str, define: Query) -> DataFrame:
     """A lazy definition used by many queries, analysed once."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -93,24 +98,23 @@ def bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record table as a build leaves it; searches read this."""
-    path = _once(
-        spark, sf_dir, "records", lambda p: records(spark, sf_dir).write.parquet(p)
+    return _stored(
+        spark, sf_dir, "records", lambda path: records(spark, sf_dir).write.parquet(path)
     )
-    return spark.read.parquet(path)
 
 
 def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _once(
+    return _stored(
         spark, sf_dir, "postings",
-        lambda p: write_postings(build_postings(stored_records(spark, sf_dir)), p),
+        lambda path: write_postings(build_postings(stored_records(spark, sf_dir)), path),
     )
-    return spark.read.parquet(path)
 
 
 def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = vocabulary(stored_records(spark, sf_dir))
-    path = _once(spark, sf_dir, "vocabulary", lambda p: write_vocabulary(words, p))
-    return spark.read.parquet(path)
+    return _stored(
+        spark, sf_dir, "vocabulary",
+        lambda path: write_vocabulary(vocabulary(stored_records(spark, sf_dir)), path),
+    )
 
 
 def library_lines(spark: SparkSession, sf_dir: str) -> str:

@@ -1,8 +1,11 @@
 """Library exports in and out.
 
-JSON Lines is the form that scales: files split, columns prune at parse time.
-One JSON array is a single unsplittable value, so ``array_to_lines`` turns
-array files into JSON Lines once and every later read runs in parallel.
+JSON Lines is the form that scales: files split, columns prune at parse time. Other
+exports are turned into JSON Lines once and every later read runs in parallel:
+
+* an indented JSON array is itself read in parallel, since a record starts on a line
+  of its own and JSON strings hold no raw line breaks (``indented_elements``);
+* an array without line breaks is a single unsplittable value, one task per file.
 """
 
 from __future__ import annotations
@@ -29,14 +32,39 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def array_to_lines(spark: SparkSession, path: str, target: str) -> None:
-    """One-off conversion: every element of every array file, all keys kept, one per line."""
-    elements = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", "array<string>")).alias("value")
-    )
+def indented_elements(spark: SparkSession, path: str, indent: int) -> DataFrame:
+    """Every element of indented array files as JSON text, read in splits."""
+    pieces = spark.read.text(path, lineSep="\n" + " " * indent + "{")
+    tail = F.regexp_replace("value", r"\}\s*,?\s*\]?\s*\z", "}")
+    bodies = pieces.filter(~F.col("value").rlike(r"\A\s*\[\s*\]?\s*\z"))
+    return bodies.select(F.concat(F.lit("{"), tail).alias("value"))
+
+
+def array_to_lines(spark: SparkSession, path: str, target: str, indent: int | None = None) -> None:
+    """One-off conversion: every element of every array file, all keys kept, one per line.
+
+    ``indent`` is the number of spaces before each record of an indented export; without
+    it each file is parsed as one value.
+    """
+    if indent is None:
+        elements = spark.read.text(path, wholetext=True).select(
+            F.explode(F.from_json("value", "array<string>")).alias("value")
+        )
+    else:
+        # Line breaks in JSON stand between tokens only.
+        flat = F.regexp_replace("value", r"\s*[\r\n]+\s*", " ")
+        elements = indented_elements(spark, path, indent).select(flat.alias("value"))
     elements.write.mode("overwrite").text(target)
 
 
+def read_indented(spark: SparkSession, path: str, indent: int) -> DataFrame:
+    """Records of indented array files; the order key is the record id."""
+    rows = indented_elements(spark, path, indent)
+    return rows.select(F.from_json("value", LIBRARY).alias("r")).select(
+        "r.*", F.col("r._id").alias("ord")
+    )
+
+
 def with_label(records: DataFrame, label: str) -> DataFrame:
     """Records whose label list exists and holds exactly this name."""
     return records.filter(F.array_contains("labelsNamed", label))

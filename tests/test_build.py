@@ -85,6 +85,31 @@ def test_array_files_keep_position_and_convert_to_lines(spark, tmp_path):
     assert version == 1 and table(facet.filter("label = 'x'"), "total") == [(3,)]
 
 
+@pytest.mark.parametrize("indent", [2, 4])
+def test_indented_arrays_are_read_in_splits(spark, tmp_path, indent):
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    records = [rec(i, author=[{"formatted": "A B", "last": "A"}, {"formatted": "}, {"}],
+                   abstract="x\n  {\n    { [1],\n]", extra={"deep": [{"a": 1}, []]}) for i in range(60)]
+    (folder / "a.json").write_text(json.dumps(records[:59], indent=indent))
+    (folder / "b.json").write_text(json.dumps(records[59:], indent=indent) + "\n")
+    (folder / "c.json").write_text("[\n]\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        read = library.read_indented(spark, str(folder), indent)
+        assert read.rdd.getNumPartitions() > 5
+        got = {r["_id"]: r for r in read.collect()}
+        target = str(tmp_path / "lines")
+        library.array_to_lines(spark, str(folder), target, indent)
+        lines = [json.loads(r["value"]) for r in spark.read.text(target).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 60 and got["r7"]["abstract"] == records[7]["abstract"]
+    assert got["r0"]["author"][1]["formatted"] == "}, {"
+    assert sorted(lines, key=lambda r: int(r["_id"][1:])) == records
+
+
 def test_raw_import_and_export_keep_every_key(spark, source, tmp_path):
     wide = raw.raw_import(spark, str(source))
     assert wide.columns == sorted({"extra", "published", *rec(0)})

@@ -33,6 +33,7 @@ PAIRS = [
     ('"the the"', Phrase(("the", "the"))),
     ('"j src1 res"', Phrase(("J", "src1", "Res"))),
     ("thanedble OR onwh", Term("thanedble") | Term("onwh")),
+    ('"the that th*"', Phrase(("the", "that", "th"), prefix=True)),
     ("the NOT and", Not(Term("the"), Term("and"))),
     ("(der OR que) NOT (die AND und)", Not(Term("der") | Term("que"), Term("die") & Term("und"))),
     ("the NEAR of", Near(Term("the"), Term("of"))),
@@ -64,7 +65,8 @@ def corpus(spark):
 
 
 @pytest.mark.parametrize("text,clause", PAIRS, ids=[p[0] for p in PAIRS])
-def test_three_engines_agree(corpus, text, clause):
+def test_three_engines_agree(corpus, text, clause, monkeypatch):
+    monkeypatch.setattr(postings, "MIN_HOT_ROWS", 0)
     recs, posts, known_words, db = corpus
     expected = {r[0] for r in db.execute("select _id from r where r match ?", (text,))}
     scan = table(search.match_records(recs, clause), "_id")
@@ -204,6 +206,8 @@ def test_rare_word_first_and_its_bound(spark, monkeypatch):
     recs = small(spark, "hot rare", "hot", "hot again")
     posts, known_words = build_postings(recs), vocabulary(recs)
     clause = Term("hot") & Term("rare")
+    assert keep_rarest(posts, known_words, clause) is posts
+    monkeypatch.setattr(postings, "MIN_HOT_ROWS", 2)
     assert required_words(clause | Term("x")) == []
     assert keep_rarest(posts, known_words, clause).select("ord").distinct().count() == 1
     assert keep_rarest(posts, known_words, Term("hot")) is posts
