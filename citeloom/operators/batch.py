@@ -28,8 +28,8 @@ from citeloom.session import salted_join, stored
 ATOM = ["field", "word", "is_prefix"]
 
 
-def expand_prefixes(prefixes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Every word that starts with a prefix, as (word, term, n_records), by equi-join.
+def expand_prefixes(prefixes: DataFrame, vocabulary: DataFrame, salts: int) -> DataFrame:
+    """Prefix atoms with every word that starts with them, by equi-join.
 
     Words are cut to the prefix lengths that occur, and only to those.
     """
@@ -42,7 +42,7 @@ def expand_prefixes(prefixes: DataFrame, vocabulary: DataFrame) -> DataFrame:
         )
         .select("term", "n_records", F.expr("left(term, size)").alias("word"))
     )
-    return cut.join(prefixes.select("word").distinct(), "word")
+    return salted_join(cut, prefixes, ["word"], "term", salts)
 
 
 def _column_of(field: Column) -> Column:
@@ -85,12 +85,12 @@ def batch_search(
     exact = atoms.filter(~F.col("is_prefix")).join(
         vocabulary.select(F.col("term").alias("word"), "term", "n_records"), "word"
     )
-    prefixes = atoms.filter(F.col("is_prefix"))
-    opened = prefixes.join(expand_prefixes(prefixes, vocabulary), "word")
-    fits = exact.unionByName(opened).select("atom", "field", "term", "n_records")
-    atom_terms = stored(fits, "atom_terms")
-    # An atom without any word has no row here and so can never be satisfied.
+    opened = expand_prefixes(atoms.filter("is_prefix"), vocabulary, salts)
+    wanted = ["atom", "field", "term", "n_records"]
+    atom_terms = stored(exact.select(*wanted).unionByName(opened.select(*wanted)), "atom_terms")
+    # An atom without any word has no weight and so can never be satisfied.
     weights = atom_terms.groupBy("atom").agg(F.sum("n_records").alias("weight"))
+    weighed = stored(atoms.join(weights, "atom"), "weights")
 
     rows = postings.select("term", "col", *RECORD_KEY)
     met = (
@@ -102,8 +102,7 @@ def batch_search(
     atom_records = stored(met, "atom_records")
 
     leads = (
-        rep_atoms.join(atoms, ATOM)
-        .join(weights, "atom")
+        salted_join(rep_atoms, weighed, ATOM, "rep", salts)
         .groupBy("rep", "n_atoms")
         .agg(
             F.min(F.struct("weight", "atom"))["atom"].alias("atom"),

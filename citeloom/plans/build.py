@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.operators import facets, postings
-from citeloom.operators.normalize import normalize
+from citeloom.operators.normalize import normalize, normalize_bib
 from citeloom.operators.refresh import changed_files
-from citeloom.sources import library, store
+from citeloom.sources import bib, library, store
 
 
 def build_library(
@@ -41,3 +41,13 @@ def build_library(
     postings.write_vocabulary(postings.vocabulary(records), vocabulary_path)
     store.publish(spark, root, version)
     return version
+
+
+def build_bib(spark: SparkSession, source: str, root: str) -> int:
+    """All entries of a folder of ``.bib`` files as one table over the union of their fields."""
+    version = store.current_version(spark, root) + 1
+    read = bib.read_entries(spark, source)
+    entries = bib.entry_columns(read, bib.all_fields(read))
+    store.write_table(normalize_bib(entries), root, version, "entries")
+    store.publish(spark, root, version)
+    return version

@@ -60,3 +60,9 @@ def entry_columns(entries: DataFrame, fields: list[str]) -> DataFrame:
     return entries.select(
         "entrytype", "ID", *[F.try_element_at("fields", F.lit(f)).alias(f) for f in fields]
     )
+
+
+def all_fields(entries: DataFrame) -> list[str]:
+    """Every field name that occurs: the columns of a table over all entries."""
+    names = entries.select(F.explode(F.map_keys("fields")).alias("field")).distinct()
+    return sorted(row["field"] for row in names.toLocalIterator())

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import bibtex as B
 from citeloom.operators.normalize import normalize_bib
-from citeloom.sources import bib
+from citeloom.plans.build import build_bib
+from citeloom.sources import bib, store
 
 BIB = '''@comment{made by hand}
 
@@ -64,6 +65,14 @@ def test_references(entries):
     assert "myFile" in done.columns and "file" not in done.columns
 
 
+def test_build_unites_the_fields(spark, entries, tmp_path):
+    root = str(tmp_path / "out")
+    assert build_bib(spark, str(tmp_path / "*.bib"), root) == 1
+    table_ = store.open_table(spark, root, "entries")
+    assert {"myID", "entrytype", "abstract", "month", "shortRef", "authorBlock"} <= set(table_.columns)
+    assert table_.count() == 3 and table_.filter("abstract is null").count() == 2
+
+
 @pytest.mark.parametrize(
     "author,block,first,last",
     [
