@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import record as R
-from citeloom.session import by_rows, stored
+from citeloom.session import by_rows, salted_join, stored
 
 NAMES_PER_TASK = 20_000
+SALTS = 16
 
 
 def wanted_files(library: DataFrame) -> DataFrame:
@@ -49,9 +50,10 @@ def resolve_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(lead, title, path) for distinct patterns; ``names`` is a stored table of one path
     per base name, cut by row count because each name yields some hundred pieces."""
     # Sizes per first literal: at most one per title length, which the pattern bounds.
-    leads = patterns.groupBy("lead").agg(
+    sizes = patterns.groupBy("lead").agg(
         F.collect_set(F.char_length("title")).alias("title_sizes")
     )
+    leads = stored(sizes, "leads")
     lead_sizes = leads.agg(F.collect_set(F.char_length("lead"))).scalar()
     tasks = by_rows(names, "basename", NAMES_PER_TASK)
     headed = tasks.withColumn("lead_sizes", lead_sizes).select(
@@ -60,7 +62,9 @@ def resolve_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
             F.filter("lead_sizes", lambda n: n <= F.char_length("basename"))
         ).alias("n"),
     )
-    starting = headed.withColumn("lead", F.expr("left(basename, n)")).join(leads, "lead")
+    # The empty literal starts every name, so the join must not gather by literal alone.
+    heads = headed.withColumn("lead", F.expr("left(basename, n)"))
+    starting = salted_join(heads, leads, ["lead"], "basename", SALTS)
     sized = starting.select(
         "path", "lead", F.expr("substr(basename, n + 1)").alias("rest"),
         F.explode("title_sizes").alias("size"),

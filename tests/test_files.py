@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from helpers import attachment, author, library, record, table
 
+from citeloom import session
 from citeloom.operators import files
 
 
@@ -52,7 +54,9 @@ def test_each_case(spark):
     assert got["e1"] == "/r/a/a.pdf" and got["p3"] == "/r/Lin - word.pdf" and got["n1"] is None
 
 
-def test_random_names(spark):
+@pytest.mark.parametrize("limit", [session.BROADCAST_BYTES, -1])
+def test_random_names(spark, monkeypatch, limit):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
     rng = random.Random(5)
 
     def word(low, high):
