@@ -214,6 +214,13 @@ def _unlabelled(*columns) -> Query:
     return lambda spark, sf_dir: unlabelled_records(spark, sf_dir).select(*columns)
 
 
+def display_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unlabelled_records(spark, sf_dir).select(
+        "_id", R.display_type(F.col("type")).alias("display_type"),
+        R.summary_type(F.col("type")).alias("summary_type"),
+    )
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(ids: str, base: str):
         return R.joined(F.transform(ids, lambda i: R.link(LINK_BASES[base], i)))
@@ -299,10 +306,7 @@ def queries() -> dict[str, Query]:
         "pdf_flag": _unlabelled("_id", "pdfFlag"),
         "short_ref": _unlabelled("_id", "subtitle"),
         "full_ref": _unlabelled("_id", "fullReference"),
-        "display_type": _unlabelled(
-            "_id", R.display_type(F.col("type")).alias("display_type"),
-            R.summary_type(F.col("type")).alias("summary_type"),
-        ),
+        "display_type": display_type,
         "links": _links,
         "library_normalize": _select("ord", *RECORD_COLUMNS),
         "facet_labels": lambda s, d: facets.most_used_first(facets.label_facet(records(s, d))),
