@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from citeloom.plans import oracle, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "labels", "events", "pages", "benchmark", "conversations"]
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,8 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
