@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import ann, chat, licenses, mixing, secret_scan, simhash, vafile
+from citeloom.llm import ann, chat, licenses, mixing, packing, quality, secret_scan, simhash, vafile
 from citeloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> tuple[str, str]:
+    """The vocabulary file and the same vocabulary as ranks, as installed on every machine."""
+    return tuple(public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), *vocabulary())
+    return packed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -51,6 +64,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold the template's control strings."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -69,10 +87,12 @@ def op10_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_packing": op2_packing,
         "op3_licenses": op3_licenses,
         "op5_mixing": op5_mixing,
         "op6_ann": op6_ann,
         "op7_secrets": op7_secrets,
+        "op8_quality": op8_quality,
         "op9_chat": op9_chat,
         "op10_vafile": op10_vafile,
     }

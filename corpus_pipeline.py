@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import mixing, secret_scan, simhash
+from citeloom.llm import mixing, packing, quality, secret_scan, simhash
+from citeloom.llm.queries import table, vocabulary
 from citeloom.session import stored
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; it learns from those of ``docs``."""
+    return quality.kept(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (3-word shingles, 3 bits) the one of the smallest doc_id stays."""
     return simhash.one_of_each(docs, shingle=3, radius=3)
@@ -38,10 +44,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.copied(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, *vocabulary())
+
+
 STAGES = [
+    ("quality classifier", good_documents),
     ("simhash near-dedup", one_of_each_group),
     ("secret scan", without_secrets),
     ("source mix", mixed),
+    ("best-fit packing", packed),
 ]
 ORACLE_SQL = None
 
