@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import ann, chat, licenses, mixing, packing, quality, secret_scan, simhash, vafile
+from citeloom.llm import ann, chat, katz, licenses, mixing, packing, quality, secret_scan, simhash, vafile
 from citeloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,15 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    scored = katz.score(table(spark, sf_dir, "documents"), remainder != 2)
+    return scored.select(
+        "doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -89,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_licenses": op3_licenses,
+        "op4_katz": op4_katz,
         "op5_mixing": op5_mixing,
         "op6_ann": op6_ann,
         "op7_secrets": op7_secrets,
