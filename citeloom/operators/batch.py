@@ -8,10 +8,10 @@ How the work stays proportional to the data, whatever words the queries share:
 * identical queries are answered once and copied to their ids at the end;
 * distinct clauses ("atoms") meet the postings, not queries, so a hot word in a
   million queries is matched to its postings once;
-* each query draws candidates from its rarest atom only, and the other atoms are
-  looked up for those candidates;
-* the word join is salted by record, so the postings of one hot word spread over
-  many tasks; the later joins are keyed by record.
+* each query draws candidates from its rarest atom only, known from the vocabulary, and
+  the other atoms are looked up for those candidates;
+* the word join is salted by record, by the records of the most frequent word, so its
+  postings spread over many tasks; the later joins are keyed by record.
 """
 
 from __future__ import annotations
@@ -26,9 +26,28 @@ from citeloom.operators.search import DEFAULT_LIMIT
 from citeloom.session import salted_join, stored
 
 ATOM = ["field", "word", "is_prefix"]
+ROWS_PER_SALT = 1_000_000
+MOST_SALTS = 1024
 
 
-def expand_prefixes(prefixes: DataFrame, vocabulary: DataFrame, salts: int) -> DataFrame:
+def salts_for(atom_terms: DataFrame) -> int:
+    """Tasks for the postings of the most frequent word asked for."""
+    hottest = atom_terms.agg(F.coalesce(F.max("n_records"), F.lit(0))).first()[0]
+    return max(1, min(MOST_SALTS, -(-hottest // ROWS_PER_SALT)))
+
+
+def _records_with(postings: DataFrame, atom_terms: DataFrame, salts: int) -> DataFrame:
+    """(atom, record) of every posting that satisfies an atom."""
+    rows = postings.select("term", "col", *RECORD_KEY)
+    terms = atom_terms.select("atom", "field", "term")
+    return (
+        salted_join(rows, terms, ["term"], "rec", salts)
+        .filter((F.col("field") == "") | (F.col("field") == F.col("col")))
+        .select("atom", *RECORD_KEY)
+    )
+
+
+def expand_prefixes(prefixes: DataFrame, vocabulary: DataFrame, salts: int = 16) -> DataFrame:
     """Prefix atoms with every word that starts with them, by equi-join.
 
     Words are cut to the prefix lengths that occur, and only to those.
@@ -54,19 +73,31 @@ def _column_of(field: Column) -> Column:
     return F.when(field.isNull(), F.lit("")).otherwise(known)
 
 
+def _one_word(term: Column) -> Column:
+    """The folded word of a clause. Text of no or several words fails the job."""
+    found = words(term)
+    message = F.concat(F.lit("not one word: "), F.coalesce(term, F.lit("NULL")))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.raise_error(message))
+
+
 def batch_search(
     clauses: DataFrame, postings: DataFrame, vocabulary: DataFrame, limit: int = DEFAULT_LIMIT,
-    salts: int = 16,
+    oldest_first: bool = False, folder: str | None = None, salts: int | None = None,
 ) -> DataFrame:
     """Top records per query: query_id, rank, _id, year.
 
-    Intermediate tables are written to the shared folder. That fixes the atom numbers,
-    computes the word join once for its two uses, and lets the joins measure their
-    smaller side: a small batch is broadcast and the postings are never shuffled, a
-    large one meets them on (term, salt).
+    The vocabulary alone names each query's rarest atom. Only these meet the postings
+    freely; of all other words only the rows of candidate records go on, and a query of
+    one atom needs none of them.
+
+    Intermediate tables are written when this is called, to ``folder`` (the caller's, to
+    remove after use) or a fresh one under ``spark.checkpoint.dir``. That fixes the atom
+    numbers and lets the joins measure their smaller side: a small batch is broadcast and
+    the postings are never shuffled, a large one meets them on (term, salt). ``salts``
+    overrides the number that follows from the most frequent word.
     """
     asked = clauses.select(
-        "query_id", _column_of(F.col("field")).alias("field"), F.col("term").alias("word"),
+        "query_id", _column_of(F.col("field")).alias("field"), _one_word(F.col("term")).alias("word"),
         "is_prefix",
     )
     # One signature per query: its sorted distinct clauses. Its size is the query's own length.
@@ -80,51 +111,55 @@ def batch_search(
     numbered = rep_atoms.select(*ATOM).distinct().withColumn(
         "atom", F.monotonically_increasing_id()
     )
-    atoms = stored(numbered, "atoms")
+    atoms = stored(numbered, "atoms", folder)
 
     exact = atoms.filter(~F.col("is_prefix")).join(
         vocabulary.select(F.col("term").alias("word"), "term", "n_records"), "word"
     )
-    opened = expand_prefixes(atoms.filter("is_prefix"), vocabulary, salts)
+    opened = expand_prefixes(atoms.filter("is_prefix"), vocabulary)
     wanted = ["atom", "field", "term", "n_records"]
-    atom_terms = stored(exact.select(*wanted).unionByName(opened.select(*wanted)), "atom_terms")
+    atom_terms = stored(exact.select(*wanted).unionByName(opened.select(*wanted)), "atom_terms", folder)
     # An atom without any word has no weight and so can never be satisfied.
     weights = atom_terms.groupBy("atom").agg(F.sum("n_records").alias("weight"))
-    weighed = stored(atoms.join(weights, "atom"), "weights")
-
-    rows = postings.select("term", "col", *RECORD_KEY)
-    met = (
-        salted_join(rows, atom_terms.select("atom", "field", "term"), ["term"], "ord", salts)
-        .filter((F.col("field") == "") | (F.col("field") == F.col("col")))
-        .select("atom", *RECORD_KEY)
-        .distinct()
-    )
-    atom_records = stored(met, "atom_records")
+    weighed = stored(atoms.join(weights, "atom"), "weights", folder)
 
     leads = (
-        salted_join(rep_atoms, weighed, ATOM, "rep", salts)
+        salted_join(rep_atoms, weighed, ATOM, "rep", 16)
         .groupBy("rep", "n_atoms")
         .agg(
             F.min(F.struct("weight", "atom"))["atom"].alias("atom"),
             F.collect_list("atom").alias("atoms"),
         )
         .filter(F.size("atoms") == F.col("n_atoms"))
-        .select("rep", "atom", "atoms")
+        .select("rep", "atom", F.array_except("atoms", F.array("atom")).alias("others"))
     )
-    # Candidates carry their query's atoms along, so no join on the query follows.
-    candidates = salted_join(atom_records, stored(leads, "leads"), ["atom"], "ord", salts)
-    checks = candidates.select(
-        "rep", F.size("atoms").alias("n_atoms"), *RECORD_KEY, F.explode("atoms").alias("atom")
+    leads = stored(leads, "leads", folder)
+    salts = salts or salts_for(atom_terms)
+    lead_terms = atom_terms.join(leads.select("atom").distinct(), "atom", "left_semi")
+    lead_rows = _records_with(postings, lead_terms, salts).distinct()
+    # Candidates carry their query's other atoms along, so no join on the query follows.
+    candidates = stored(salted_join(lead_rows, leads, ["atom"], "rec", salts), "candidates", folder)
+    single = candidates.filter(F.size("others") == 0).select("rep", *RECORD_KEY)
+
+    checks = candidates.filter(F.size("others") > 0).select(
+        "rep", F.size("others").alias("n"), *RECORD_KEY, F.explode("others").alias("atom")
     )
-    matched = (
-        checks.join(atom_records.select("atom", "ord"), ["atom", "ord"], "left_semi")
-        .groupBy("rep", "n_atoms", *RECORD_KEY)
+    asked_pairs = stored(checks.select("atom", "rec").distinct(), "checks", folder)
+    check_terms = atom_terms.join(asked_pairs.select("atom").distinct(), "atom", "left_semi")
+    # Only rows of a candidate record go on, before anything is shuffled for them.
+    met = _records_with(postings, check_terms, salts).select("atom", "rec")
+    held = salted_join(met, asked_pairs, ["atom", "rec"], "rec", 1).distinct()
+    passed = (
+        checks.join(held, ["atom", "rec"])
+        .groupBy("rep", "n", *RECORD_KEY)
         .count()
-        .filter(F.col("count") == F.col("n_atoms"))
+        .filter(F.col("count") == F.col("n"))
+        .select("rep", *RECORD_KEY)
     )
-    newest = Window.partitionBy("rep").orderBy(F.col("year").desc(), "ord")
-    rank = F.row_number().over(newest)
-    top = matched.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    by_year = F.col("year").asc() if oldest_first else F.col("year").desc()
+    order = Window.partitionBy("rep").orderBy(by_year, "ord", "rec")
+    rank = F.row_number().over(order)
+    top = single.unionByName(passed).withColumn("rank", rank).filter(F.col("rank") <= limit)
     copies = signed.join(unique, "signature").select("query_id", "rep")
     return copies.join(top, "rep").select(
         "query_id", F.col("rank").cast("long").alias("rank"), "_id", "year"

@@ -1,9 +1,8 @@
 """Label, folder and type facets.
 
-Counts are aggregated per (name, id, type) first. That level keeps only long
-buffers, so it runs as a hash aggregate with map-side combine: a label carried
-by every record costs one row per map task and type. The later levels see that
-reduced data only.
+Counts are aggregated per (name, type) first, with the id first seen, then per name.
+Each level combines on the map side before its exchange: a label carried by every
+record costs one row per map task and type, however many ids it has.
 """
 
 from __future__ import annotations
@@ -28,32 +27,28 @@ def name_id_pairs(records: DataFrame, names: str, ids: str, *keep: str) -> DataF
 
 
 def facet_counts(records: DataFrame, names: str, ids: str) -> DataFrame:
-    """Per (name, id, type): records and first order key. Counts of several batches of
+    """Per (name, type): records, first-seen id and its order key. Counts of several batches of
     records may be unioned before ``finish_facet``."""
     raw_type = F.col("type")
     pairs = name_id_pairs(records, names, ids, "ord", "type").select(
         "ord", "name", "id", F.when(raw_type != "", R.summary_type(raw_type)).alias("kind")
     )
-    return pairs.groupBy("name", "id", "kind").agg(
-        F.count("*").alias("n"), F.min("ord").alias("first_ord")
-    )
+    return pairs.groupBy("name", "kind").agg(*_merged(F.count("*")))
+
+
+def _merged(n: Column, order: str = "ord") -> list[Column]:
+    return [
+        n.alias("n"), F.min_by("id", order).alias("id"), F.min(order).alias("first_ord"),
+    ]
 
 
 def finish_facet(counts: DataFrame) -> DataFrame:
     """Per name: records that carry it, first-seen id, and counts per type as text.
 
     Output: name, total, id, summary ("type (n) type (n) ", most used first), first_ord.
-    Both levels share the one exchange on the name.
+    ``counts`` may hold several rows of a (name, type), one per batch.
     """
-    per_type = (
-        counts.repartition("name")
-        .groupBy("name", "kind")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min_by("id", "first_ord").alias("id"),
-            F.min("first_ord").alias("first_ord"),
-        )
-    )
+    per_type = counts.groupBy("name", "kind").agg(*_merged(F.sum("n"), "first_ord"))
     ranked = F.sort_array(
         F.collect_list(F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("k"), "kind")))
     )
@@ -96,9 +91,18 @@ def type_facet(records: DataFrame) -> DataFrame:
     )
 
 
-def facet_pivot(records: DataFrame, names: str, ids: str, types: list[str]) -> DataFrame:
-    """Counts of every given raw type per name, zeros included. The types are the schema."""
+def facet_pivot(
+    records: DataFrame, names: str, ids: str, types: list[str] | None = None
+) -> DataFrame:
+    """Counts of every raw type per name, zeros included. The types are the schema.
+
+    Without ``types`` one job lists those that occur; they are one column each, so only
+    their number bounds what it returns.
+    """
     pairs = name_id_pairs(records, names, ids, "type")
+    if types is None:
+        seen = records.filter("type <> ''").select("type").distinct().collect()
+        types = sorted(row["type"] for row in seen)
     return pairs.groupBy("name").pivot("type", types).count().na.fill(0)
 
 

@@ -70,7 +70,7 @@ def normalize_bib(entries: DataFrame) -> DataFrame:
     """BibTeX entries (flat columns) with names, references and renamed key columns."""
     c = F.col
     present = set(entries.columns)
-    optional = ["author", "journal", "pages", "pmid", "volume", "annot"]
+    optional = ["author", "journal", "pages", "pmid", "volume", "annot", "year", "title"]
     base = entries.withColumns(
         {name: F.lit(None).cast("string") for name in optional if name not in present}
     )
@@ -89,13 +89,15 @@ def normalize_bib(entries: DataFrame) -> DataFrame:
             "annot": F.coalesce(c("annot"), F.lit("")),
         }
     )
+    # An entry without year or title still has references.
+    year, title = F.coalesce(c("year"), F.lit("-")), F.coalesce(c("title"), F.lit(""))
     short = F.concat(
         c("firstAuthor"), F.lit("-"), c("lastAuthor"), F.lit(", "), c("journal"), F.lit(" "),
-        c("year"), F.lit(" "), c("pmid"),
+        year, F.lit(" "), c("pmid"),
     )
     full = F.concat(
-        c("authorBlock"), F.lit(". "), c("title"), F.lit(". "), c("journal"), F.lit(" "),
-        c("year"), F.lit(";"), c("volume"), c("pagesPart"), c("pmidPart"),
+        c("authorBlock"), F.lit(". "), title, F.lit(". "), c("journal"), F.lit(" "),
+        year, F.lit(";"), c("volume"), c("pagesPart"), c("pmidPart"),
     )
     return (
         step.withColumns({"shortRef": short, "fullRef": full})

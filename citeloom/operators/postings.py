@@ -1,8 +1,9 @@
 """The positional word table and searches over it.
 
-One row per (word, column, record, position), with the record's order key and
-year alongside so that ranking needs no join back to the records. Stored sorted
-by word, range-partitioned on (word, record): equality and prefix filters prune
+One row per (word, column, record, position), with the record's id, order key and
+year alongside so that ranking needs no join back to the records. ``rec`` is the key
+of the stored record; ``_id`` may be absent or repeated. Stored sorted by word,
+range-partitioned on (word, record): equality and prefix filters prune
 files and row groups, and a word that fills a third of the table still spreads
 over as many files as its size needs.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.tokens import fold, raw_words, words
@@ -20,27 +21,50 @@ from citeloom.operators.clauses import (
 )
 from citeloom.operators.normalize import RECORD_COLUMNS
 
-RECORD_KEY = ["_id", "ord", "year"]
+RECORD_KEY = ["rec", "_id", "ord", "year"]
+ROWS_PER_FILE = 20_000_000
 MASK_BITS = 62
 MAX_RARE_ROWS = 1_000_000  # a broadcast of at most that many record keys
 MIN_HOT_ROWS = 1_000_000  # below this a word's postings are shuffled as they are
 
 
+def keyed(records: DataFrame, batch: int = 0) -> DataFrame:
+    """Records with ``rec``, unique and rising in file order once they are written.
+
+    A table that has it keeps it; batches of one table pass their number. The key is
+    made where records are written, so it is the same for all who read them.
+    """
+    if "rec" in records.columns:
+        return records
+    position = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    return records.withColumn("rec", F.concat(F.lit(f"{batch:08x}"), position))
+
+
 def build_postings(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Narrow: each record yields its words; nothing is shuffled until the table is written."""
     columns = columns or RECORD_COLUMNS
+    records = keyed(records)
     fields = F.array(
         *[F.struct(F.lit(c).alias("col"), raw_words(F.col(c)).alias("words")) for c in columns]
     )
     per_column = records.select(*RECORD_KEY, F.inline(fields))
     return per_column.select(
         *RECORD_KEY, "col", F.posexplode("words").alias("pos", "word")
-    ).select(fold(F.col("word")).alias("term"), "col", "_id", "pos", "ord", "year")
+    ).select(fold(F.col("word")).alias("term"), "col", "pos", *RECORD_KEY)
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
+def files_for(spark: SparkSession, n_rows: int, rows_per_file: int) -> int:
+    """Files by measured rows; small tables still use all cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_per_file))
+
+
+def write_postings(
+    postings: DataFrame, path: str, n_rows: int, rows_per_file: int = ROWS_PER_FILE
+) -> None:
+    """``n_rows`` is the number of postings; the vocabulary's occurrences add up to it."""
+    files = files_for(postings.sparkSession, n_rows, rows_per_file)
     (
-        postings.repartitionByRange("term", "_id")
+        postings.repartitionByRange(files, "term", "rec")
         .sortWithinPartitions("term")
         .write.mode("overwrite")
         .parquet(path)
@@ -76,14 +100,19 @@ def _word_test(phrase: Phrase, index: int) -> Column:
     return _term_test(phrase.words[index], phrase.prefix and is_last)
 
 
-def write_vocabulary(words_table: DataFrame, path: str) -> None:
-    """Sorted by word, so that looking a few words up reads few row groups."""
+def write_vocabulary(words_table: DataFrame, path: str) -> int:
+    """Sorted by word, so that looking a few words up reads few row groups.
+
+    Returns the number of occurrences, which is the number of postings.
+    """
     (
         words_table.repartitionByRange("term")
         .sortWithinPartitions("term")
         .write.mode("overwrite")
         .parquet(path)
     )
+    written = words_table.sparkSession.read.parquet(path)
+    return written.agg(F.coalesce(F.sum("n_occurrences"), F.lit(0))).first()[0]
 
 
 def keep_rarest(postings: DataFrame, vocabulary: DataFrame, clause: Clause) -> DataFrame:
@@ -105,8 +134,8 @@ def keep_rarest(postings: DataFrame, vocabulary: DataFrame, clause: Clause) -> D
     rarest = sizes.index(min(sizes))
     if sizes[rarest] > MAX_RARE_ROWS or max(sizes) < MIN_HOT_ROWS:
         return postings
-    holders = postings.filter(tests[rarest]).select("ord")
-    return postings.join(F.broadcast(holders), "ord", "left_semi")
+    holders = postings.filter(tests[rarest]).select("rec")
+    return postings.join(F.broadcast(holders), "rec", "left_semi")
 
 
 def _term_test(word: str, is_prefix: bool) -> Column:
@@ -176,13 +205,16 @@ def _near_records(postings: DataFrame, near: Near) -> DataFrame:
 
 
 def matching_records(
-    postings: DataFrame, clause: Clause, vocabulary: DataFrame | None = None
+    postings: DataFrame, clause: Clause | None, vocabulary: DataFrame | None = None
 ) -> DataFrame:
     """Record keys that satisfy a clause tree; with a vocabulary, rare words go first.
+    No clause, no result.
 
     Each leaf owns a bit. One aggregation per record ors the bits, and the whole
     boolean tree is then a test on that mask; NOT needs no anti join.
     """
+    if clause is None:
+        return postings.select(*RECORD_KEY).limit(0)
     if vocabulary is not None:
         postings = keep_rarest(postings, vocabulary, clause)
     found = leaves(clause)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import record as R
 from citeloom.operators.clauses import Clause, row_predicate
 from citeloom.operators.normalize import RECORD_COLUMNS
-from citeloom.operators.postings import RECORD_KEY, matching_records
+from citeloom.operators.postings import RECORD_KEY, keyed, matching_records
 
 DEFAULT_LIMIT = 99  # fixed value: results per search
-BROADCAST_ROWS = 10_000
+FETCH_KEYS = 1_000  # limits up to this are fetched by key, without a join
 
 
 def match_records(records: DataFrame, clause: Clause | None) -> DataFrame:
@@ -43,7 +43,8 @@ def top_by_year(
     if limit < 1:
         raise ValueError("limit must be positive")
     by_year = F.col("year").asc() if oldest_first else F.col("year").desc()
-    return matches.orderBy(by_year, "ord").limit(limit)
+    ties = ["ord", "rec"] if "rec" in matches.columns else ["ord"]
+    return matches.orderBy(by_year, *ties).limit(limit)
 
 
 def search(
@@ -55,18 +56,38 @@ def search(
 
 
 def search_postings(
-    postings: DataFrame, records: DataFrame, clause: Clause, limit: int = DEFAULT_LIMIT,
+    postings: DataFrame, records: DataFrame, clause: Clause | None, limit: int = DEFAULT_LIMIT,
     oldest_first: bool = False, columns: list[str] | None = None,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Postings form: only the rows of the query's words are read, the top hits are
-    ranked from the postings alone, and at most ``limit`` of them meet the records."""
+    """Postings form: only the rows of the query's words are read, and the top hits are
+    ranked from the postings alone.
+
+    Up to ``FETCH_KEYS`` the search runs when this is called, and the records are filtered
+    by the hits' keys as literals: records lie in key order, so only the hits' row groups
+    are read. A larger limit meets the records in a join.
+    """
+    records = keyed(records)
+    wanted = records.select("rec", "ord", *(columns or RECORD_COLUMNS))
+    if clause is None:
+        return wanted.limit(0).drop("rec")
     found = matching_records(postings, clause, vocabulary)
-    hits = top_by_year(found, limit, oldest_first).select("ord")
-    if limit <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-    wanted = records.select("ord", *(columns or RECORD_COLUMNS))
-    return top_by_year(wanted.join(hits, "ord", "left_semi"), limit, oldest_first)
+    hits = top_by_year(found, limit, oldest_first).select("rec")
+    if limit <= FETCH_KEYS:
+        keys = [F.col("rec") == row["rec"] for row in hits.collect()]
+        chosen = wanted.filter(either(keys)) if keys else wanted.limit(0)
+    else:
+        chosen = wanted.join(hits, "rec", "left_semi")
+    return top_by_year(chosen, limit, oldest_first).drop("rec")
+
+
+def either(tests: list[Column]) -> Column:
+    """Any of the tests. Equalities one by one, since Parquet prunes on each of them,
+    where a long IN list prunes on its range only."""
+    while len(tests) > 1:
+        pairs = [tests[i : i + 2] for i in range(0, len(tests), 2)]
+        tests = [p[0] | p[1] if len(p) == 2 else p[0] for p in pairs]
+    return tests[0]
 
 
 def result_rows(top: DataFrame, oldest_first: bool = False, key_prefix: str = "@") -> DataFrame:

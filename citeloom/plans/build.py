@@ -31,14 +31,15 @@ def build_library(
             return version
     version += 1
     store.write_table(files, root, version, "manifest")
-    records = store.write_table(normalize(read(spark, source)), root, version, "records")
+    keyed = postings.keyed(normalize(read(spark, source)))
+    records = store.write_table(keyed, root, version, "records")
     store.write_table(facets.label_facet(records), root, version, "label_facet")
     store.write_table(facets.folder_facet(records), root, version, "folder_facet")
     store.write_table(facets.type_facet(records), root, version, "type_facet")
-    word_path = f"{store.version_dir(root, version)}/postings"
-    postings.write_postings(postings.build_postings(records), word_path)
     vocabulary_path = f"{store.version_dir(root, version)}/vocabulary"
-    postings.write_vocabulary(postings.vocabulary(records), vocabulary_path)
+    n_rows = postings.write_vocabulary(postings.vocabulary(records), vocabulary_path)
+    word_path = f"{store.version_dir(root, version)}/postings"
+    postings.write_postings(postings.build_postings(records), word_path, n_rows)
     store.publish(spark, root, version)
     return version
 

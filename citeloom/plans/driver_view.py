@@ -22,6 +22,7 @@ BASE = {
     "pubtype": "case d.doc_id % 5 when 0 then 'PP_ARTICLE' when 1 then 'PP_JOURNAL_ARTICLE'"
     " when 2 then 'PP_BOOK' when 3 then 'PP_REVIEW' else 'PP_THESIS' end",
     "kind": "case d.doc_id % 7 when 0 then 'Review' when 1 then 'News' when 2 then 'Other'"
+    " when 3 then 'Commentary'"
     " else null end",
     "journal": "case when d.doc_id % 8 = 0 then null else concat('J. ', d.source, '. Res.') end",
     "pmid": "case when d.doc_id % 10 = 0 then null else cast(100000 + d.doc_id as varchar(10)) end",

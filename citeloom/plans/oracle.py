@@ -316,11 +316,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "union_schema": """SELECT cast(conv_id AS varchar) AS conv_id, cast(turn AS varchar) AS turn,
             role, text, NULL::varchar AS event_id, NULL::varchar AS user_id,
-            NULL::varchar AS event_type, NULL::varchar AS props, NULL::varchar AS item_id
-            FROM conversations
+            NULL::varchar AS event_type, NULL::varchar AS props, NULL::varchar AS ts,
+            NULL::varchar AS value, NULL::varchar AS item_id FROM conversations
             UNION ALL SELECT NULL, NULL, NULL, NULL, cast(event_id AS varchar),
-            cast(user_id AS varchar), event_type, props, NULL FROM events
-            UNION ALL SELECT NULL, NULL, NULL, text, NULL, NULL, NULL, NULL,
+            cast(user_id AS varchar), event_type, props, cast(ts AS varchar),
+            cast(value AS varchar), NULL FROM events
+            UNION ALL SELECT NULL, NULL, NULL, text, NULL, NULL, NULL, NULL, NULL, NULL,
             cast(item_id AS varchar) FROM benchmark""",
         "label_export": f"WITH {LIB} SELECT {RAW_COLUMNS} FROM lib"
         " WHERE list_contains(labelsNamed, 'interesting')",
@@ -362,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(
             f"""count(*) FILTER (type = '{t}') AS "{t}" """
             for t in ["PP_ARTICLE", "PP_JOURNAL_ARTICLE", "PP_BOOK", "PP_REVIEW", "PP_THESIS",
-                      "Review", "News"]
+                      "Review", "News", "Commentary"]
         )
         + " FROM p GROUP BY name",
         "facet_display": f"""WITH {LABEL_FACET} SELECT concat(label, ' (', total, ')') AS display,

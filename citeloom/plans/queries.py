@@ -15,7 +15,7 @@ from citeloom.operators.clauses import Near, Not, Phrase, Term, row_predicate, t
 from citeloom.operators.normalize import RECORD_COLUMNS, complete_only, normalize, normalize_bib
 from citeloom.operators.normalize import with_defaults
 from citeloom.operators.postings import (
-    build_postings, matching_records, vocabulary, write_postings, write_vocabulary,
+    build_postings, keyed, matching_records, vocabulary, write_postings, write_vocabulary,
 )
 from citeloom.plans import driver_view
 from citeloom.plans.driver_view import bib_text, table
@@ -25,9 +25,6 @@ from citeloom.sources import library as lib_io
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RAW_TYPES = [
-    "PP_ARTICLE", "PP_JOURNAL_ARTICLE", "PP_BOOK", "PP_REVIEW", "PP_THESIS", "Review", "News",
-]
 LINK_BASES = {
     "record": "https://library.example/p/",
     "label": "https://library.example/label/",
@@ -99,14 +96,17 @@ def bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record table as a build leaves it; searches read this."""
     return _stored(
-        spark, sf_dir, "records", lambda path: records(spark, sf_dir).write.parquet(path)
+        spark, sf_dir, "records", lambda path: keyed(records(spark, sf_dir)).write.parquet(path)
     )
 
 
 def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(
         spark, sf_dir, "postings",
-        lambda path: write_postings(build_postings(stored_records(spark, sf_dir)), path),
+        lambda path: write_postings(
+            build_postings(stored_records(spark, sf_dir)), path,
+            stored_vocabulary(spark, sf_dir).agg(F.sum("n_occurrences")).first()[0] or 0,
+        ),
     )
 
 
@@ -144,7 +144,7 @@ def schema_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.union_schema(
         table(spark, sf_dir, "conversations"),
-        table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"),
+        table(spark, sf_dir, "events"),
         table(spark, sf_dir, "benchmark"),
     )
 
@@ -312,14 +312,14 @@ def queries() -> dict[str, Query]:
         "facet_labels": lambda s, d: facets.most_used_first(facets.label_facet(records(s, d))),
         "facet_folders": lambda s, d: facets.most_used_first(facets.folder_facet(unlabelled_records(s, d))),
         "facet_types": lambda s, d: facets.most_used_first(facets.type_facet(unlabelled_records(s, d))),
-        "facet_pivot": lambda s, d: facets.facet_pivot(
-            records(s, d), "labelsNamed", "labels", RAW_TYPES
-        ),
+        "facet_pivot": lambda s, d: facets.facet_pivot(records(s, d), "labelsNamed", "labels"),
         "facet_display": lambda s, d: facets.facet_display(
             facets.label_facet(records(s, d)), "label", "label_id"
         ),
         "facet_search": facet_search,
-        "postings": lambda s, d: build_postings(records(s, d)).select("term", "col", "_id", "pos"),
+        "postings": lambda s, d: build_postings(stored_records(s, d)).select(
+            "term", "col", "_id", "pos"
+        ),
         "term_stats": lambda s, d: vocabulary(records(s, d)),
         **{name: _matches(name) for name in CLAUSES},
         **{f"{name}_postings": _postings_matches(name) for name in CLAUSES},

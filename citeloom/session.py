@@ -41,12 +41,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/citeloom-{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and gives the optimizer the real size.
+    Without ``folder`` a fresh one under ``spark.checkpoint.dir`` takes it; whoever owns
+    that setting removes it, as with checkpoints. A named folder is the caller's to remove.
     """
-    path = scratch_dir(df.sparkSession, name)
+    path = f"{folder}/{uuid.uuid4().hex}/{name}" if folder else scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from citeloom.operators import facets
 from citeloom.operators.normalize import normalize
-from citeloom.operators.postings import build_postings, write_postings
+from citeloom.operators.postings import (
+    build_postings, keyed, vocabulary, write_postings, write_vocabulary,
+)
 from citeloom.sources.schema import LIBRARY
 
 FACETS = {"label_counts": ("labelsNamed", "labels"), "folder_counts": ("foldersNamed", "folders")}
@@ -36,12 +38,14 @@ def ingest_new_files(
         def target(name: str) -> str:
             return f"{root}/{name}/batch={batch_id}"
 
-        normalize(batch).write.mode("overwrite").parquet(target("records"))
+        keyed(normalize(batch), batch_id).write.mode("overwrite").parquet(target("records"))
         records = batch.sparkSession.read.parquet(target("records"))
         for name, (names, ids) in FACETS.items():
             counts = facets.facet_counts(records, names, ids)
             counts.write.mode("overwrite").parquet(target(name))
-        write_postings(build_postings(records), target("postings"))
+        facets.type_facet(records).write.mode("overwrite").parquet(target("type_counts"))
+        n_rows = write_vocabulary(vocabulary(records), target("vocabulary"))
+        write_postings(build_postings(records), target("postings"), n_rows)
 
     return (
         lines.writeStream.foreachBatch(write_batch)
@@ -61,6 +65,25 @@ def open_ingested(spark: SparkSession, root: str, name: str) -> DataFrame | None
         raise
 
 
+def ingested_vocabulary(spark: SparkSession, root: str) -> DataFrame:
+    """Words of all batches so far; the counts of batches add up."""
+    words = open_ingested(spark, root, "vocabulary")
+    if words is None:
+        raise ValueError(f"nothing ingested under {root}")
+    return words.groupBy("term").agg(
+        *[F.sum(n).alias(n) for n in ("n_occurrences", "n_records")]
+    )
+
+
+def ingested_types(spark: SparkSession, root: str) -> DataFrame:
+    counts = open_ingested(spark, root, "type_counts")
+    if counts is None:
+        raise ValueError(f"nothing ingested under {root}")
+    return counts.groupBy("type").agg(
+        F.sum("total").alias("total"), F.min("first_ord").alias("first_ord")
+    )
+
+
 def ingested_facet(spark: SparkSession, root: str, name: str = "label_counts") -> DataFrame:
     counts = open_ingested(spark, root, name)
     if counts is None:

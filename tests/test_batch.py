@@ -86,3 +86,28 @@ def test_small_batch_does_not_shuffle_the_postings(spark, tmp_path):
     joined = session.salted_join(large, small, ["term"], "ord", 4)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and not re.search(r"Exchange hashpartitioning", plan)
+
+
+def test_terms_are_folded_and_checked(spark):
+    recs = normalize(library(spark, record("a", title="gene therapy"), record("b", title="other")))
+    clauses = spark.createDataFrame([(1, 0, None, "Gene", False)], CLAUSES)
+    assert run(spark, recs, clauses) == {1: ["a"]}
+    for bad in ("gene therapy", "--", None):
+        with pytest.raises(Exception, match="not one word"):
+            run(spark, recs, spark.createDataFrame([(1, 0, None, bad, False)], CLAUSES))
+
+
+def test_oldest_first_equal_ids_and_a_named_folder(spark, tmp_path):
+    recs = normalize(library(spark, *[
+        record("same" if i % 2 else None, title="gene " + ("ex" if i % 3 else "in"), published={"year": str(2000 + i)})
+        for i in range(9)
+    ]))
+    clauses = spark.createDataFrame([(1, 0, None, "gene", False), (1, 1, None, "ex", True), (2, 0, None, "in", False)], CLAUSES)
+    got = batch_search(
+        clauses, build_postings(recs), vocabulary(recs), oldest_first=True, folder=str(tmp_path / "work")
+    )
+    years = {}
+    for query_id, year in table(got.orderBy("query_id", "rank"), "query_id", "year"):
+        years.setdefault(query_id, []).append(int(year) - 2000)
+    assert years == {1: [1, 2, 4, 5, 7, 8], 2: [0, 3, 6]}
+    assert (tmp_path / "work").exists()

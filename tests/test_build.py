@@ -7,8 +7,13 @@ from helpers import table
 from citeloom.operators.refresh import changed_files, file_status
 from citeloom.plans.build import build_library
 from citeloom.sources import library, raw, store
-from citeloom.streaming.ingest import ingest_new_files, ingested_facet, open_ingested
-from citeloom.operators import facets
+from citeloom.streaming.ingest import (
+    ingest_new_files, ingested_facet, ingested_types, ingested_vocabulary, open_ingested,
+)
+from citeloom.operators import facets, search
+from citeloom.operators.batch import batch_search, typed_queries
+from citeloom.operators.clauses import Term
+from citeloom.operators.postings import vocabulary
 
 
 def rec(i, **more):
@@ -156,3 +161,13 @@ def test_incremental_ingest_equals_a_full_pass(spark, source, tmp_path):
         table(full, "label", "total", "label_id", "summary")
     )
     assert open_ingested(spark, root, "postings").filter("term = 'title'").count() > 0
+    assert sorted(table(ingested_types(spark, root), "type", "total")) == sorted(
+        table(facets.type_facet(records), "type", "total")
+    )
+    words = ingested_vocabulary(spark, root)
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, vocabulary(records).collect()))
+    asked = spark.createDataFrame([(1, "title")], "query_id long, text string")
+    hits = batch_search(
+        typed_queries(asked, "query_id", "text"), open_ingested(spark, root, "postings"), words
+    )
+    assert hits.count() == search.match_records(records, Term("title")).count() > 0

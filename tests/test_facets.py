@@ -75,8 +75,22 @@ def test_display_and_name_search(spark):
 
 
 def test_hot_label_travels_as_one_row_per_task_and_type(spark):
-    """Both aggregations over raw rows keep numeric buffers only, so they hash."""
+    """An aggregate stands before each exchange, and none is keyed by the id."""
     plan = facets.label_facet(records(spark, labelled("a", ["x"], ["1"])))
-    text = plan._jdf.queryExecution().sparkPlan().toString()
-    first = [line for line in text.splitlines() if "min(ord" in line and "count(1)" in line]
-    assert first and all("HashAggregate" in line for line in first)
+    lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(at) == 2
+    assert all("functions=[partial_" in lines[i + 1] for i in at)
+    assert not any("id#" in lines[i].split("ENSURE")[0] for i in at)
+
+
+def test_one_label_of_very_many_ids(spark):
+    rows = [labelled(f"r{i}", ["hot"], [f"id{i}"], "PP_BOOK" if i % 4 else "PP_ARTICLE") for i in range(10_000)]
+    got = table(facets.label_facet(records(spark, *rows)), "label", "total", "label_id", "summary")
+    assert got == [("hot", 10_000, "id0", "book (7500) article (2500) ")]
+
+
+def test_pivot_counts_every_type_that_occurs(spark):
+    recs = records(spark, labelled("a", ["x"], ["1"], kind="Commentary"), labelled("b", ["x"], ["1"]))
+    got = facets.facet_pivot(recs, "labelsNamed", "labels")
+    assert table(got, "name", "Commentary", "PP_ARTICLE") == [("x", 1, 1)]

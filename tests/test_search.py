@@ -223,3 +223,52 @@ def test_leaves_are_distinct():
 def test_row_predicate_is_never_null(spark):
     df = spark.createDataFrame([(None,), ("x",)], "t string")
     assert df.filter(~row_predicate(Term("x"), ["t"])).count() == 1
+
+
+def test_equal_and_missing_ids_are_records_of_their_own(spark):
+    rows = [record("x", title="alpha"), record("x", title="beta"), record(None, title="gamma"),
+            record(None, title="gamma delta"), record("y", title="alpha beta")]
+    recs = normalize(library(spark, *rows))
+    posts = build_postings(recs)
+
+    def titles(clause):
+        return sorted(r[0] for r in table(search.search_postings(posts, recs, clause), "title"))
+
+    assert titles(Term("alpha") & Term("beta")) == ["alpha beta"]
+    assert titles(Term("alpha")) == ["alpha", "alpha beta"]
+    assert titles(Term("gamma")) == ["gamma", "gamma delta"]
+    assert titles(Not(Term("gamma"), Term("delta"))) == ["gamma"]
+    for clause in (Term("alpha") & Term("beta"), Term("gamma"), Phrase(("gamma", "delta"))):
+        assert titles(clause) == sorted(r[0] for r in table(search.match_records(recs, clause), "title"))
+
+
+def test_no_words_no_hits_in_either_form(spark):
+    recs = small(spark, "a", "b")
+    posts = build_postings(recs)
+    assert typed_text("--") is None
+    assert search.search(recs, None).count() == 0
+    assert matching_records(posts, None).count() == 0
+    assert search.search_postings(posts, recs, None, columns=["title"]).count() == 0
+
+
+def test_top_hits_are_read_by_key(spark, tmp_path):
+    path = str(tmp_path / "records")
+    rows = [record(f"r{i}", title="hit" if i % 50 == 3 else "miss") for i in range(1000)]
+    postings.keyed(normalize(library(spark, *rows)).repartition(4)).write.parquet(path)
+    recs = spark.read.parquet(path)
+    found = search.search_postings(build_postings(recs), recs, Term("hit"), limit=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Or(EqualTo(rec," in plan.replace(" ", "") and "Join" not in plan
+    expected = [(f"r{i}",) for i in range(3, 1000, 50)][:3]
+    assert table(found, "_id") == table(search.search(recs, Term("hit"), limit=3), "_id")
+    assert len(expected) == found.count()
+    joined = search.search_postings(build_postings(recs), recs, Term("hit"), limit=search.FETCH_KEYS + 1)
+    assert joined.count() == 20
+
+
+def test_files_follow_the_rows(spark, tmp_path):
+    recs = small(spark, *["some words of a title"] * 50)
+    n = vocabulary(recs).agg({"n_occurrences": "sum"}).first()[0]
+    postings.write_postings(build_postings(recs), str(tmp_path / "p"), n, rows_per_file=n // 20)
+    assert len(list((tmp_path / "p").glob("*.parquet"))) >= 15
+    assert spark.read.parquet(str(tmp_path / "p")).count() == n
