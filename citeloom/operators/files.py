@@ -9,8 +9,9 @@ by a third of all files nor one shared by a third of all records pairs up:
 
 * exact: one row per base name (smallest path) meets one row per wanted name;
 * pattern: each base name is cut at the lengths of wanted first literals, then, for
-  the literals it really starts with, at the lengths of their wanted titles. The
-  cuts are reduced to one smallest path each before they meet the patterns.
+  the literals it really starts with, at the lengths of their wanted titles. Cuts that
+  equal no wanted pattern are dropped in place; the rest is reduced to one smallest
+  path each.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import record as R
-from citeloom.session import by_rows, salted_join, stored
+from citeloom.session import by_rows, fits_broadcast, salted_join, stored
 
 NAMES_PER_TASK = 20_000
 SALTS = 16
@@ -74,9 +75,13 @@ def resolve_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
     pieces = sized.select(
         "path", "lead", "rest", "size", F.explode(F.sequence(F.lit(1), last_start)).alias("start")
     ).select("path", "lead", F.expr("substr(rest, start, size)").alias("title"))
-    return pieces.groupBy("lead", "title").agg(F.min("path").alias("path")).join(
-        patterns, ["lead", "title"]
-    )
+    # Pieces that no record wants go before anything is shuffled for them; only where the
+    # patterns are too many to broadcast do the pieces meet them reduced.
+    smallest = F.min("path").alias("path")
+    if fits_broadcast(patterns):
+        wanted = pieces.join(F.broadcast(patterns), ["lead", "title"], "left_semi")
+        return wanted.groupBy("lead", "title").agg(smallest)
+    return pieces.groupBy("lead", "title").agg(smallest).join(patterns, ["lead", "title"])
 
 
 def resolve_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -96,7 +101,8 @@ def resolve_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
         .otherwise(own_key)
     )
     names = stored(files.groupBy("basename").agg(F.min("path").alias("path")), "names")
-    patterns = wanted.filter(F.col("lead").isNotNull()).select("lead", "title").distinct()
+    asked = wanted.filter(F.col("lead").isNotNull()).select("lead", "title").distinct()
+    patterns = stored(asked, "patterns")
     by_name = names.select(key_of("exact", F.col("basename"), F.lit("")).alias("key"), "path")
     by_pattern = resolve_patterns(patterns, names).select(pattern_key.alias("key"), "path")
     # The resolved side has one row per key, so a hot key is skewed on the record side

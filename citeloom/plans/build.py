@@ -17,9 +17,13 @@ def build_library(
     source: str,
     root: str,
     read: Callable[[SparkSession, str], DataFrame] = library.read_lines,
+    allow_rejected: bool = False,
 ) -> int:
     """Build a new version when any input file differs; returns the current version.
 
+    Pieces of the input that are no record go to the version's ``rejected`` table. If there
+    are any, the build fails before it publishes, unless ``allow_rejected``.
+
     Records are written once and every other table reads them back. The manifest is
     the file list as it was before the read, and the version is published last.
     """
@@ -31,7 +35,12 @@ def build_library(
             return version
     version += 1
     store.write_table(files, root, version, "manifest")
-    keyed = postings.keyed(normalize(read(spark, source)))
+    found = read(spark, source)
+    if library.CORRUPT in found.columns:
+        bad = store.write_table(library.rejected(found), root, version, "rejected")
+        _refuse(bad, f"{store.version_dir(root, version)}/rejected", allow_rejected)
+        found = library.accepted(found)
+    keyed = postings.keyed(normalize(found))
     records = store.write_table(keyed, root, version, "records")
     store.write_table(facets.label_facet(records), root, version, "label_facet")
     store.write_table(facets.folder_facet(records), root, version, "folder_facet")
@@ -44,9 +53,21 @@ def build_library(
     return version
 
 
-def build_bib(spark: SparkSession, source: str, root: str) -> int:
-    """All entries of a folder of ``.bib`` files as one table over the union of their fields."""
+def _refuse(bad: DataFrame, path: str, allowed: bool) -> None:
+    n = bad.count()
+    if n and not allowed:
+        raise ValueError(f"{n} pieces of the input are no record, see {path}")
+
+
+def build_bib(spark: SparkSession, source: str, root: str, allow_rejected: bool = False) -> int:
+    """All entries of a folder of ``.bib`` files as one table over the union of their fields.
+
+    Blocks that are no entry, and entries with text that no field takes, go to the version's
+    ``rejected`` table and fail the build unless ``allow_rejected``.
+    """
     version = store.current_version(spark, root) + 1
+    bad = store.write_table(bib.rejected(spark, source), root, version, "rejected")
+    _refuse(bad, f"{store.version_dir(root, version)}/rejected", allow_rejected)
     read = bib.read_entries(spark, source)
     entries = bib.entry_columns(read, bib.all_fields(read))
     store.write_table(normalize_bib(entries), root, version, "entries")

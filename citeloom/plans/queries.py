@@ -123,7 +123,7 @@ def library_lines(spark: SparkSession, sf_dir: str) -> str:
 
 
 def library_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lib_io.read_lines(spark, library_lines(spark, sf_dir))
+    read = lib_io.accepted(lib_io.read_lines(spark, library_lines(spark, sf_dir)))
     return read.select(
         "_id", "incomplete", "title", "abstract", F.col("published.year").alias("year"),
         R.author_block(F.col("author")).alias("authors"), "journal", "pmid",

@@ -66,6 +66,13 @@ def by_rows(table: DataFrame, key: str, rows_per_task: int) -> DataFrame:
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def fits_broadcast(small: DataFrame) -> bool:
+    """Whether a stored table, measured row by row, may be broadcast."""
+    width = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    size = small.agg(F.coalesce(width, F.lit(0)).alias("bytes")).first()["bytes"]
+    return size <= BROADCAST_BYTES
+
+
 def salted_join(
     large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, salts: int
 ) -> DataFrame:
@@ -75,9 +82,7 @@ def salted_join(
     side stays where it is. Beyond that both sides are shuffled on the keys and a salt
     taken from ``spread_by``, so one hot key becomes ``salts`` tasks.
     """
-    width = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    size = small.agg(F.coalesce(width, F.lit(0)).alias("bytes")).first()["bytes"]
-    if size <= BROADCAST_BYTES:
+    if fits_broadcast(small):
         return large.join(F.broadcast(small), keys)
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

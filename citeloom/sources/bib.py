@@ -20,23 +20,65 @@ MONTHS = {
 }
 NOT_ENTRIES = ["comment", "string", "preamble"]
 
-_HEAD = r"^@?\s*([A-Za-z]+)\s*[{(]\s*([^,\s]*)\s*,"
-# name = {value} | "value" | bare, each closed by a comma or the end of the entry.
-_FIELD = (
-    r"(?s)(?<=[,\n])\s*([A-Za-z][\w-]*)[ \t]*=[ \t]*(\{.*?\}|\".*?\"|[^\s,{}\"]+)"
-    r"[ \t]*(?=,[ \t]*\r?\n|,?\s*[})]?\s*\z)"
-)
+_HEAD = r"\A\s*@?\s*([A-Za-z]+)\s*[{(]\s*([^,\s{}]*)\s*(?=,)"
+
+
+def _braced(depth: int) -> str:
+    """Balanced braces up to a depth; runs are possessive, so long values stay cheap."""
+    inner = _braced(depth - 1) if depth > 1 else ""
+    return r"\{(?:[^{}]++" + (f"|{inner}" if inner else "") + r")*+\}"
+
+
+#: Braces within a value may nest this deep.
+DEPTH = 6
+_VALUE = rf"{_braced(DEPTH)}|\"[^\"]*+\"|[^\s,{{}}\"]+"
+# name = {value} | "value" | bare, each after a comma (or a line end) and closed by a comma or
+# the end of the entry.
+_FIELD = rf"(?s)(?<=[,\n])\s*([A-Za-z][\w-]*+)\s*=\s*({_VALUE})\s*(?=,|[}})]?\s*\z)"
+# An entry that starts on a line of its own but not in its first column.
+_INNER = r"\n[ \t]+(?=@\s*[A-Za-z]+\s*[{(]\s*[^,\s{}]*\s*,)"
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Pieces of the files that start like an entry: source_file, value."""
+    pieces = spark.read.text(path, lineSep="\n@")
+    return pieces.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.explode(F.split("value", _INNER)).alias("value"),
+    )
+
+
+def _headed(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumns(
+        {
+            "entrytype": F.lower(F.regexp_extract("value", _HEAD, 1)),
+            "ID": F.regexp_extract("value", _HEAD, 2),
+        }
+    )
+
+
+def _is_entry() -> Column:
+    return (F.col("entrytype") != "") & ~F.col("entrytype").isin(NOT_ENTRIES)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """One row per entry: lower-case type, key and a map of lower-case field to text."""
-    blocks = spark.read.text(path, lineSep="\n@").select(
-        F.lower(F.regexp_extract("value", _HEAD, 1)).alias("entrytype"),
-        F.regexp_extract("value", _HEAD, 2).alias("ID"),
-        F.col("value").alias("body"),
-    )
-    entries = blocks.filter((F.col("entrytype") != "") & ~F.col("entrytype").isin(NOT_ENTRIES))
-    return entries.select("entrytype", "ID", _field_map(F.col("body")).alias("fields"))
+    entries = _headed(_blocks(spark, path)).filter(_is_entry())
+    return entries.select("entrytype", "ID", _field_map(F.col("value")).alias("fields"))
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """What ``read_entries`` leaves unread: source_file, value.
+
+    Blocks that are no entry (but for comments, strings and preambles, and text without any
+    ``@word{``), and entries in which text remains beside the head and the fields.
+    """
+    blocks = _headed(_blocks(spark, path))
+    rest = F.regexp_replace(F.regexp_replace("value", _FIELD, ""), _HEAD, "")
+    unread = _is_entry() & ~rest.rlike(r"\A[\s,]*[})]?\s*\z")
+    other = rf"\A\s*@?\s*(?i:{'|'.join(NOT_ENTRIES)})\s*[{{(]"
+    lost = (F.col("entrytype") == "") & ~F.col("value").rlike(other) & (F.trim("value") != "")
+    return blocks.filter(unread | lost).select("source_file", "value")
 
 
 def _field_map(body: Column) -> Column:

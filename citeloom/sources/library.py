@@ -6,38 +6,75 @@ exports are turned into JSON Lines once and every later read runs in parallel:
 * an indented JSON array is itself read in parallel, since a record starts on a line
   of its own and JSON strings hold no raw line breaks (``indented_elements``);
 * an array without line breaks is a single unsplittable value, one task per file.
+
+Nothing is lost on the way in. Readers keep a piece that is no well-formed record, with
+its text in ``_corrupt_record`` and its file in ``source_file``; ``accepted`` and
+``rejected`` tell the two apart, and a build fails on rejected pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from citeloom.sources.schema import LIBRARY
 
+CORRUPT = "_corrupt_record"
+_CHECKED = T.StructType([*LIBRARY.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def _parsed(pieces: DataFrame, ord_: Column | None = None) -> DataFrame:
+    """Records of (source_file, value, ...) rows, each parsed on its own."""
+    parsed = F.from_json("value", _CHECKED, {"columnNameOfCorruptRecord": CORRUPT})
+    order = F.col("r._id") if ord_ is None else ord_
+    return pieces.withColumn("r", parsed).select("r.*", order.alias("ord"), "source_file")
+
+
+def accepted(read: DataFrame) -> DataFrame:
+    """The well-formed records of a reader."""
+    return read.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "source_file")
+
+
+def rejected(read: DataFrame) -> DataFrame:
+    """The pieces a reader could not take as a record: source_file, value."""
+    bad = read.filter(F.col(CORRUPT).isNotNull())
+    return bad.select("source_file", F.col(CORRUPT).alias("value"))
+
+
+def _with_file(text: DataFrame) -> DataFrame:
+    return text.select(F.col("_metadata.file_path").alias("source_file"), "value")
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines records. The order key is the record id, which no file split changes."""
-    return spark.read.schema(LIBRARY).json(path).withColumn("ord", F.col("_id"))
+    lines = _with_file(spark.read.text(path))
+    return _parsed(lines.filter(F.trim("value") != ""))
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold one JSON array; the order key is (file, position)."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.from_json("value", f"array<{LIBRARY.simpleString()}>").alias("records"),
-    )
-    return files.select("source_file", F.posexplode("records").alias("pos", "record")).select(
-        "record.*", F.struct("source_file", "pos").alias("ord")
+    """Files that each hold one JSON array; the order key is (file, position).
+
+    Elements are parsed one by one, so a bad one takes no other along. A file that is no
+    array at all is one rejected piece.
+    """
+    files = _with_file(spark.read.text(path, wholetext=True))
+    elements = files.withColumn("elements", F.from_json("value", "array<string>"))
+    pieces = elements.filter("elements is null").select(
+        "source_file", "value", F.lit(0).alias("pos")
+    ).unionByName(
+        elements.select("source_file", F.posexplode("elements").alias("pos", "value"))
     )
+    whole = pieces.withColumn("value", F.coalesce("value", F.lit("null")))
+    return _parsed(whole, F.struct("source_file", "pos"))
 
 
 def indented_elements(spark: SparkSession, path: str, indent: int) -> DataFrame:
     """Every element of indented array files as JSON text, read in splits."""
-    pieces = spark.read.text(path, lineSep="\n" + " " * indent + "{")
+    pieces = _with_file(spark.read.text(path, lineSep="\n" + " " * indent + "{"))
     tail = F.regexp_replace("value", r"\}\s*,?\s*\]?\s*\z", "}")
     bodies = pieces.filter(~F.col("value").rlike(r"\A\s*\[\s*\]?\s*\z"))
-    return bodies.select(F.concat(F.lit("{"), tail).alias("value"))
+    return bodies.select("source_file", F.concat(F.lit("{"), tail).alias("value"))
 
 
 def array_to_lines(spark: SparkSession, path: str, target: str, indent: int | None = None) -> None:
@@ -59,10 +96,7 @@ def array_to_lines(spark: SparkSession, path: str, target: str, indent: int | No
 
 def read_indented(spark: SparkSession, path: str, indent: int) -> DataFrame:
     """Records of indented array files; the order key is the record id."""
-    rows = indented_elements(spark, path, indent)
-    return rows.select(F.from_json("value", LIBRARY).alias("r")).select(
-        "r.*", F.col("r._id").alias("ord")
-    )
+    return _parsed(indented_elements(spark, path, indent))
 
 
 def with_label(records: DataFrame, label: str) -> DataFrame:

@@ -93,3 +93,50 @@ def test_author_names(spark, author, block, first, last):
 def test_title(spark, raw, clean):
     df = spark.createDataFrame([(raw,)], "t string")
     assert table(df, B.title(F.col("t"))) == [(clean,)]
+
+
+ODD = """  @article{k1,
+  title = {First, indented}, year = 2001
+}
+  @article{k2, author = {A, B}, title = {T {two {deep}}}, year = 2002}
+\t@book{k3, title = "Third",
+ note = {mail a@b.c
+ and {c} @home}}
+@misc{k4, title = {Fourth}}
+"""
+
+
+def test_indented_and_one_line_entries(spark, tmp_path):
+    (tmp_path / "a.bib").write_text(ODD)
+    rows = {r["ID"]: r["fields"] for r in bib.read_entries(spark, str(tmp_path)).collect()}
+    assert rows == {
+        "k1": {"title": "First, indented", "year": "2001"},
+        "k2": {"author": "A, B", "title": "T {two {deep}}", "year": "2002"},
+        "k3": {"title": "Third", "note": "mail a@b.c\n and {c} @home"},
+        "k4": {"title": "Fourth"},
+    }
+    assert bib.rejected(spark, str(tmp_path)).count() == 0
+
+
+def test_unread_text_is_reported(spark, tmp_path):
+    (tmp_path / "a.bib").write_text(
+        "@string{x = {y}}\n@article{a,\n title = {T},\n note = {cut\n@here},\n year = 2001\n}\n"
+        "@article{b,\n title = {open {\n}\n@comment{fine}\n@misc{c,\n year = 1999\n}\n"
+    )
+    bad = [r["value"][:9] for r in bib.rejected(spark, str(tmp_path)).collect()]
+    assert sorted(bad) == ["article{a", "article{b", "here},\n y"]
+    with pytest.raises(ValueError):
+        build_bib(spark, str(tmp_path / "*.bib"), str(tmp_path / "out"))
+    assert build_bib(spark, str(tmp_path / "*.bib"), str(tmp_path / "out"), allow_rejected=True) == 1
+
+
+def test_references_without_year_or_title(spark):
+    entries = spark.createDataFrame([("a", "article", "Doe, J", None)], "ID string, entrytype string, author string, journal string")
+    row = normalize_bib(entries).first()
+    assert row["shortRef"] == "Doe-Doe,  - " and row["fullRef"] == "Doe J. .  -;-"
+
+
+def test_a_long_value_is_one_field(spark, tmp_path):
+    (tmp_path / "a.bib").write_text("@article{k,\n abstract = {" + "word {x} " * 40000 + "},\n year = 2000\n}\n")
+    row = bib.read_entries(spark, str(tmp_path)).first()
+    assert row["fields"]["abstract"] == "word {x} " * 40000 and row["fields"]["year"] == "2000"

@@ -171,3 +171,40 @@ def test_incremental_ingest_equals_a_full_pass(spark, source, tmp_path):
         typed_queries(asked, "query_id", "text"), open_ingested(spark, root, "postings"), words
     )
     assert hits.count() == search.match_records(records, Term("title")).count() > 0
+
+
+def test_bad_lines_fail_the_build_and_are_kept(spark, source, tmp_path):
+    root = str(tmp_path / "lib")
+    with (source / "a.json").open("a") as lines:
+        lines.write('{"_id": "broken", \n\n[1]\n')
+    with pytest.raises(ValueError, match="2 pieces"):
+        build_library(spark, str(source), root)
+    assert store.current_version(spark, root) == 0
+    assert build_library(spark, str(source), root, allow_rejected=True) == 1
+    assert set(table(store.open_table(spark, root, "records"), "_id")) == {("r1",), ("r4",)}
+    bad = store.open_table(spark, root, "rejected").collect()
+    assert sorted(r["value"].strip() for r in bad) == ["[1]", '{"_id": "broken",']
+    assert all(r["source_file"].endswith("a.json") for r in bad)
+
+
+def test_an_indented_array_is_refused_by_the_line_reader(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps([rec(1), rec(2)], indent=2))
+    with pytest.raises(ValueError):
+        build_library(spark, str(tmp_path / "in"), str(tmp_path / "lib"))
+    read = lambda s, p: library.read_indented(s, p, 2)
+    assert build_library(spark, str(tmp_path / "in"), str(tmp_path / "lib"), read=read) == 1
+
+
+def test_a_bad_element_takes_no_other_along(spark, tmp_path):
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([rec(1), "no record", rec(2), {"labels": 7, "_id": "r3"}, None]))
+    (folder / "b.json").write_text("[{")
+    read = library.read_arrays(spark, str(folder))
+    assert sorted(table(library.accepted(read), "_id")) == [("r1",), ("r2",)]
+    assert library.rejected(read).count() == 4
+    (folder / "c.json").write_text(json.dumps([rec(5), {"labels": 7}], indent=2))
+    indented = library.read_indented(spark, str(folder / "c.json"), 2)
+    assert table(library.accepted(indented), "_id") == [("r5",)]
+    assert library.rejected(indented).count() == 1
