@@ -1,7 +1,8 @@
 """Many searches at once: a table of query clauses against the postings.
 
 ``clauses`` has (query_id, clause_no, field, term, is_prefix); a query matches the
-records that satisfy all its clauses, and keeps its newest ``limit`` of them.
+records that satisfy all its clauses, and keeps its newest ``limit`` of them. The fields
+``@label``, ``@folder`` and ``@type`` take an exact id or display type as their term.
 
 How the work stays proportional to the data, whatever words the queries share:
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.tokens import WORD_CHARS, words
+from citeloom.operators.clauses import SCOPES
 from citeloom.operators.normalize import RECORD_COLUMNS
 from citeloom.operators.postings import RECORD_KEY
 from citeloom.operators.search import DEFAULT_LIMIT
@@ -66,18 +68,23 @@ def expand_prefixes(prefixes: DataFrame, vocabulary: DataFrame, salts: int = 16)
 
 def _column_of(field: Column) -> Column:
     """The record column a field name means, '' for any column. Other names fail the job."""
-    by_name = F.create_map(*[F.lit(x) for c in RECORD_COLUMNS for x in (c.lower(), c)])
+    scopes = [f"@{kind}" for kind in SCOPES]
+    by_name = F.create_map(*[F.lit(x) for c in [*RECORD_COLUMNS, *scopes] for x in (c.lower(), c)])
     known = F.coalesce(
         by_name[F.lower(field)], F.raise_error(F.concat(F.lit("unknown field "), field))
     )
     return F.when(field.isNull(), F.lit("")).otherwise(known)
 
 
-def _one_word(term: Column) -> Column:
-    """The folded word of a clause. Text of no or several words fails the job."""
+def _one_word(term: Column, field: Column) -> Column:
+    """The folded word of a clause, or the scope as it stands in the postings. Text of no or
+    several words fails the job."""
     found = words(term)
+    scope = F.lower(field).isin([f"@{kind}" for kind in SCOPES])
     message = F.concat(F.lit("not one word: "), F.coalesce(term, F.lit("NULL")))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.raise_error(message))
+    named = F.concat(F.lower(field), F.lit(":"), term)
+    word = F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.raise_error(message))
+    return F.when(scope & term.isNotNull(), named).otherwise(word)
 
 
 def batch_search(
@@ -97,7 +104,7 @@ def batch_search(
     overrides the number that follows from the most frequent word.
     """
     asked = clauses.select(
-        "query_id", _column_of(F.col("field")).alias("field"), _one_word(F.col("term")).alias("word"),
+        "query_id", _column_of(F.col("field")).alias("field"), _one_word(F.col("term"), F.col("field")).alias("word"),
         "is_prefix",
     )
     # One signature per query: its sorted distinct clauses. Its size is the query's own length.

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citeloom.functions import record as R
 from citeloom.functions.tokens import WORD_CHARS, split_words
 from citeloom.operators.normalize import RECORD_COLUMNS
 
@@ -118,6 +119,33 @@ class Near(Clause):
         return f"(?i)(?:{ordered(self.left, self.right)}|{ordered(self.right, self.left)})"
 
 
+SCOPES = ("label", "folder", "type")
+
+
+@dataclass(frozen=True)
+class InScope(Clause):
+    """Records with exactly this label id, folder id or display type."""
+
+    kind: str
+    key: str
+
+    def __post_init__(self) -> None:
+        if self.kind not in SCOPES or not isinstance(self.key, str):
+            raise ValueError(f"no such scope: {self.kind!r}, {self.key!r}")
+
+    @property
+    def term(self) -> str:
+        """The scope as a posting; ``@`` and ``:`` occur in no word."""
+        return f"@{self.kind}:{self.key}"
+
+
+def scope_keys(kind: str) -> Column:
+    """A record's label ids, folder ids or display types."""
+    if kind == "type":
+        return R.display_types(F.col("type"))
+    return F.col({"label": "labels", "folder": "folders"}[kind])
+
+
 class _Group(Clause):
     def __init__(self, *parts: Clause) -> None:
         if not parts or not all(isinstance(p, Clause) for p in parts):
@@ -175,6 +203,8 @@ def required_words(clause: Clause) -> list[tuple[str, bool]]:
         return required_words(clause.keep)
     if isinstance(clause, Near):
         return required_words(clause.left) + required_words(clause.right)
+    if isinstance(clause, InScope):
+        return [(clause.term, False)]
     if isinstance(clause, Phrase):
         last = len(clause.words) - 1
         return [(w, clause.prefix and i == last) for i, w in enumerate(clause.words)]
@@ -202,7 +232,10 @@ def row_predicate(clause: Clause, columns: list[str] | None = None) -> Column:
     names = columns or RECORD_COLUMNS
     joined = F.concat_ws(f" {BARRIER} ", *names)
 
-    def test(leaf: Phrase | Near) -> Column:
+    def test(leaf: Phrase | Near | InScope) -> Column:
+        if isinstance(leaf, InScope):
+            found = F.array_contains(scope_keys(leaf.kind), leaf.key)
+            return F.coalesce(found, F.lit(False))
         if leaf.field is None and isinstance(leaf, Phrase):
             return joined.rlike(leaf.regex())
         scope = [leaf.field] if leaf.field else names

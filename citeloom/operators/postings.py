@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.tokens import fold, raw_words, words
 from citeloom.operators.clauses import (
-    Clause, Near, Phrase, combine, leaves, required_words,
+    SCOPES, Clause, InScope, Near, Phrase, combine, leaves, required_words, scope_keys,
 )
 from citeloom.operators.normalize import RECORD_COLUMNS
 
@@ -53,6 +53,33 @@ def build_postings(records: DataFrame, columns: list[str] | None = None) -> Data
     ).select(fold(F.col("word")).alias("term"), "col", "pos", *RECORD_KEY)
 
 
+def _scope_terms() -> Column:
+    """All scopes of a record as terms, each once."""
+
+    def named_keys(kind: str) -> Column:
+        return F.transform(scope_keys(kind), lambda key: F.concat(F.lit(f"@{kind}:"), key))
+
+    named = [named_keys(kind) for kind in SCOPES]
+    known = F.filter(F.flatten(F.array_compact(F.array(*named))), lambda t: t.isNotNull())
+    return F.array_distinct(known)
+
+
+def scope_postings(records: DataFrame) -> DataFrame:
+    """One row per scope of a record, in the form of postings: scopes are searched like words."""
+    rows = keyed(records).select(*RECORD_KEY, F.explode(_scope_terms()).alias("term"))
+    return rows.select(
+        "term", F.substring_index("term", ":", 1).alias("col"), F.lit(0).alias("pos"), *RECORD_KEY
+    )
+
+
+def with_scopes(words_table: DataFrame, records: DataFrame) -> DataFrame:
+    """The vocabulary with the records of each scope."""
+    found = records.select(F.explode(_scope_terms()).alias("term")).groupBy("term").agg(
+        F.count("*").alias("n_occurrences"), F.count("*").alias("n_records")
+    )
+    return words_table.unionByName(found)
+
+
 def files_for(spark: SparkSession, n_rows: int, rows_per_file: int) -> int:
     """Files by measured rows; small tables still use all cores."""
     return max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_per_file))
@@ -261,10 +288,12 @@ def matching_records(
     return merged.filter(combine(clause, leaf_hit)).select(*RECORD_KEY)
 
 
-def _is_word(leaf: Phrase | Near) -> bool:
-    return isinstance(leaf, Phrase) and len(leaf.words) == 1
+def _is_word(leaf: Phrase | Near | InScope) -> bool:
+    return isinstance(leaf, InScope) or isinstance(leaf, Phrase) and len(leaf.words) == 1
 
 
-def _word_leaf(leaf: Phrase) -> Column:
+def _word_leaf(leaf: Phrase | InScope) -> Column:
+    if isinstance(leaf, InScope):
+        return F.col("term") == leaf.term
     test = _word_test(leaf, 0)
     return test if leaf.field is None else test & (F.col("col") == leaf.field)

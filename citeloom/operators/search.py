@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import record as R
-from citeloom.operators.clauses import Clause, row_predicate
+from citeloom.operators.clauses import Clause, InScope, row_predicate
 from citeloom.operators.normalize import RECORD_COLUMNS
 from citeloom.operators.postings import RECORD_KEY, keyed, matching_records
 
@@ -22,15 +22,15 @@ def match_records(records: DataFrame, clause: Clause | None) -> DataFrame:
 
 
 def in_label(records: DataFrame, label_id: str) -> DataFrame:
-    return records.filter(F.array_contains("labels", label_id))
+    return records.filter(row_predicate(InScope("label", label_id)))
 
 
 def in_folder(records: DataFrame, folder_id: str) -> DataFrame:
-    return records.filter(F.array_contains("folders", folder_id))
+    return records.filter(row_predicate(InScope("folder", folder_id)))
 
 
 def in_type(records: DataFrame, display_type: str) -> DataFrame:
-    return records.filter(F.array_contains(R.display_types(F.col("type")), display_type))
+    return records.filter(row_predicate(InScope("type", display_type)))
 
 
 def top_by_year(

@@ -46,9 +46,11 @@ def build_library(
     store.write_table(facets.folder_facet(records), root, version, "folder_facet")
     store.write_table(facets.type_facet(records), root, version, "type_facet")
     vocabulary_path = f"{store.version_dir(root, version)}/vocabulary"
-    n_rows = postings.write_vocabulary(postings.vocabulary(records), vocabulary_path)
+    words = postings.with_scopes(postings.vocabulary(records), records)
+    n_rows = postings.write_vocabulary(words, vocabulary_path)
     word_path = f"{store.version_dir(root, version)}/postings"
-    postings.write_postings(postings.build_postings(records), word_path, n_rows)
+    rows = postings.build_postings(records).unionByName(postings.scope_postings(records))
+    postings.write_postings(rows, word_path, n_rows)
     store.publish(spark, root, version)
     return version
 

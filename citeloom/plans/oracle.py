@@ -379,6 +379,21 @@ def oracle_sql() -> dict[str, str]:
             WHERE list_contains(folders, 'F-EN_src1') AND {_has_prefix('the')}""",
         "search_in_type": f"""WITH {WORDS} SELECT _id, label, folder, type FROM w
             WHERE type = 'PP_JOURNAL_ARTICLE' AND {_has_prefix('the')}""",
+        "search_in_label_postings": f"""WITH {WORDS} SELECT _id, year FROM w
+            WHERE list_contains(labels, 'L-src1') AND {_has_prefix('the')}""",
+        "search_in_folder_postings": f"""WITH {WORDS} SELECT _id, year FROM w
+            WHERE list_contains(folders, 'F-EN_src1') AND {_has_prefix('the')}""",
+        "search_in_type_postings": f"""WITH {WORDS} SELECT _id, year FROM w
+            WHERE type = 'PP_JOURNAL_ARTICLE' AND {_has_prefix('the')}""",
+        "facet_search_folders": f"""WITH {FOLDER_FACET} SELECT * FROM facet WHERE len(list_filter(
+            {_tokens('folder')}, lambda t: starts_with(t, 'en'))) > 0""",
+        "facet_search_types": f"""WITH {REC}, t AS (SELECT ord, unnest(string_split(type, ',')) AS t
+            FROM rec), k AS (SELECT ord, replace(replace(t, 'PP_', ''), '_', ' ') AS t FROM t
+            WHERE t <> ''), f AS (
+            SELECT concat(upper(substr(t, 1, 1)), lower(substr(t, 2))) AS type,
+            count(*) AS total, min(ord) AS first_ord FROM k GROUP BY 1)
+            SELECT * FROM f WHERE len(list_filter({_tokens('type')},
+              lambda t: starts_with(t, 'art'))) > 0""",
         "search_top_desc": _top("DESC"),
         "search_top_postings": _top("DESC"),
         "search_top_asc": _top("ASC"),

@@ -11,11 +11,12 @@ from citeloom.functions import bibtex as B
 from citeloom.functions import record as R
 from citeloom.operators import facets, files, refresh, search
 from citeloom.operators.batch import batch_search, typed_queries
-from citeloom.operators.clauses import Near, Not, Phrase, Term, row_predicate, typed_text
+from citeloom.operators.clauses import InScope, Near, Not, Phrase, Term, row_predicate, typed_text
 from citeloom.operators.normalize import RECORD_COLUMNS, complete_only, normalize, normalize_bib
 from citeloom.operators.normalize import with_defaults
 from citeloom.operators.postings import (
-    build_postings, keyed, matching_records, vocabulary, write_postings, write_vocabulary,
+    build_postings, keyed, matching_records, scope_postings, vocabulary, with_scopes,
+    write_postings, write_vocabulary,
 )
 from citeloom.plans import driver_view
 from citeloom.plans.driver_view import bib_text, table
@@ -104,7 +105,9 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(
         spark, sf_dir, "postings",
         lambda path: write_postings(
-            build_postings(stored_records(spark, sf_dir)), path,
+            build_postings(stored_records(spark, sf_dir)).unionByName(
+                scope_postings(stored_records(spark, sf_dir))
+            ), path,
             stored_vocabulary(spark, sf_dir).agg(F.sum("n_occurrences")).first()[0] or 0,
         ),
     )
@@ -113,7 +116,10 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(
         spark, sf_dir, "vocabulary",
-        lambda path: write_vocabulary(vocabulary(stored_records(spark, sf_dir)), path),
+        lambda path: write_vocabulary(
+            with_scopes(vocabulary(stored_records(spark, sf_dir)), stored_records(spark, sf_dir)),
+            path,
+        ),
     )
 
 
@@ -251,6 +257,13 @@ def _scoped(scope: Callable[[DataFrame, str], DataFrame], key: str) -> Query:
     ).select("_id", "label", "folder", "type")
 
 
+def _scoped_postings(kind: str, key: str) -> Query:
+    return lambda spark, sf_dir: matching_records(
+        stored_postings(spark, sf_dir), InScope(kind, key) & typed_text("the"),
+        stored_vocabulary(spark, sf_dir),
+    ).select("_id", "year")
+
+
 def _top(oldest_first: bool) -> Query:
     return lambda spark, sf_dir: search.search(
         stored_records(spark, sf_dir), typed_text("the an"), oldest_first=oldest_first
@@ -273,6 +286,16 @@ def facet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.most_used_first(facet.filter(row_predicate(typed_text("src1"), ["label"])))
 
 
+def facet_search_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facet = facets.folder_facet(unlabelled_records(spark, sf_dir))
+    return facets.most_used_first(facet.filter(row_predicate(typed_text("en"), ["folder"])))
+
+
+def facet_search_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facet = facets.type_facet(unlabelled_records(spark, sf_dir))
+    return facets.most_used_first(facet.filter(row_predicate(typed_text("art"), ["type"])))
+
+
 def _bib(*columns) -> Query:
     return lambda spark, sf_dir: normalize_bib(bib_entries(spark, sf_dir)).select(*columns)
 
@@ -326,6 +349,11 @@ def queries() -> dict[str, Query]:
         "search_in_label": _scoped(search.in_label, "L-src1"),
         "search_in_folder": _scoped(search.in_folder, "F-EN_src1"),
         "search_in_type": _scoped(search.in_type, "Journal article"),
+        "search_in_label_postings": _scoped_postings("label", "L-src1"),
+        "search_in_folder_postings": _scoped_postings("folder", "F-EN_src1"),
+        "search_in_type_postings": _scoped_postings("type", "Journal article"),
+        "facet_search_folders": facet_search_folders,
+        "facet_search_types": facet_search_types,
         "search_top_desc": _top(False),
         "search_top_asc": _top(True),
         "search_top_postings": search_top_postings,

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from citeloom.operators import facets
 from citeloom.operators.normalize import normalize
 from citeloom.operators.postings import (
-    build_postings, keyed, vocabulary, write_postings, write_vocabulary,
+    build_postings, keyed, scope_postings, vocabulary, with_scopes, write_postings,
+    write_vocabulary,
 )
 from citeloom.sources.schema import LIBRARY
 
@@ -44,8 +45,10 @@ def ingest_new_files(
             counts = facets.facet_counts(records, names, ids)
             counts.write.mode("overwrite").parquet(target(name))
         facets.type_facet(records).write.mode("overwrite").parquet(target("type_counts"))
-        n_rows = write_vocabulary(vocabulary(records), target("vocabulary"))
-        write_postings(build_postings(records), target("postings"), n_rows)
+        words = with_scopes(vocabulary(records), records)
+        n_rows = write_vocabulary(words, target("vocabulary"))
+        rows = build_postings(records).unionByName(scope_postings(records))
+        write_postings(rows, target("postings"), n_rows)
 
     return (
         lines.writeStream.foreachBatch(write_batch)

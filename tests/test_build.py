@@ -13,7 +13,7 @@ from citeloom.streaming.ingest import (
 from citeloom.operators import facets, search
 from citeloom.operators.batch import batch_search, typed_queries
 from citeloom.operators.clauses import Term
-from citeloom.operators.postings import vocabulary
+from citeloom.operators.postings import vocabulary, with_scopes
 
 
 def rec(i, **more):
@@ -165,7 +165,9 @@ def test_incremental_ingest_equals_a_full_pass(spark, source, tmp_path):
         table(facets.type_facet(records), "type", "total")
     )
     words = ingested_vocabulary(spark, root)
-    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, vocabulary(records).collect()))
+    assert sorted(map(tuple, words.collect())) == sorted(
+        map(tuple, with_scopes(vocabulary(records), records).collect())
+    )
     asked = spark.createDataFrame([(1, "title")], "query_id long, text string")
     hits = batch_search(
         typed_queries(asked, "query_id", "text"), open_ingested(spark, root, "postings"), words

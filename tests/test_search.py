@@ -7,8 +7,9 @@ from helpers import author, library, record, table
 
 from citeloom.functions.tokens import fold, raw_words, split_words, words
 from citeloom.operators import postings, search
+from citeloom.operators.batch import batch_search
 from citeloom.operators.clauses import (
-    And, Near, Not, Or, Phrase, Term, leaves, required_words, row_predicate, typed_text,
+    And, InScope, Near, Not, Or, Phrase, Term, leaves, required_words, row_predicate, typed_text,
 )
 from citeloom.operators.normalize import RECORD_COLUMNS, normalize
 from citeloom.operators.postings import (
@@ -272,3 +273,33 @@ def test_files_follow_the_rows(spark, tmp_path):
     postings.write_postings(build_postings(recs), str(tmp_path / "p"), n, rows_per_file=n // 20)
     assert len(list((tmp_path / "p").glob("*.parquet"))) >= 15
     assert spark.read.parquet(str(tmp_path / "p")).count() == n
+
+
+def test_scopes_are_exact_in_both_forms(spark):
+    rows = [
+        record("a", title="hit", labels=["L1", "L1"], labelsNamed=["x", "x"], folders=["F"]),
+        record("b", title="hit", labels=["L11", None], labelsNamed=["y", "z"]),
+        record("c", title="miss", labels=["L1"], labelsNamed=["x"], pubtype="PP_BOOK,PP_REVIEW"),
+        record("d", title="hit", pubtype="PP_REVIEW"),
+    ]
+    recs = normalize(library(spark, *rows))
+    posts = build_postings(recs).unionByName(postings.scope_postings(recs))
+    known_words = postings.with_scopes(vocabulary(recs), recs)
+    cases = {
+        InScope("label", "L1") & Term("hit"): {"a"}, InScope("label", "L"): set(),
+        InScope("folder", "F"): {"a"}, InScope("type", "Review"): {"c", "d"},
+        Not(Term("hit"), InScope("label", "L1")): {"b", "d"},
+        InScope("type", "Book") | InScope("folder", "F"): {"a", "c"},
+    }
+    for clause, expected in cases.items():
+        assert ids(search.match_records(recs, clause)) == expected
+        assert ids(matching_records(posts, clause, known_words)) == expected
+    asked = [(1, "@label", "L1"), (1, None, "hit"), (2, "@type", "Review"), (3, "@label", "l1")]
+    clauses = spark.createDataFrame(
+        [(q, i, f, t, False) for i, (q, f, t) in enumerate(asked)],
+        "query_id long, clause_no int, field string, term string, is_prefix boolean",
+    )
+    got = batch_search(clauses, posts, known_words)
+    assert set(table(got, "query_id", "_id")) == {(1, "a"), (2, "c"), (2, "d")}
+    with pytest.raises(ValueError):
+        InScope("author", "x")
