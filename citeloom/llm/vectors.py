@@ -39,8 +39,9 @@ def block_search(
     """Meet every block of queries with every block of candidates, keep k per query.
 
     ``tile(query_ids, queries, ids, vectors)`` returns (query_id, vec_id, score) rows, the k
-    best of the tile for each query. Rows go to blocks at random (seeded by position), so
-    equal ids or vectors spread. Vectors of different length never meet. Queries are one per
+    best of the tile for each query. Queries go to blocks by their id; candidates at random,
+    seeded by their place in the files (so a task that runs again deals alike), which
+    spreads equal ids and vectors. Vectors of different length never meet. Queries are one per
     vec_id; if a query id is repeated, its smallest vector asks. The merge is a window
     limited to k rows, which Spark cuts to k per query and task before its shuffle.
     """
@@ -51,14 +52,15 @@ def block_search(
     c_blocks = max(1, math.ceil(n_all / candidates_per_block))
     q_blocks = max(1, math.ceil(n_asking / queries_per_block))
 
-    def placed(rows: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        at = rows.withColumn(own, F.floor(F.rand(42) * blocks).cast("int"))
+    def placed(rows: DataFrame, own: str, block: Column, other: str, others: int) -> DataFrame:
+        at = rows.withColumn(own, block.cast("int"))
         return at.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn(
             "dim", F.size("embedding")
         )
 
-    q = placed(asking, "q_block", q_blocks, "c_block", c_blocks)
-    c = placed(good, "c_block", c_blocks, "q_block", q_blocks)
+    by_id = F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))
+    q = placed(asking, "q_block", by_id, "c_block", c_blocks)
+    c = placed(good, "c_block", F.floor(F.rand(42) * c_blocks), "q_block", q_blocks)
 
     def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
