@@ -127,7 +127,7 @@ ORACLE = {
             cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
             sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), ''))
                 as loss_sha256,
-            cast(sum(length(kept) + case when opens then length(named) + 25 else 11 end) as bigint)
+            cast(sum(length(kept) + case when opens then length(named) + 24 else 11 end) as bigint)
                 as formatted_chars
         from n group by conv_id""",
     "op10_vafile": """
