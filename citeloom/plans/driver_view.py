@@ -19,15 +19,21 @@ BASE = {
     "abstract": "case when d.doc_id % 6 = 0 then null else d.text end",
     "pub_year_src": "case when d.doc_id % 11 = 0 then null"
     " else cast(1990 + d.doc_id % 35 as varchar(10)) end",
-    "pubtype": "case d.doc_id % 5 when 0 then 'PP_ARTICLE' when 1 then 'PP_JOURNAL_ARTICLE'"
-    " when 2 then 'PP_BOOK' when 3 then 'PP_REVIEW' else 'PP_THESIS' end",
+    "citekey": "case when d.doc_id % 14 = 0 then null else concat('c', d.doc_id) end",
+    "issue": "case when d.doc_id % 9 = 1 then null else cast(d.doc_id % 12 as varchar(10)) end",
+    "pages": "case when d.doc_id % 4 = 1 then null"
+    " else concat(d.doc_id % 100, '-', d.doc_id % 100 + 9) end",
+    "gdrive_id": "case when d.doc_id % 10 = 3 then concat('g', d.doc_id) else null end",
+    "pubtype": "case when d.doc_id % 35 = 2 then 'PP_BOOK,PP_REVIEW' else case d.doc_id % 5 when 0 then 'PP_ARTICLE' when 1 then 'PP_JOURNAL_ARTICLE'"
+    " when 2 then 'PP_BOOK' when 3 then 'PP_REVIEW' else 'PP_THESIS' end end",
     "kind": "case d.doc_id % 7 when 0 then 'Review' when 1 then 'News' when 2 then 'Other'"
     " when 3 then 'Commentary'"
     " else null end",
     "journal": "case when d.doc_id % 8 = 0 then null else concat('J. ', d.source, '. Res.') end",
     "pmid": "case when d.doc_id % 10 = 0 then null else cast(100000 + d.doc_id as varchar(10)) end",
     "label_csv": "case when d.doc_id % 17 = 0 then null else concat(d.source, ',', d.lang,"
-    " case when l.quality = 1 then ',interesting' else '' end) end",
+    " case when l.quality = 1 then ',interesting' else '' end,"
+    " case when d.doc_id % 23 = 0 then concat(',', d.source) else '' end) end",
     "folder_csv": "case when d.doc_id % 9 = 0 then null"
     " else concat(upper(d.lang), '_', d.source) end",
 }

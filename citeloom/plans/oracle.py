@@ -27,7 +27,8 @@ LIB = (
 REC = (
     LIB
     + """, r1 AS (
-  SELECT ord, _id, coalesce(abstract, '') AS abstract, '-' AS citekey, title,
+  SELECT ord, _id, coalesce(abstract, '') AS abstract, coalesce(citekey, '-') AS citekey, title,
+    coalesce(issue, '') AS issue, coalesce(pages, '') AS pages,
     coalesce(replace(journal, '.', ''), '-') AS journal, coalesce(pmid, '-') AS pmid,
     coalesce(author[1]."last", '') AS first, coalesce(author[-1]."last", '') AS last,
     coalesce(array_to_string([a.formatted FOR a IN author], ', '), '') AS authors,
@@ -35,7 +36,8 @@ REC = (
     CASE WHEN kind IN ('Commentary', 'Review', 'News') THEN kind ELSE pubtype END AS type,
     coalesce(label_csv, '') AS label, coalesce(array_to_string(labels, ','), '') AS labelID,
     coalesce(folder_csv, '') AS folder, coalesce(array_to_string(folders, ','), '') AS folderID,
-    CASE WHEN len(attachments) > 0 THEN '📜' ELSE ' ' END AS pdfFlag, '' AS gdrive_id,
+    CASE WHEN len(attachments) > 0 THEN '📜' ELSE ' ' END AS pdfFlag,
+    coalesce(gdrive_id, '') AS gdrive_id,
     attachments, labelsNamed, labels, foldersNamed, folders
   FROM lib WHERE incomplete <> 1
 ), rec AS (
@@ -46,7 +48,8 @@ REC = (
       ELSE replace(concat(first, '*', substr(title, 1, 30), '*'), '...  ', '... ')
     END AS fileName,
     concat(first, '-', last, ', ', journal, ' ', year) AS subtitle,
-    concat(authors, '. ', title, '. ', journal, ' ', year, ';', '', ':', '', '. PMID: ', pmid)
+    concat(authors, '. ', title, '. ', journal, ' ', year, ';', issue, ':', pages,
+      '. PMID: ', pmid)
       AS fullReference
   FROM r1
 )"""
@@ -264,13 +267,14 @@ UNION ALL SELECT n.path, 'changed' FROM now n JOIN seen s ON n.path = s.path WHE
 LINE_KEYS = {
     "ord": "ord", "_id": "_id", "incomplete": "incomplete", "title": "title",
     "abstract": "abstract", "pubtype": "pubtype", "kind": "kind", "journal": "journal",
-    "pmid": "pmid", "labelsNamed": "label_csv", "labels": "label_csv",
+    "pmid": "pmid", "citekey": "citekey", "issue": "issue", "pages": "pages",
+    "gdrive_id": "gdrive_id", "labelsNamed": "label_csv", "labels": "label_csv",
     "foldersNamed": "folder_csv", "folders": "folder_csv", "published": "ord", "author": "ord",
     "attachments": "ord",
 }
 
 RAW_COLUMNS = """cast(ord AS varchar) AS ord, _id, cast(incomplete AS varchar) AS incomplete, title,
-  abstract, pubtype, kind, journal, pmid,
+  abstract, pubtype, kind, journal, pmid, citekey, issue, pages, gdrive_id,
   cast(to_json(labelsNamed) AS varchar) AS labelsNamed, cast(to_json(labels) AS varchar) AS labels,
   cast(to_json(foldersNamed) AS varchar) AS foldersNamed,
   cast(to_json(folders) AS varchar) AS folders,
@@ -326,9 +330,10 @@ def oracle_sql() -> dict[str, str]:
         "label_export": f"WITH {LIB} SELECT {RAW_COLUMNS} FROM lib"
         " WHERE list_contains(labelsNamed, 'interesting')",
         "complete_only": f"WITH {LIB} SELECT _id, title FROM lib WHERE incomplete <> 1",
-        "defaults": f"""WITH {LIB} SELECT coalesce(pmid, '-') AS pmid, '-' AS citekey,
-            coalesce(journal, '-') AS journal, coalesce(abstract, '') AS abstract, '' AS issue,
-            '' AS pages, '' AS gdrive_id, _id FROM lib""",
+        "defaults": f"""WITH {LIB} SELECT coalesce(pmid, '-') AS pmid,
+            coalesce(citekey, '-') AS citekey, coalesce(journal, '-') AS journal,
+            coalesce(abstract, '') AS abstract, coalesce(issue, '') AS issue,
+            coalesce(pages, '') AS pages, coalesce(gdrive_id, '') AS gdrive_id, _id FROM lib""",
         "journal_clean": _rec("_id, journal"),
         "author_block": _rec("_id, authors"),
         "first_last": _rec("_id, first, last"),
@@ -346,7 +351,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "links": _rec(
             "_id, concat('https://library.example/p/', _id) AS record_link,"
-            " NULL::varchar AS drive_link,"
+            " CASE WHEN gdrive_id <> '' THEN"
+            " concat('https://drive.example/file/', gdrive_id) END AS drive_link,"
             f" {_links('labels', 'label')} AS label_links,"
             f" {_links('folders', 'folder')} AS folder_links"
         ),
@@ -363,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(
             f"""count(*) FILTER (type = '{t}') AS "{t}" """
             for t in ["PP_ARTICLE", "PP_JOURNAL_ARTICLE", "PP_BOOK", "PP_REVIEW", "PP_THESIS",
-                      "Review", "News", "Commentary"]
+                      "Review", "News", "Commentary", "PP_BOOK,PP_REVIEW"]
         )
         + " FROM p GROUP BY name",
         "facet_display": f"""WITH {LABEL_FACET} SELECT concat(label, ' (', total, ')') AS display,
