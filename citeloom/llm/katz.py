@@ -38,6 +38,9 @@ END, START = (xxhash.xxh64_intdigest(s) for s in (b"", b" "))
 TOKENS_PER_CHUNK = 3_000_000
 DOCS_PER_CHUNK = 1 << 20
 TOKENS_PER_BUCKET = 5_000_000
+GRAMS_AT_ONCE = 500_000
+ROWS_AT_ONCE = 100_000
+WORDS_HELD = 1_000_000
 LOOK_FOR = 8  # a word with 1 / (8 * buckets) of a task's tokens may be frequent
 
 
@@ -66,44 +69,49 @@ def frequent_words(read: DataFrame, buckets: int, total: int) -> dict[int, int]:
     """
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found, met, most = Counter(), 0, WORDS_HELD
         for batch in batches:
             for text in batch.column("text"):
-                found.update(words_of(text.as_py()))
+                words = words_of(text.as_py())
+                found.update(words)
                 found[b""] += 1
-        least = found.total() / (LOOK_FOR * buckets)
-        rows = [(xxhash.xxh64_intdigest(w), n) for w, n in found.items() if n >= least]
-        keys = np.array([h for h, _ in rows], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
-
-    named = read.select("text").mapInArrow(candidates, "word long, n long")
+                met += len(words) + 1
+                if len(found) > most:
+                    # Lossy counting: what is rare so far starts again from nothing.
+                    rare = max(2, met / (4 * LOOK_FOR * buckets))
+                    found = Counter({w: n for w, n in found.items() if n >= rare})
+                    most = max(WORDS_HELD, 2 * len(found))
+        least = met / (LOOK_FOR * buckets)
+        rows = [(w, n) for w, n in found.items() if n >= least]
+        columns = zip(*rows) if rows else [[]] * 2
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["word", "n"])
+
+    named = read.select("text").mapInArrow(candidates, "word binary, n long")
     likely = named.groupBy("word").agg(F.sum("n").alias("n")).filter(
         F.col("n") >= total / (4 * buckets)
     )
-    wanted = {r["word"] for r in likely.collect()}
+    wanted = frozenset(bytes(r["word"]) for r in likely.collect())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, names = Counter(), {}
+        found = {True: Counter(), False: Counter()}
         for batch in batches:
             for text, training in zip(batch.column("text"), batch.column("training")):
-                own = Counter(words_of(text.as_py()))
-                own[b""] += 1
-                for word, n in own.items():
-                    if word not in names:
-                        names[word] = int(np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64))
-                    if names[word] in wanted:
-                        found[names[word], training.as_py()] += n
-                if len(names) > 500_000:
-                    names.clear()
-        rows = [(w, n, n if t else 0) for (w, t), n in found.items()]
+                own = found[training.as_py()]
+                own.update([w for w in words_of(text.as_py()) if w in wanted])
+                own[b""] += b"" in wanted
+        rows = [(w, n, n if t else 0) for t, own in found.items() for w, n in own.items()]
         columns = zip(*rows) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["word", "n", "trained"])
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["word", "n", "trained"])
 
-    exact = read.mapInArrow(counted, "word long, n long, trained long").groupBy("word").agg(
+    if not wanted:
+        return {}
+    exact = read.mapInArrow(counted, "word binary, n long, trained long").groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("trained").alias("trained")
     )
     rows = exact.filter(F.col("n") >= total / (2 * buckets)).collect()
-    return {int(np.int64(r["word"]).view(np.uint64)): r["trained"] for r in rows}
+    return {xxhash.xxh64_intdigest(bytes(r["word"])): r["trained"] for r in rows}
 
 
 # Payloads: arrays of one chunk and bucket, compressed
@@ -267,84 +275,126 @@ def _rows(kind: str, n: int, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_TABLES)
 
 
-def evaluate(parts: list[tuple[int, bytes]], frequent: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """All tables of one bucket, from its payloads of all chunks."""
-    held = [(base, unpacked(payload)) for base, payload in parts]
-    words, context_names = (np.unique(np.concatenate([a[i] for _, a in held]).astype(np.uint64)) for i in (0, 2))
-    word, context, doc, count, trained = [], [], [], [], []
-    for base, (own, n, near, which, docs, times) in held:
-        word.append(np.repeat(np.searchsorted(words, own), n.astype(np.int64)))
-        context.append(np.searchsorted(context_names, near)[which])
-        doc.append(base + (docs >> 1).astype(np.int64))
-        trained.append((docs & 1).astype(bool))
-        count.append(times.astype(np.int64))
-    del held
-    word, context, doc, count, trained = map(np.concatenate, (word, context, doc, count, trained))
-    order = np.argsort(word * len(context_names) + context, kind="stable")
-    word, context, doc, count, trained = (a[order] for a in (word, context, doc, count, trained))
-    learnt = np.where(trained, count, 0)
+class Part:
+    """One payload, its words in order of their hash."""
+
+    def __init__(self, base: int, payload: bytes):
+        words, n, self.contexts, self.which, self.docs, self.times = unpacked(payload)
+        self.base, self.words = base, words.astype(np.uint64)
+        self.contexts = self.contexts.astype(np.uint64)
+        self.n = n.astype(np.int64)
+        self.ends = np.cumsum(self.n)
+
+    def of_words(self, low: int, high: int) -> tuple[slice, slice]:
+        """The words with low <= hash <= high, and their grams."""
+        a = int(np.searchsorted(self.words, np.uint64(low)))
+        b = int(np.searchsorted(self.words, np.uint64(high), "right"))
+        first = int(self.ends[a - 1]) if a else 0
+        return slice(a, b), slice(first, int(self.ends[b - 1]) if b > a else first)
+
+
+class Sums:
+    """What a bucket adds up per document and per context, while its words pass by."""
+
+    def __init__(self, parts: list[Part]):
+        self.contexts = np.unique(np.concatenate([p.contexts for p in parts]))
+        self.docs = np.unique(np.concatenate([p.base + np.unique(p.docs >> 1).astype(np.int64) for p in parts]))
+        self.seen = {name: np.zeros(len(self.contexts), np.int64) for name in (*SEEN, "mass")}
+        self.doc = {name: np.zeros(len(self.docs)) for name in ("n_known", "n_unseen", *SEEN[:-1], "base", "score")}
+        self.sizes, self.known = np.zeros(LARGEST + 3, np.int64), 0
+
+
+def evaluate(payloads: list[tuple[int, bytes]], frequent: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """All tables of one bucket, from its payloads of all chunks.
+
+    The words pass by in ranges of their hash, so that only the compact payloads and the sums
+    are held whole.
+    """
+    parts = [Part(*p) for p in payloads]
+    sums = Sums(parts)
+    total = sum(len(p.docs) for p in parts)
+    step = (1 << 64) // max(1, math.ceil(total / GRAMS_AT_ONCE)) + 1
+    for low in range(0, 1 << 64, step):
+        yield from _words_between(parts, sums, low, min(low + step, 1 << 64) - 1, frequent)
+
+    yield _rows(
+        "stats", 1, n_known=np.array([sums.known]),
+        **{name: sums.sizes[r : r + 1] for r, name in enumerate(SEEN, 1)},
+    )
+    some = np.flatnonzero(sums.seen["mass"])
+    for at in range(0, len(some), ROWS_AT_ONCE):
+        own = some[at : at + ROWS_AT_ONCE]
+        yield _rows(
+            "contexts", len(own), key=sums.contexts[own].view(np.int64),
+            **{name: values[own] for name, values in sums.seen.items()},
+        )
+    for at in range(0, len(sums.docs), ROWS_AT_ONCE):
+        own = slice(at, at + ROWS_AT_ONCE)
+        yield _rows(
+            "sums", len(sums.docs[own]), doc=sums.docs[own],
+            **{name: values[own] for name, values in sums.doc.items()},
+        )
+
+
+def _words_between(
+    parts: list[Part], sums: Sums, low: int, high: int, frequent: dict[int, int]
+) -> Iterator[pa.RecordBatch]:
+    cut = [(p, *p.of_words(low, high)) for p in parts]
+    cut = [(p, words, grams) for p, words, grams in cut if grams.stop > grams.start]
+    if not cut:
+        return
+    words = np.unique(np.concatenate([p.words[w] for p, w, _ in cut]))
+    word = np.concatenate([np.repeat(np.searchsorted(words, p.words[w]), p.n[w]) for p, w, _ in cut])
+    context = np.concatenate([np.searchsorted(sums.contexts, p.contexts)[p.which[g]] for p, _, g in cut])
+    to = np.concatenate([
+        np.searchsorted(sums.docs, p.base + (p.docs[g] >> 1).astype(np.int64)) for p, _, g in cut
+    ])
+    count = np.concatenate([p.times[g].astype(np.int64) for p, _, g in cut])
+    learnt = np.concatenate([np.where(p.docs[g] & 1, p.times[g], 0).astype(np.int64) for p, _, g in cut])
+    order = np.argsort(word * len(sums.contexts) + context, kind="stable")
+    word, context, to, count, learnt = (a[order] for a in (word, context, to, count, learnt))
     word_count = np.bincount(word, learnt, len(words)).astype(np.int64)
-    is_frequent = np.array([int(w) in frequent for w in words.tolist()], bool)
+    is_frequent = np.array([w in frequent for w in words.tolist()], bool)
     for i in np.flatnonzero(is_frequent):
         word_count[i] = frequent[int(words[i])]
-    fresh = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]))
-    starts = np.flatnonzero(fresh)
+    starts = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
     pair_count = np.add.reduceat(learnt, starts)
     pair_word, pair_context = word[starts], context[starts]
 
     # Counts of counts, and the words known (a frequent word is counted by the caller).
-    sizes = np.bincount(np.minimum(pair_count, LARGEST + 2), minlength=LARGEST + 3)
-    known_words = int(((word_count > 0) & ~is_frequent).sum())
-    yield _rows(
-        "stats", 1, n_known=np.array([known_words]),
-        **{name: np.array([sizes[r]]) for r, name in enumerate(SEEN, 1)},
-    )
-
+    sums.sizes += np.bincount(np.minimum(pair_count, LARGEST + 2), minlength=LARGEST + 3)
+    sums.known += int(((word_count > 0) & ~is_frequent).sum())
     seen = pair_count > 0
     at, r = pair_context[seen], pair_count[seen]
-    per_context = {
-        name: np.bincount(at[r == i] if i <= LARGEST else at[r > LARGEST], minlength=len(context_names))
-        for i, name in enumerate(SEEN, 1)
-    }
-    mass = np.bincount(at, word_count[pair_word[seen]] + 1, len(context_names)).astype(np.int64)
-    some = np.flatnonzero(mass)
-    yield _rows(
-        "contexts", len(some), key=context_names[some].view(np.int64), mass=mass[some],
-        **{name: c[some] for name, c in per_context.items()},
-    )
+    for i, name in enumerate(SEEN, 1):
+        np.add.at(sums.seen[name], at[r == i] if i <= LARGEST else at[r > LARGEST], 1)
+    np.add.at(sums.seen["mass"], at, word_count[pair_word[seen]] + 1)
 
     r = np.repeat(pair_count, np.diff(np.append(starts, len(word))))
     times = word_count[word]
     missed = np.flatnonzero(r == 0)
-    which = np.lexsort((doc[missed], context[missed]))
-    missed = missed[which]
+    missed = missed[np.lexsort((to[missed], context[missed]))]
     if len(missed):
-        key, of = context[missed], doc[missed]
+        key, of = context[missed], to[missed]
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
         yield _rows(
-            "unseen", len(first), key=context_names[key[first]].view(np.int64), doc=of[first],
+            "unseen", len(first), key=sums.contexts[key[first]].view(np.int64), doc=sums.docs[of[first]],
             n_unseen=np.add.reduceat(count[missed], first),
         )
 
-    docs, to = np.unique(doc, return_inverse=True)
-
-    def summed(values: np.ndarray) -> np.ndarray:
-        return np.bincount(to, values, len(docs))
+    def add(name: str, values: np.ndarray) -> None:
+        sums.doc[name] += np.bincount(to, values, len(sums.docs))
 
-    with np.errstate(divide="ignore"):
-        log_word = np.log10(np.maximum(times, 1))
-        log_pair = np.where(
-            r > LARGEST, np.log10(np.maximum(r - LEAST_MASS, 1e-9)), np.log10(np.maximum(r, 1))
-        )
-    ends = words == np.uint64(END)
+    log_pair = np.log10(np.where(r > LARGEST, r - LEAST_MASS, np.maximum(r, 1)))
     # As a context of the next token a known word divides by its count.
-    divide = np.where(ends[word], 0.0, log_word)
-    backed = np.where(r == 0, np.log10(times + 1), 0.0)
-    yield _rows(
-        "sums", len(docs), doc=docs, n_known=summed(count * (times > 0)), n_unseen=summed(count * (r == 0)),
-        base=summed(count * np.log10(times + 1)), score=summed(count * (log_pair - divide + backed)),
-        **{name: summed(count * (r == i)) for i, name in enumerate(SEEN[:-1], 1)},
-    )
+    divide = np.where((words == np.uint64(END))[word], 0.0, np.log10(np.maximum(times, 1)))
+    log_word = np.log10(times + 1)
+    add("n_known", count * (times > 0))
+    add("n_unseen", count * (r == 0))
+    add("base", count * log_word)
+    add("score", count * (log_pair - divide + np.where(r == 0, log_word, 0.0)))
+    for i, name in enumerate(SEEN[:-1], 1):
+        add(name, count * (r == i))
 
 
 def bucket_tables(shuffled: DataFrame, frequent: dict[int, int]) -> DataFrame:

@@ -72,9 +72,11 @@ def training():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
 
 
-@pytest.mark.parametrize("per_bucket", [katz.TOKENS_PER_BUCKET, 400])
+@pytest.mark.parametrize("per_bucket", [katz.TOKENS_PER_BUCKET, 400, 100])
 def test_scores(spark, monkeypatch, per_bucket):
     monkeypatch.setattr(katz, "TOKENS_PER_BUCKET", per_bucket)
+    monkeypatch.setattr(katz, "GRAMS_AT_ONCE", 60)
+    monkeypatch.setattr(katz, "WORDS_HELD", 50)
     rows = corpus()
     train = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
     model = Plain([t for (_, t), ok in zip(rows, train) if ok])
@@ -92,13 +94,14 @@ def test_scores(spark, monkeypatch, per_bucket):
     assert [w[:5] for w in want] == [f[:5] for f in found]
     for w, f in zip(want, found):
         assert f[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
-    if per_bucket == 400:
+    if per_bucket < 1000:
         read = katz._read(docs, training())
         total = katz.token_total(read)
-        hot = katz.frequent_words(read, math.ceil(total / 400), total)
+        hot = katz.frequent_words(read, math.ceil(total / per_bucket), total)
         assert total == sum(len(tokens(t)) for _, t in rows)
         assert katz.xxhash.xxh64_intdigest(b"the") in hot
         assert hot[katz.xxhash.xxh64_intdigest(b"the")] == model.uni["the"]
+        assert (katz.END in hot) == (per_bucket == 100)
 
 
 def test_every_context_sums_to_one():
