@@ -313,6 +313,10 @@ def oracle_sql() -> dict[str, str]:
             coalesce(array_to_string(folders, ','), '') AS folderID,
             attachments[1].filename AS filename, pubtype, kind FROM lib""",
         "raw_import": f"WITH {LIB} SELECT {RAW_COLUMNS} FROM lib",
+        "raw_fields": f"WITH {LIB}, raw AS (SELECT {RAW_COLUMNS} FROM lib) " + " UNION ALL ".join(
+            f"SELECT _id, '{key}' AS field, {key} AS text FROM raw WHERE {key} IS NOT NULL"
+            for key in LINE_KEYS
+        ),
         "schema_keys": f"WITH {LIB} " + " UNION ALL ".join(
             f"SELECT '{key}' AS key, count({source}) AS n_records FROM lib"
             f" HAVING count({source}) > 0"

@@ -142,6 +142,10 @@ def raw_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.raw_import(spark, library_lines(spark, sf_dir))
 
 
+def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw.text_fields(raw.read_raw(spark, library_lines(spark, sf_dir)))
+
+
 def schema_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = raw.read_raw(spark, library_lines(spark, sf_dir))
     return raw.key_census(lines).select("key", "n_records")
@@ -312,6 +316,7 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "library_scan": library_scan,
         "raw_import": raw_import,
+        "raw_fields": raw_fields,
         "schema_keys": schema_keys,
         "union_schema": union_schema,
         "label_export": label_export,

@@ -30,10 +30,21 @@ def key_census(lines: DataFrame, value: str = "value", ord_col: str | None = Non
 
 
 def as_text_map(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Key-to-text map per record, nested values as JSON; the form for unbounded key sets."""
+    """Key-to-text map per record, nested values as JSON; the form for unbounded key sets.
+
+    One pass and no key on the driver. Use it where records bring keys of their own;
+    ``raw_import`` is for key sets that can be columns of a table.
+    """
     return lines.withColumn("fields", F.from_json(value, "map<string,string>"))
 
 
+def text_fields(lines: DataFrame, value: str = "value", key: str = "_id") -> DataFrame:
+    """One row per record and key it has: the value of ``key``, field, text."""
+    return as_text_map(lines, value).select(
+        F.try_element_at("fields", F.lit(key)).alias(key), F.explode("fields").alias("field", "text")
+    ).filter("text is not null")
+
+
 def widen(lines: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """One text column per key; an absent key is NULL. Only the listed keys are parsed."""
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
