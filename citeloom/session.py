@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +54,30 @@ def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once per application, as ``--py-files`` would.
+
+    Python tasks import their functions from it; without this they would find it only where
+    the package is installed or in the working folder. The driver serves the archive.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="run-"), os.path.basename(package))
+        archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
+def in_python(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def by_rows(table: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     """Cut a stored table into tasks by row count, for work that multiplies its rows.
 
