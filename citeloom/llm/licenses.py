@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.session import in_python
+
 # Base phrases with their labels.
 BASE_PHRASES = (
     (b"mit license", "mit"),
@@ -164,7 +166,7 @@ def detect(joined: bytes, ordered: list[Rule]) -> list[tuple[str, str, int, int,
         for m in rule.pattern.finditer(joined):
             start = joined.count(b" ", 0, m.start())
             found.append((start, start + m.group().count(b" ") + 1))
-        # Longer ones of a rule first; the same label may stay within another of its own.
+        # Of one rule the longer ones first.
         for start, end in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
             if not any(k[3] <= start and end <= k[4] for k in kept):
                 kept.append((rule.name, rule.label, rule.priority, start, end))
@@ -234,4 +236,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return read.mapInArrow(scan, SCHEMA)
+    return in_python(read, scan, SCHEMA)

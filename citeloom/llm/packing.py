@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.session import stored
+from citeloom.session import in_python, stored
 
 CAPACITY = 2048
 ROUNDS = 200
@@ -130,7 +130,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    return read.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return in_python(read, run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 # The plan: a linear program over the histogram
@@ -328,7 +328,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Dat
             yield pa.RecordBatch.from_arrays(arrays, [*kept, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in out.dtypes if c != "number")
-    return out.mapInArrow(place, kinds + ", sequence_id long, offset long")
+    return in_python(out, place, kinds + ", sequence_id long, offset long")
 
 
 def pack_documents(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import scratch_dir, stored
+from citeloom.session import in_python, scratch_dir, stored
 
 SEED = 42
 #: Variants expanded at once by a task; a prefix with more is cut by further bits.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     read = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("binary"), text_key(F.col("text"))
     )
-    return read.mapInArrow(run, "doc_id long, text_key long, fingerprint long")
+    return in_python(read, run, "doc_id long, text_key long, fingerprint long")
 
 
 def text_key(text):
@@ -209,7 +209,7 @@ def links(prints: DataFrame, radius: int, count: int) -> DataFrame:
         if held:
             yield made(at, held)
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return in_python(grouped, run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

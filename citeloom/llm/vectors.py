@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.session import ship_package
+
 QUERIES_PER_BLOCK = 1024
 CANDIDATES_PER_BLOCK = 8192
 
@@ -71,6 +73,7 @@ def block_search(
             )
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
+    ship_package(vectors.sparkSession)
     keys = ["q_block", "c_block", "dim"]
     best = (
         q.groupBy(*keys)
