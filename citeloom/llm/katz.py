@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import scratch_dir
+from citeloom.session import in_python, scratch_dir
 
 LARGEST = 5
 LEAST_MASS = 0.01
@@ -87,7 +87,7 @@ def frequent_words(read: DataFrame, buckets: int, total: int) -> dict[int, int]:
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, ["word", "n"])
 
-    named = read.select("text").mapInArrow(candidates, "word binary, n long")
+    named = in_python(read.select("text"), candidates, "word binary, n long")
     likely = named.groupBy("word").agg(F.sum("n").alias("n")).filter(
         F.col("n") >= total / (4 * buckets)
     )
@@ -107,7 +107,7 @@ def frequent_words(read: DataFrame, buckets: int, total: int) -> dict[int, int]:
 
     if not wanted:
         return {}
-    exact = read.mapInArrow(counted, "word binary, n long, trained long").groupBy("word").agg(
+    exact = in_python(read, counted, "word binary, n long, trained long").groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("trained").alias("trained")
     )
     rows = exact.filter(F.col("n") >= total / (2 * buckets)).collect()
@@ -152,8 +152,9 @@ _GRAMS = pa.schema([
 class Chunk:
     """Documents of one task until there are enough, then their grams by bucket."""
 
-    def __init__(self, base: int, buckets: int, frequent: dict[int, int]):
-        self.base, self.buckets, self.frequent = base, buckets, frequent
+    def __init__(self, base: int, home: int, buckets: int, frequent: dict[int, int]):
+        # ``home`` is the bucket that takes the documents' own rows.
+        self.base, self.home, self.buckets, self.frequent = base, home, buckets, frequent
         self.number: dict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.number[b""], self.number[b" "]  # the end is 0, the start 1
@@ -225,7 +226,7 @@ class Chunk:
             row = {"bucket": b, "payload": payload, "doc": self.base}
             yield pa.RecordBatch.from_pylist([row], schema=_GRAMS)
         rows = [
-            {"bucket": self.base % self.buckets, "doc": self.base + i, "doc_id": d, "training": t, "n_tokens": n}
+            {"bucket": self.home % self.buckets, "doc": self.base + i, "doc_id": d, "training": t, "n_tokens": n}
             for i, (d, t, n) in enumerate(self.rows)
         ]
         yield pa.RecordBatch.from_pylist(rows, schema=_GRAMS)
@@ -236,7 +237,7 @@ def grams(read: DataFrame, buckets: int, frequent: dict[int, int]) -> DataFrame:
         task, number = TaskContext.get().partitionId(), 0
 
         def fresh() -> Chunk:
-            return Chunk(((task << 12) + number) * DOCS_PER_CHUNK, buckets, frequent)
+            return Chunk(((task << 12) + number) * DOCS_PER_CHUNK, task + number, buckets, frequent)
 
         chunk = fresh()
         for batch in batches:
@@ -248,7 +249,7 @@ def grams(read: DataFrame, buckets: int, frequent: dict[int, int]) -> DataFrame:
                     chunk = fresh()
         yield from chunk.grams()
 
-    return read.mapInArrow(run, GRAMS)
+    return in_python(read, run, GRAMS)
 
 
 # What a bucket leaves, by kind
@@ -398,8 +399,10 @@ def _words_between(
 
 
 def bucket_tables(shuffled: DataFrame, frequent: dict[int, int]) -> DataFrame:
+    """The tables of every bucket; a partition of ``shuffled`` is one bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
+        parts: list[tuple[int, bytes]] = []
         for batch in batches:
             is_doc = np.array(batch.column("payload").is_null())
             docs = batch.filter(pa.array(is_doc))
@@ -414,16 +417,11 @@ def bucket_tables(shuffled: DataFrame, frequent: dict[int, int]) -> DataFrame:
                     schema=_TABLES,
                 )
             for i in np.flatnonzero(~is_doc).tolist():
-                bucket = batch.column("bucket")[i].as_py()
-                if bucket != at and parts:
-                    yield from evaluate(parts, frequent)
-                    parts = []
-                at = bucket
                 parts.append((batch.column("doc")[i].as_py(), batch.column("payload")[i].as_py()))
         if parts:
             yield from evaluate(parts, frequent)
 
-    return shuffled.mapInArrow(run, TABLES)
+    return in_python(shuffled, run, TABLES)
 
 
 def discounts(sizes: list[int]) -> list[float]:
@@ -455,7 +453,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     total = token_total(read)
     buckets = max(4, math.ceil(total / TOKENS_PER_BUCKET))
     frequent = frequent_words(read, buckets, total)
-    shuffled = grams(read, buckets, frequent).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # One bucket a task, by its number: no two meet by the chance of a hash.
+    shuffled = grams(read, buckets, frequent).repartitionById(buckets, "bucket")
     path = scratch_dir(spark, "katz")
     bucket_tables(shuffled, frequent).write.partitionBy("kind").parquet(path)
     tables = spark.read.schema(TABLES).parquet(path)
