@@ -7,8 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus: int | str = 8, app: str = "citeloom") -> SparkSession:
@@ -93,9 +94,19 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 def fits_broadcast(small: DataFrame) -> bool:
     """Whether a stored table, measured row by row, may be broadcast."""
-    width = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    size = small.agg(F.coalesce(width, F.lit(0)).alias("bytes")).first()["bytes"]
-    return size <= BROADCAST_BYTES
+    widths = [F.lit(0), *[_width(field) for field in small.schema.fields]]
+    size = small.agg(F.coalesce(F.sum(sum(widths[1:], widths[0])), F.lit(0)).alias("bytes"))
+    return size.first()["bytes"] <= BROADCAST_BYTES
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value: text by its length, numbers as 8, nested ones as JSON."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        value = F.to_json(F.struct(value))
+    elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.lit(8)
+    return F.coalesce(F.octet_length(value), F.lit(0)) + 8
 
 
 def salted_join(
