@@ -35,9 +35,9 @@ LARGEST = 5
 LEAST_MASS = 0.01
 #: Neither can be a word.
 END, START = (xxhash.xxh64_intdigest(s) for s in (b"", b" "))
-TOKENS_PER_CHUNK = 3_000_000
+TOKENS_PER_CHUNK = 2_000_000
 DOCS_PER_CHUNK = 1 << 20
-TOKENS_PER_BUCKET = 5_000_000
+TOKENS_PER_BUCKET = 3_000_000
 GRAMS_AT_ONCE = 500_000
 ROWS_AT_ONCE = 100_000
 WORDS_HELD = 1_000_000
@@ -280,11 +280,10 @@ class Part:
     """One payload, its words in order of their hash."""
 
     def __init__(self, base: int, payload: bytes):
-        words, n, self.contexts, self.which, self.docs, self.times = unpacked(payload)
+        words, self.n, contexts, self.which, self.docs, self.times = unpacked(payload)
         self.base, self.words = base, words.astype(np.uint64)
-        self.contexts = self.contexts.astype(np.uint64)
-        self.n = n.astype(np.int64)
-        self.ends = np.cumsum(self.n)
+        self.contexts = contexts.astype(np.uint64)
+        self.ends = np.cumsum(self.n.astype(np.int64))
 
     def of_words(self, low: int, high: int) -> tuple[slice, slice]:
         """The words with low <= hash <= high, and their grams."""
@@ -300,6 +299,8 @@ class Sums:
     def __init__(self, parts: list[Part]):
         self.contexts = np.unique(np.concatenate([p.contexts for p in parts]))
         self.docs = np.unique(np.concatenate([p.base + np.unique(p.docs >> 1).astype(np.int64) for p in parts]))
+        for part in parts:  # from now on contexts are places in the bucket's list
+            part.contexts = np.searchsorted(self.contexts, part.contexts).astype(np.int32)
         self.seen = {name: np.zeros(len(self.contexts), np.int64) for name in (*SEEN, "mass")}
         self.doc = {name: np.zeros(len(self.docs)) for name in ("n_known", "n_unseen", *SEEN[:-1], "base", "score")}
         self.sizes, self.known = np.zeros(LARGEST + 3, np.int64), 0
@@ -311,7 +312,9 @@ def evaluate(payloads: list[tuple[int, bytes]], frequent: dict[int, int]) -> Ite
     The words pass by in ranges of their hash, so that only the compact payloads and the sums
     are held whole.
     """
-    parts = [Part(*p) for p in payloads]
+    parts = []
+    while payloads:
+        parts.append(Part(*payloads.pop()))
     sums = Sums(parts)
     total = sum(len(p.docs) for p in parts)
     step = (1 << 64) // max(1, math.ceil(total / GRAMS_AT_ONCE)) + 1
@@ -346,7 +349,7 @@ def _words_between(
         return
     words = np.unique(np.concatenate([p.words[w] for p, w, _ in cut]))
     word = np.concatenate([np.repeat(np.searchsorted(words, p.words[w]), p.n[w]) for p, w, _ in cut])
-    context = np.concatenate([np.searchsorted(sums.contexts, p.contexts)[p.which[g]] for p, _, g in cut])
+    context = np.concatenate([p.contexts[p.which[g]] for p, _, g in cut]).astype(np.int64)
     to = np.concatenate([
         np.searchsorted(sums.docs, p.base + (p.docs[g] >> 1).astype(np.int64)) for p, _, g in cut
     ])
