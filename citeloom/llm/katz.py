@@ -18,6 +18,8 @@ first and spread over all buckets by their context.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -35,12 +37,12 @@ LARGEST = 5
 LEAST_MASS = 0.01
 #: Neither can be a word.
 END, START = (xxhash.xxh64_intdigest(s) for s in (b"", b" "))
-TOKENS_PER_CHUNK = 2_000_000
+TOKENS_PER_CHUNK = 1_000_000
 DOCS_PER_CHUNK = 1 << 20
 TOKENS_PER_BUCKET = 3_000_000
 GRAMS_AT_ONCE = 500_000
 ROWS_AT_ONCE = 100_000
-WORDS_HELD = 1_000_000
+WORDS_HELD = 200_000
 LOOK_FOR = 8  # a word with 1 / (8 * buckets) of a task's tokens may be frequent
 
 
@@ -86,6 +88,8 @@ def frequent_words(read: DataFrame, buckets: int, total: int) -> dict[int, int]:
         columns = zip(*rows) if rows else [[]] * 2
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, ["word", "n"])
+        del found, rows, columns, arrays
+        give_back()
 
     named = in_python(read.select("text"), candidates, "word binary, n long")
     likely = named.groupBy("word").agg(F.sum("n").alias("n")).filter(
@@ -149,6 +153,13 @@ _GRAMS = pa.schema([
 ])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a task's worker lives on beside the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Chunk:
     """Documents of one task until there are enough, then their grams by bucket."""
 
@@ -247,7 +258,10 @@ def grams(read: DataFrame, buckets: int, frequent: dict[int, int]) -> DataFrame:
                     yield from chunk.grams()
                     number += 1
                     chunk = fresh()
+                    give_back()
         yield from chunk.grams()
+        del chunk
+        give_back()
 
     return in_python(read, run, GRAMS)
 
@@ -423,6 +437,7 @@ def bucket_tables(shuffled: DataFrame, frequent: dict[int, int]) -> DataFrame:
                 parts.append((batch.column("doc")[i].as_py(), batch.column("payload")[i].as_py()))
         if parts:
             yield from evaluate(parts, frequent)
+        give_back()
 
     return in_python(shuffled, run, TABLES)
 
