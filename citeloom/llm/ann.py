@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from citeloom.llm.vectors import (
-    CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK, block_search, distinct_rows,
+    CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK, block_search, distinct_rows, kth_largest,
+    only_own,
 )
 
 # Sums of this many products of two int8 are exact in single precision.
@@ -51,17 +52,15 @@ def bounds(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def search_tile(k: int):
     def tile(query_ids, queries, ids, rows) -> list[tuple]:
         found: list[tuple] = []
-        different, owners = distinct_rows(ids, rows, k + 1)
+        different, owners, smallest, shared = distinct_rows(ids, rows, k)
         for at in range(0, len(queries), 256):
             part = queries[at : at + 256]
             low, high = bounds(part, different)
-            # One of the k + 1 best may be the query's own row.
-            need = min(k + 1, len(different))
-            floor = -np.partition(-low, need - 1, axis=1)[:, need - 1]
-            if len(different) <= k:
-                floor[:] = -np.inf
+            # Every vector that counts for the floor has a row that may be an answer.
+            own = only_own(query_ids[at : at + 256], smallest, shared)
+            floor = kth_largest(np.where(own, -np.inf, low), k)
             for n, (query_id, query) in enumerate(zip(query_ids[at : at + 256], part)):
-                left = np.flatnonzero(high[n] >= floor[n])
+                left = np.flatnonzero((high[n] >= floor[n]) & ~own[n])
                 exact = (different[left] * query).sum(axis=1)
                 heap = (
                     (-score, other)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.vectors import (
-    CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK, block_search, distinct_rows,
+    CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK, block_search, distinct_rows, kth_largest,
+    only_own,
 )
 
 CELL_BITS = 5
@@ -24,7 +25,7 @@ def approximate(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np
 def search_tile(k: int, bits: int):
     def tile(query_ids, queries, ids, rows) -> list[tuple]:
         found: list[tuple] = []
-        different, owners = distinct_rows(ids, rows, k + 1)
+        different, owners, smallest, shared = distinct_rows(ids, rows, k)
         cells, lowest, width = approximate(different, bits)
         corner = lowest + cells * width
         # Integers below 2**53 add up exactly in doubles; larger ones take Python's integers.
@@ -38,13 +39,12 @@ def search_tile(k: int, bits: int):
             base = part @ corner.T
             up = np.maximum(part, 0) @ (width - 1) + slack
             down = np.minimum(part, 0) @ (width - 1) - slack
-            need = min(k + 1, len(different))
-            floor = -np.partition(-base, need - 1, axis=1)[:, need - 1] + down
-            if len(different) <= k:
-                floor[:] = -np.inf
+            # Every vector that counts for the floor has a row that may be an answer.
+            own = only_own(query_ids[at : at + 256], smallest, shared)
+            floor = kth_largest(np.where(own, -np.inf, base), k) + down
             for n, query_id in enumerate(query_ids[at : at + 256]):
                 query = part[n].astype(np.int64) if small else np.array([int(x) for x in part[n]], object)
-                left = np.flatnonzero(base[n] + up[n] >= floor[n])
+                left = np.flatnonzero((base[n] + up[n] >= floor[n]) & ~own[n])
                 left = left[np.argsort(-base[n][left], kind="stable")]
                 best: list[tuple] = []
                 for start in range(0, len(left), READ_AT_ONCE):

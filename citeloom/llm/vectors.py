@@ -85,10 +85,14 @@ def block_search(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def distinct_rows(ids: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The different vectors, and of each the ``keep`` smallest ids in order.
-
-    With ties going to smaller ids, no answer of fewer than ``keep`` rows needs more.
+def distinct_rows(
+    ids: np.ndarray, rows: np.ndarray, k: int
+) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different vectors, ids of each in order, its smallest id and whether it has others.
+
+    Of one id at most k rows are kept and of a vector at most 2 k: whichever id asks, its own
+    rows are k of these at most, so the k smallest of the others are there. With ties going
+    to smaller ids, no answer needs more.
     """
     order = np.argsort(ids, kind="stable")
     rows, ids = np.ascontiguousarray(rows[order]) + 0.0, ids[order]
@@ -97,4 +101,23 @@ def distinct_rows(ids: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.ndar
     by_vector = np.argsort(inverse, kind="stable")
     starts = np.searchsorted(inverse[by_vector], np.arange(len(first)))
     ends = np.append(starts[1:], len(ids))
-    return rows[first], [ids[by_vector[a : min(b, a + keep)]] for a, b in zip(starts, ends)]
+    held = ids[by_vector]
+    owners = []
+    for a, b in zip(starts, ends):
+        own = held[a:b]
+        if len(own) > k:
+            own = own[np.arange(len(own)) - np.searchsorted(own, own) < k][: 2 * k]
+        owners.append(own)
+    return rows[first], owners, held[starts], held[starts] != held[ends - 1]
+
+
+def only_own(query_ids: np.ndarray, smallest: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For every query and different vector: whether all its rows are of the query's id."""
+    return (query_ids[:, None] == smallest[None, :]) & ~shared[None, :]
+
+
+def kth_largest(bound: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the kth largest value; -inf if there are fewer."""
+    if bound.shape[1] < k:
+        return np.full(len(bound), -np.inf)
+    return -np.partition(-bound, k - 1, axis=1)[:, k - 1]

@@ -67,6 +67,30 @@ def test_top_k(spark, blocks):
     assert got == expected(rows, 20, score, True)
 
 
+@pytest.mark.parametrize("own", ["different", "equal"])
+@pytest.mark.parametrize("blocks", [(1024, 8192), (7, 50)])
+def test_many_rows_of_the_query_id(spark, own, blocks):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(1, 2) for _ in range(4)]) for i in range(1, 60)]
+    if own == "different":  # all ahead of the others
+        rows += [(0, [50.0 + i, 60.0, 70.0, 80.0]) for i in range(25)]
+    else:  # larger ids share the vector
+        rows += [(0, [9.0] * 4)] * 25 + [(i, [9.0] * 4) for i in range(100, 130)] + [(100, [9.0] * 4)] * 3
+    asks = F.col("vec_id") % 20 == 0
+    got = by_rank(ann.nearest(table(spark, rows), asks, 20, *blocks))
+    want = expected(
+        sorted(rows, key=lambda r: r[1], reverse=True), 20,
+        lambda a, b: float((a.astype(float) * b.astype(float)).sum()), False,
+    )
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    got = by_rank(vafile.top_k(table(spark, rows), asks, 20, 64, 5, *blocks))
+
+    def score(a, b):
+        return sum(int(math.floor(64 * float(x))) * int(math.floor(64 * float(y))) for x, y in zip(a, b))
+
+    assert got == expected(sorted(rows, key=lambda r: r[1], reverse=True), 20, score, True)
+
+
 def test_huge_components(spark):
     rows = [(0, [1e12, -3e11]), (1, [2e12, 5e11]), (2, [2e12, 4e11]), (3, [1e30, 0.0]), (4, [1.0, 1.0])]
     got = by_rank(vafile.top_k(table(spark, rows), F.col("vec_id") == 4, 3))
