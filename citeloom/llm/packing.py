@@ -5,8 +5,8 @@ numbers whatever the size of the corpus. Its configuration linear program (how o
 which multiset of lengths that fits a sequence, so that every length is covered) is solved on
 the driver by multiplicative weights: prices fall for the lengths covered so far, and a
 knapsack by dynamic programming finds the best-paid configurations at these prices. The
-fractions are rounded down, the rest is solved again, and what is left at last goes best-fit
-into open sequences. Placing the pieces is Spark work: each gets its number among those of its
+fractions are rounded down, the rest is solved again while that takes much of it, and what is
+left at last goes best-fit into open sequences. Placing the pieces is Spark work: each gets its number among those of its
 length and looks up its slot in the plan.
 """
 
@@ -171,7 +171,7 @@ def fractions(counts: dict[int, int], capacity: int, rounds: int, eta: float = 4
     Every length is a covering constraint. Its weight falls exponentially with the covered
     share; the prices are weights times length, so that at first every exact fill is optimal.
     In each round the lengths least covered get the best-paid configuration that holds them.
-    The result uses exactly as many sequences as the tokens need at least.
+    The result covers every length.
     """
     lengths = np.array(sorted(counts))
     wanted = np.array([counts[n] for n in lengths], float)
@@ -194,11 +194,17 @@ def fractions(counts: dict[int, int], capacity: int, rounds: int, eta: float = 4
             used[key] = used.get(key, 0.0) + times
             for n, k in config.items():
                 covered[at[n]] += times * k
-    least = float((lengths * wanted).sum()) / capacity
-    scale = least / sum(used.values())
+    scale = float((wanted / covered).max())
     return {config: x * scale for config, x in used.items()}
 
 
+def scaled_to_tokens(solved: dict[Config, float], counts: dict[int, int], capacity: int) -> dict[Config, float]:
+    """The cover shrunk to as many sequences as the tokens need at least."""
+    least = sum(n * k for n, k in counts.items()) / capacity
+    scale = least / sum(solved.values())
+    return {config: x * scale for config, x in solved.items()}
+
+
 def take(counts: dict[int, int], config: Config, times: int) -> int:
     """Use a configuration up to ``times`` times, as far as its lengths last."""
     times = min([times, *(counts.get(n, 0) // k for n, k in config)])
@@ -259,18 +265,42 @@ def rounded(
     return made + best_fit(counts, capacity)
 
 
+def solved_again(
+    solved: dict[Config, float], counts: dict[int, int], capacity: int, rounds: int
+) -> list[tuple[Config, int]]:
+    """All configurations of a cover rounded down and the rest solved again, as long as a
+    rounding takes a tenth of what is left; then best fit."""
+    counts, made = dict(counts), []
+    while counts:
+        tokens, taken = sum(n * k for n, k in counts.items()), 0
+        # Rounding in doubles must not lose a whole sequence.
+        for config, x in sorted(solved.items(), key=lambda c: -c[1]):
+            times = take(counts, config, math.floor(x + 1e-6))
+            made += [(config, times)] * (times > 0)
+            taken += times * sum(n * k for n, k in config)
+        if taken * 10 < tokens or not counts:
+            break
+        solved = fractions(counts, capacity, rounds)
+    return made + best_fit(counts, capacity)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
     """Configurations and how many sequences use each; together they hold the histogram.
 
     What a rounding leaves over packs better the more evenly its lengths are mixed, so
-    several shares of the solution are rounded and the plan of fewest sequences stays.
+    several shares of the solution are rounded, besides solving the rest again, and the plan
+    of fewest sequences stays.
     """
     counts = {n: c for n, c in histogram.items() if c and n < capacity}
     made: dict[Config, int] = {}
     if histogram.get(capacity):
         made[((capacity, 1),)] = histogram[capacity]
-    solved = fractions(counts, capacity, rounds) if counts else {}
-    tried = [rounded(solved, counts, capacity, share) for share in SHARES]
+    if not counts:
+        return list(made.items())
+    cover = fractions(counts, capacity, rounds)
+    least = scaled_to_tokens(cover, counts, capacity)
+    tried = [rounded(least, counts, capacity, share) for share in SHARES]
+    tried.append(solved_again(cover, counts, capacity, rounds))
     for config, times in min(tried, key=lambda t: sum(n for _, n in t)):
         made[config] = made.get(config, 0) + times
     return list(made.items())

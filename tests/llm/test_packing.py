@@ -70,6 +70,20 @@ def test_plan_is_near_the_bound():
     assert sum(t for _, t in packing.plan({100: 500, 156: 500, 64: 400, 192: 400}, 256)) == 900
 
 
+@pytest.mark.parametrize("n", [1, 7, 1000])
+def test_lengths_that_never_fill_a_sequence(n):
+    # 1027 + 516 + 501 and 2 * 521 + 2 * 501 are 2044; best fit needs 11 n.
+    histogram = {1027: 6 * n, 521: 6 * n, 516: 6 * n, 501: 12 * n}
+    assert sum(t for _, t in packing.best_fit(dict(histogram), 2048)) == 11 * n
+    planned = packing.plan(histogram)
+    held = Counter()
+    for config, times in planned:
+        assert sum(length * k for length, k in config) <= 2048
+        for length, k in config:
+            held[length] += k * times
+    assert held == Counter(histogram) and sum(t for _, t in planned) <= 9 * n + 1
+
+
 def test_groups_of_alike_sequences_are_best_fit():
     def one_by_one(counts, capacity):
         rooms = []
