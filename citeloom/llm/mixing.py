@@ -174,14 +174,29 @@ def cuts_of_all(plan: DataFrame, cuts: DataFrame) -> DataFrame:
 def copied(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with its own columns.
 
-    Rows meet their copies by (doc_id, size); repeated doc_ids of one size get the larger
-    of their counts. Null, empty and repeated rows behave as in ``mix``.
+    Rows meet their copies by (source, doc_id, size). ``mix`` gives all rows of such a key
+    the same count, or one more to those before the cut of the source: then as many rows,
+    by a hash of all columns, get one more. At most one key of a source is cut so, and only
+    its rows are numbered. Null, empty and repeated rows behave as in ``mix``.
     """
-    counts = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "size").agg(
-        F.max("copies").alias("mix_copies")
+    copies = F.col("copies")
+    counts = mix(docs, **options).groupBy(
+        F.col("source").alias("mix_source"), F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_words")
+    ).agg(F.min(copies).alias("fewest"), (F.sum(copies) - F.min(copies) * F.count("*")).alias("more"))
+    counts = stored(counts.filter((F.col("fewest") > 0) | (F.col("more") > 0)), "copies")
+    on = (
+        F.col("source").eqNullSafe(F.col("mix_source"))
+        & F.col("doc_id").eqNullSafe(F.col("mix_id"))
+        & (F.col("mix_size") == F.col("mix_words"))
     )
-    keyed = docs.withColumn("mix_size", word_count(F.col("text"))).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.mix_size") == F.col("c.size"))
-    joined = keyed.join(counts.alias("c"), on).filter("c.mix_copies > 0")
-    again = F.explode(F.sequence(F.lit(1), F.col("c.mix_copies").cast("int"))).alias("mix_copy")
-    return joined.select("d.*", again).select(*docs.columns)
+    keyed = docs.withColumn("mix_size", word_count(F.col("text")))
+    taken = keyed.join(counts.filter("more = 0"), on).withColumn("mix_copies", F.col("fewest"))
+    cut = counts.filter("more > 0")
+    if not cut.isEmpty():
+        in_key = Window.partitionBy("mix_source", "mix_id", "mix_words").orderBy(F.xxhash64(*docs.columns))
+        numbered = keyed.join(cut, on).withColumn("mix_number", F.row_number().over(in_key))
+        extra = (F.col("mix_number") <= F.col("more")).cast("long")
+        whole = numbered.withColumn("mix_copies", F.col("fewest") + extra).drop("mix_number")
+        taken = taken.unionByName(whole.filter("mix_copies > 0"))
+    again = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")
+    return taken.select(*docs.columns, again).drop("mix_copy")

@@ -214,6 +214,21 @@ def test_copies_follow_the_mix(spark):
     assert mixing.copied(table).columns == table.columns
 
 
+def test_copies_of_null_and_repeated_ids_follow_the_mix(spark):
+    rows = [(None, f"one two {i}", "abc"[i % 3]) for i in range(300)] + [(7, "x y z", s) for s in "abc"]
+    rows += [(None, f"without source {i}", None) for i in range(40)] + [(i, "w " * 50, "a") for i in range(100, 140)]
+    table = docs(spark, *rows)
+    want, got = {}, {}
+    for r in mixing.mix(table).filter("copies > 0").collect():
+        key = r["source"], r["doc_id"], r["size"]
+        want.setdefault(key, []).append(r["copies"])
+    for r in mixing.copied(table).groupBy("source", "doc_id", "text").count().collect():
+        key = r["source"], r["doc_id"], len(r["text"].split())
+        got.setdefault(key, []).append(r["count"])
+    assert any(len(set(counts)) > 1 for counts in want.values())
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_inclusion_follows_the_odds(spark):
     rows = [(i, "w " * (1 if i % 2 else 31), "s") for i in range(4000)]
     table = docs(spark, *rows, *[(i, "w " * 100, "t") for i in range(10000, 10800)])
