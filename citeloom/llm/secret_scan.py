@@ -42,7 +42,17 @@ RULES = (
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
     Rule("bearer", 1, r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 28),
-    Rule("private", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
+    # To the END line; where none follows, to the end of the base64 lines, the last of which
+    # may be short. Lines may be broken by a backslash and n, as in strings of code.
+    Rule(
+        "private", 2,
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+        r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+        r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+"
+        r"(?:(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2})++"
+        r"(?:(?:\s|\\[rn])++[A-Za-z0-9+/]++={0,2}(?=[\x20\t\r]*+(?:\n|\z)|\\[rn]|[\"']))?)?)",
+        0, 27,
+    ),
 )
 
 _MATCH = "array<struct<rule_no:int,n:int,gap:int,width:int,counts:boolean>>"

@@ -125,6 +125,29 @@ def test_redaction(spark):
         assert r["clean"] == re.sub("\0+", "[SECRET]", plain)
 
 
+def test_whole_private_keys_are_redacted(spark):
+    lines = [("MIIE" + c * 60) for c in "abAB09+/"] * 40 + ["Qx9="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    texts = [
+        (f"a {begin}\n{body}\n{end} z", "a [SECRET] z"),
+        (f"a\r\n{begin}\r\n" + body.replace("\n", "\r\n") + f"\r\n{end}\r\nz", "a\r\n[SECRET]\r\nz"),
+        ("k = '" + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + "';", "k = '[SECRET]';"),
+        (f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}\n{end}", "[SECRET]"),
+        (f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}", "[SECRET]"),
+        (f"{begin}\n{body}\nthe text goes on", "[SECRET]\nthe text goes on"),
+        (f"{begin}\n{body}\n\n{begin}\n{body}\n{end}\nz", "[SECRET]\n\n[SECRET]\nz"),
+        (f"{begin} and words, no key", "[SECRET] and words, no key"),
+        (f"{begin}\n" + "long - text " * 20000, "[SECRET]\n" + "long - text " * 20000),
+    ]
+    table = docs(spark, *[(i, t) for i, (t, _) in enumerate(texts)])
+    found = secret_scan.findings_by_path(table, secret_scan.scan_unseen(table))
+    rows = table.drop("findings").join(found, "doc_id").select(
+        "doc_id", secret_scan.redacted(F.col("text"), F.col("findings")).alias("clean")
+    )
+    assert {r["doc_id"]: r["clean"] for r in rows.collect()} == {i: c for i, (_, c) in enumerate(texts)}
+
+
 def test_no_rows_no_findings(spark):
     ledger = secret_scan.scan_unseen(docs(spark))
     assert ledger.count() == 0
