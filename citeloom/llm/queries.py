@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import ann, chat, katz, licenses, mixing, packing, quality, secret_scan, simhash, vafile
+from citeloom.llm import (
+    ann, bloom_diff, chat, clustering, katz, licenses, mixing, packing, quality, secret_scan,
+    simhash, vafile, whitening,
+)
 from citeloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +96,18 @@ def op10_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_diff.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), top=32)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -105,9 +120,51 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_chat": op9_chat,
         "op10_vafile": op10_vafile,
+        "op11_fingerprint": op11_fingerprint,
+        "op12_clusters": op12_clusters,
+        "op13_whitening": op13_whitening,
     }
 
 
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Plain rounds of assignment and floor of the mean, one after the other."""
+    sql = f"""
+        with v as materialized (
+            select row_number() over () as r, vec_id,
+                list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
+            from embeddings
+            where len(embedding) = 64
+                and len(list_filter(embedding, lambda x: abs(x) < 524288)) = 64
+        ), c0 as materialized (
+            select cast(row_number() over (order by h nulls last, x) - 1 as int) as c, x
+            from (select sha256('2:' || vec_id) as h, x from v) order by h nulls last, x limit {k}
+        )"""
+    for i in range(rounds + 1):
+        sql += f""", a{i} as materialized (
+            select r, min({{'d': d, 'c': c}}) as best from (
+                select r, c, cast(list_sum(list_transform(list_zip(v.x, c{i}.x),
+                    lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d
+                from v cross join c{i}) group by r
+        )"""
+        if i < rounds:
+            sql += f""", s{i} as (
+                select c, p, sum(e) as s, count(*) as n from (
+                    select best.c as c, unnest(x) as e, generate_subscripts(x, 1) as p
+                    from a{i} join v using (r)) group by c, p
+            ), c{i + 1} as materialized (
+                select c, coalesce(m, x) as x from c{i} left join (
+                    select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by p) as m
+                    from s{i} group by c) using (c)
+            )"""
+    return sql + f"""
+        select vec_id, best.c as cluster, best.d as distance,
+            cast(sum(best.d) over (partition by best.c) as bigint) as cluster_inertia,
+            cast(sum(best.d) over () as bigint) as inertia,
+            sha256(array_to_string(x_c, ',')) as centroid_sha256
+        from a{rounds} join v using (r)
+        join (select c, x as x_c from c{rounds}) f on f.c = best.c"""
+
+
 ORACLE = {
     "op9_chat": """
         with t as (
@@ -146,4 +203,5 @@ ORACLE = {
             from p
         )
         select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op12_clusters": _clusters_sql(40, 5),
 }

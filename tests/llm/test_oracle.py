@@ -24,5 +24,5 @@ def test_query_equals_sql(spark, name):
 
 def test_registered():
     found = entry_module.queries()
-    assert sum(name.startswith("op") for name in found) == 10 and "pipeline" in found
+    assert sum(name.startswith("op") for name in found) == 13 and "pipeline" in found
     assert set(queries.ORACLE) <= set(entry_module.oracle_sql())
