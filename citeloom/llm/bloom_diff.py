@@ -5,7 +5,7 @@ each becomes a 64-bit digest. A sketch deals every digest to one cell in each of
 and keeps, per cell, the number of digests, their exclusive or, and that of their check
 values. Two sketches subtract cell by cell: what both versions share vanishes, and a cell left
 with one digest gives it away, which empties it from its other cells, and so on (peeling).
-Where peeling gets stuck both versions are sketched again with twice the cells, dealt anew.
+Where peeling gets stuck both versions are sketched again with more cells, dealt anew.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from citeloom.session import in_python
 
 PARTS = 3
-#: Cells of each part of a fingerprint; a stuck subtraction doubles them.
+#: Cells of each part of a fingerprint; a stuck subtraction takes GROWTH times as many.
 WIDTH = 8
+GROWTH = 4
 #: A paragraph of more bytes is cut after words picked by their own hash.
 LONG = 256
 #: Digests that a sketch of one cell may be expected to give back.
@@ -34,7 +35,10 @@ ROWS_AT_ONCE = 1000
 
 _BREAK = re.compile(rb"[.!?]+\s+|[\r\n]+\s*")
 _WORD = re.compile(rb"\S+\s*")
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+_ROWS = np.arange(PARTS)[:, None]
+_PLACES = (np.arange(PARTS, dtype=np.uint64) * np.uint64(21))[:, None]
 
 
 def paragraphs(text: bytes) -> list[bytes]:
@@ -67,10 +71,9 @@ def digests(text: bytes) -> np.ndarray:
 
 
 def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
-    x = keys ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+    """Another value for each digest, which is evenly spread already."""
+    x = (keys ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * _MIX
+    return x ^ (x >> np.uint64(32))
 
 
 class Sketch:
@@ -84,17 +87,18 @@ class Sketch:
         if keys is not None and len(keys):
             self.add(keys, np.ones(len(keys), np.int64))
 
-    def cells(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The cell of each key in each part; another width deals anew."""
-        return [
-            part * self.width
-            + (mixed(keys, self.width * PARTS + part) % np.uint64(self.width)).astype(np.int64)
-            for part in range(PARTS)
-        ]
+    def cells(self, keys: np.ndarray) -> np.ndarray:
+        """The cell of each key (by column) in each part (by row); another width deals anew."""
+        if self.width < 1 << 20:  # three places from one mixed value
+            places = mixed(keys, self.width) >> _PLACES
+        else:
+            places = np.stack([mixed(keys, self.width + part) for part in range(PARTS)])
+        # The width is a power of two.
+        return (places & np.uint64(self.width - 1)).astype(np.int64) + _ROWS * self.width
 
     def add(self, keys: np.ndarray, signs: np.ndarray) -> None:
         check = mixed(keys, 1)
-        for at in self.cells(keys):
+        for at in self.cells(keys):  # one part at a time: ufunc.at misreads broadcast values
             np.add.at(self.count, at, signs)
             np.bitwise_xor.at(self.key, at, keys)
             np.bitwise_xor.at(self.check, at, check)
@@ -114,7 +118,7 @@ class Sketch:
             pure = pure[mixed(self.key[pure], 1) == self.check[pure]]
             if not len(pure):
                 break
-            keys, first = np.unique(self.key[pure], return_index=True)
+            keys, first = np.unique(self.key[pure], return_index=True)  # pure in several parts
             signs = self.count[pure[first]]
             found[0].append(keys[signs > 0])
             found[1].append(keys[signs < 0])
@@ -154,7 +158,7 @@ def difference(old: Version, new: Version) -> tuple[np.ndarray, np.ndarray, int]
     """Digests only in ``old``, only in ``new``, and the width that gave them.
 
     Starts at the width that can hold the difference of the digest counts, which is there at
-    least, and doubles it as long as peeling gets stuck.
+    least, and takes a larger one as long as peeling gets stuck.
     """
     width, least = WIDTH, abs(len(old.keys) - len(new.keys))
     while PARTS * width * LOAD < least:
@@ -163,7 +167,7 @@ def difference(old: Version, new: Version) -> tuple[np.ndarray, np.ndarray, int]
         found = old.sketch(width).minus(new.sketch(width)).peel()
         if found is not None:
             return *found, width
-        width *= 2
+        width *= GROWTH
 
 
 def likeness(old: Version, new: Version) -> tuple[float, int, int]:
