@@ -27,19 +27,23 @@ def name_id_pairs(records: DataFrame, names: str, ids: str, *keep: str) -> DataF
 
 
 def facet_counts(records: DataFrame, names: str, ids: str) -> DataFrame:
-    """Per (name, type): records, first-seen id and its order key. Counts of several batches of
-    records may be unioned before ``finish_facet``."""
+    """Per (name, type): records, and the first seen id with its order keys. Counts of several
+    batches of records may be unioned before ``finish_facet``.
+
+    Records come in the order of ``ord``, those without it last, and of their key ``rec``
+    where they have one; of equal ones the smaller id is first.
+    """
     raw_type = F.col("type")
-    pairs = name_id_pairs(records, names, ids, "ord", "type").select(
-        "ord", "name", "id", F.when(raw_type != "", R.summary_type(raw_type)).alias("kind")
+    rec = F.col("rec") if "rec" in records.columns else F.lit(None).cast("string")
+    pairs = name_id_pairs(records.withColumn("rec", rec), names, ids, "ord", "rec", "type").select(
+        F.struct(F.col("ord").isNull().alias("last"), "ord", "rec", "id").alias("first"),
+        "name", F.when(raw_type != "", R.summary_type(raw_type)).alias("kind"),
     )
     return pairs.groupBy("name", "kind").agg(*_merged(F.count("*")))
 
 
-def _merged(n: Column, order: str = "ord") -> list[Column]:
-    return [
-        n.alias("n"), F.min_by("id", order).alias("id"), F.min(order).alias("first_ord"),
-    ]
+def _merged(n: Column) -> list[Column]:
+    return [n.alias("n"), F.min("first").alias("first")]
 
 
 def finish_facet(counts: DataFrame) -> DataFrame:
@@ -48,7 +52,7 @@ def finish_facet(counts: DataFrame) -> DataFrame:
     Output: name, total, id, summary ("type (n) type (n) ", most used first), first_ord.
     ``counts`` may hold several rows of a (name, type), one per batch.
     """
-    per_type = counts.groupBy("name", "kind").agg(*_merged(F.sum("n"), "first_ord"))
+    per_type = counts.groupBy("name", "kind").agg(*_merged(F.sum("n")))
     ranked = F.sort_array(
         F.collect_list(F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("k"), "kind")))
     )
@@ -56,11 +60,13 @@ def finish_facet(counts: DataFrame) -> DataFrame:
         per_type.groupBy("name")
         .agg(
             F.sum("n").alias("total"),
-            F.min_by("id", "first_ord").alias("id"),
+            F.min("first").alias("first"),
             ranked.alias("kinds"),
-            F.min("first_ord").alias("first_ord"),
         )
-        .select("name", "total", "id", _summary(F.col("kinds")).alias("summary"), "first_ord")
+        .select(
+            "name", "total", F.col("first.id").alias("id"),
+            _summary(F.col("kinds")).alias("summary"), F.col("first.ord").alias("first_ord"),
+        )
     )
 
 
@@ -107,7 +113,8 @@ def facet_pivot(
 
 
 def most_used_first(facet: DataFrame) -> DataFrame:
-    return facet.orderBy(F.col("total").desc(), "first_ord")
+    """By count, then first seen (unknown last), then name."""
+    return facet.orderBy(F.col("total").desc(), F.asc_nulls_last("first_ord"), facet.columns[0])
 
 
 def facet_display(facet: DataFrame, name: str, key: str | None = None) -> DataFrame:

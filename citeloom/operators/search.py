@@ -43,8 +43,11 @@ def top_by_year(
     if limit < 1:
         raise ValueError("limit must be positive")
     by_year = F.col("year").asc() if oldest_first else F.col("year").desc()
-    ties = ["ord", "rec"] if "rec" in matches.columns else ["ord"]
-    return matches.orderBy(by_year, *ties).limit(limit)
+    return matches.orderBy(by_year, *_ties(matches)).limit(limit)
+
+
+def _ties(records: DataFrame) -> list[str]:
+    return ["ord", "rec"] if "rec" in records.columns else ["ord"]
 
 
 def search(
@@ -65,12 +68,13 @@ def search_postings(
 
     Up to ``FETCH_KEYS`` the search runs when this is called, and the records are filtered
     by the hits' keys as literals: records lie in key order, so only the hits' row groups
-    are read. A larger limit meets the records in a join.
+    are read. A larger limit meets the records in a join. ``rec`` stays on the rows, so that
+    records of equal or no id keep their order in ``result_rows``.
     """
     records = keyed(records)
     wanted = records.select("rec", "ord", *(columns or RECORD_COLUMNS))
     if clause is None:
-        return wanted.limit(0).drop("rec")
+        return wanted.limit(0)
     found = matching_records(postings, clause, vocabulary)
     hits = top_by_year(found, limit, oldest_first).select("rec")
     if limit <= FETCH_KEYS:
@@ -78,7 +82,7 @@ def search_postings(
         chosen = wanted.filter(either(keys)) if keys else wanted.limit(0)
     else:
         chosen = wanted.join(hits, "rec", "left_semi")
-    return top_by_year(chosen, limit, oldest_first).drop("rec")
+    return top_by_year(chosen, limit, oldest_first)
 
 
 def either(tests: list[Column]) -> Column:
@@ -98,7 +102,7 @@ def result_rows(top: DataFrame, oldest_first: bool = False, key_prefix: str = "@
     by_year = F.col("year").asc() if oldest_first else F.col("year").desc()
     ranked = top.withColumns(
         {
-            "rank": F.row_number().over(Window.orderBy(by_year, "ord")).cast("long"),
+            "rank": F.row_number().over(Window.orderBy(by_year, *_ties(top))).cast("long"),
             "total": F.count("*").over(Window.partitionBy()),
         }
     )

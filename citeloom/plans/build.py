@@ -33,26 +33,24 @@ def build_library(
         seen = store.open_table(spark, root, "manifest")
         if changed_files(files, seen).isEmpty():
             return version
-    version += 1
-    store.write_table(files, root, version, "manifest")
+    draft = store.begin(spark, root)
+    store.write_table(files, draft, "manifest")
     found = read(spark, source)
     if library.CORRUPT in found.columns:
-        bad = store.write_table(library.rejected(found), root, version, "rejected")
-        _refuse(bad, f"{store.version_dir(root, version)}/rejected", allow_rejected)
+        bad = store.write_table(library.rejected(found), draft, "rejected")
+        _refuse(bad, draft.path("rejected"), allow_rejected)
         found = library.accepted(found)
     keyed = postings.keyed(normalize(found))
-    records = store.write_table(keyed, root, version, "records")
-    store.write_table(facets.label_facet(records), root, version, "label_facet")
-    store.write_table(facets.folder_facet(records), root, version, "folder_facet")
-    store.write_table(facets.type_facet(records), root, version, "type_facet")
-    vocabulary_path = f"{store.version_dir(root, version)}/vocabulary"
+    records = store.write_table(keyed, draft, "records")
+    store.write_table(facets.label_facet(records), draft, "label_facet")
+    store.write_table(facets.folder_facet(records), draft, "folder_facet")
+    store.write_table(facets.type_facet(records), draft, "type_facet")
     words = postings.with_scopes(postings.vocabulary(records), records)
-    n_rows = postings.write_vocabulary(words, vocabulary_path)
-    word_path = f"{store.version_dir(root, version)}/postings"
+    n_rows = postings.write_vocabulary(words, draft.path("vocabulary"))
     rows = postings.build_postings(records).unionByName(postings.scope_postings(records))
-    postings.write_postings(rows, word_path, n_rows)
-    store.publish(spark, root, version)
-    return version
+    postings.write_postings(rows, draft.path("postings"), n_rows)
+    store.publish(spark, draft)
+    return draft.version
 
 
 def _refuse(bad: DataFrame, path: str, allowed: bool) -> None:
@@ -67,11 +65,11 @@ def build_bib(spark: SparkSession, source: str, root: str, allow_rejected: bool
     Blocks that are no entry, and entries with text that no field takes, go to the version's
     ``rejected`` table and fail the build unless ``allow_rejected``.
     """
-    version = store.current_version(spark, root) + 1
-    bad = store.write_table(bib.rejected(spark, source), root, version, "rejected")
-    _refuse(bad, f"{store.version_dir(root, version)}/rejected", allow_rejected)
+    draft = store.begin(spark, root)
+    bad = store.write_table(bib.rejected(spark, source), draft, "rejected")
+    _refuse(bad, draft.path("rejected"), allow_rejected)
     read = bib.read_entries(spark, source)
     entries = bib.entry_columns(read, bib.all_fields(read))
-    store.write_table(normalize_bib(entries), root, version, "entries")
-    store.publish(spark, root, version)
-    return version
+    store.write_table(normalize_bib(entries), draft, "entries")
+    store.publish(spark, draft)
+    return draft.version

@@ -16,7 +16,7 @@ BASE = {
     "_id": "concat('d', d.doc_id)",
     "incomplete": "case when d.doc_id % 13 = 0 then 1 else 0 end",
     "title": "replace(substr(d.text, 1, 80), chr(10), ' ')",
-    "abstract": "case when d.doc_id % 6 = 0 then null else d.text end",
+    "abstract": "d.text",
     "pub_year_src": "case when d.doc_id % 11 = 0 then null"
     " else cast(1990 + d.doc_id % 35 as varchar(10)) end",
     "citekey": "case when d.doc_id % 14 = 0 then null else concat('c', d.doc_id) end",
@@ -49,12 +49,10 @@ NESTED = {
     " 'last', concat('Name', (ord * 7 + i) % 97))) end",
     "attachments": "case when ord % 3 = 0 then array(named_struct('source_filename',"
     " case when ord % 6 = 0 then '[article_pdf].pdf' else 'x.pdf' end,"
-    " 'filename', concat(_id, '.pdf'))) else array() end",
+    " 'filename', concat(_id, '.pdf'),"
+    " 'gdrive_id', case when ord % 12 = 3 then concat('a', ord) end)) else array() end",
 }
 
-# The drive id is not in the tables' attachments; the typed field keeps the record shape.
-DRIVE = "transform(attachments, a -> named_struct('source_filename', a.source_filename," \
-    " 'filename', a.filename, 'gdrive_id', cast(null as string)))"
 
 BIB = {
     "ord": "d.doc_id",
@@ -72,7 +70,7 @@ BIB = {
     "pages": "case when d.doc_id % 3 = 0 then null"
     " else concat(d.doc_id % 100, '-', d.doc_id % 100 + 9) end",
     "pmid": "case when d.doc_id % 10 = 0 then null else cast(100000 + d.doc_id as varchar(10)) end",
-    "annot": "case when d.doc_id % 6 = 0 then null else replace(d.text, chr(10), ' ') end",
+    "annot": "replace(d.text, chr(10), ' ')",
     "file": "concat(d.source, '/', d.doc_id, '.pdf')",
 }
 
@@ -96,9 +94,7 @@ def library(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
         base["label_csv"] = "cast(null as string)"
     flat = rows.selectExpr(*[f"{sql} as {name}" for name, sql in base.items()])
     nested = flat.withColumns({name: F.expr(sql) for name, sql in NESTED.items()})
-    return nested.withColumn("attachments", F.expr(DRIVE)).drop(
-        "pub_year_src", "label_csv", "folder_csv"
-    )
+    return nested.drop("pub_year_src", "label_csv", "folder_csv")
 
 
 def bib_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ NESTED = """
         "last" := concat('Name', (ord * 7 + i) % 97))) AS author,
     CASE WHEN ord % 3 = 0 THEN [struct_pack(
         source_filename := CASE WHEN ord % 6 = 0 THEN '[article_pdf].pdf' ELSE 'x.pdf' END,
-        filename := concat(_id, '.pdf'))] ELSE [] END AS attachments
+        filename := concat(_id, '.pdf'),
+        gdrive_id := CASE WHEN ord % 12 = 3 THEN concat('a', ord) END)] ELSE [] END AS attachments
 """
 
 _BASE_SQL = ", ".join(f"{sql} AS {name}" for name, sql in BASE.items())
@@ -37,7 +38,7 @@ REC = (
     coalesce(label_csv, '') AS label, coalesce(array_to_string(labels, ','), '') AS labelID,
     coalesce(folder_csv, '') AS folder, coalesce(array_to_string(folders, ','), '') AS folderID,
     CASE WHEN len(attachments) > 0 THEN '📜' ELSE ' ' END AS pdfFlag,
-    coalesce(gdrive_id, '') AS gdrive_id,
+    coalesce(attachments[1].gdrive_id, gdrive_id, '') AS gdrive_id,
     attachments, labelsNamed, labels, foldersNamed, folders
   FROM lib WHERE incomplete <> 1
 ), rec AS (
@@ -280,7 +281,7 @@ RAW_COLUMNS = """cast(ord AS varchar) AS ord, _id, cast(incomplete AS varchar) A
   cast(to_json(folders) AS varchar) AS folders,
   CASE WHEN published."year" IS NULL THEN '{}' ELSE cast(to_json(published) AS varchar) END
     AS published,
-  cast(to_json(author) AS varchar) AS author, cast(to_json(attachments) AS varchar) AS attachments"""
+  cast(to_json(author) AS varchar) AS author, replace(cast(to_json(attachments) AS varchar), ',"gdrive_id":null', '') AS attachments"""
 
 
 def _rec(columns: str, where: str = "") -> str:
@@ -417,7 +418,7 @@ def oracle_sql() -> dict[str, str]:
               concat('@', citekey) AS citekey, gdrive_id, _id FROM ranked""",
         "search_batch": f"WITH {BATCH}",
         "bib_scan": f"""WITH {BIB_SQL} SELECT 'article' AS entrytype, ID, author, title, journal,
-            year, volume, pages, pmid, annot, 'March' AS month FROM b""",
+            year, volume, pages, pmid, annot, file, 'March' AS month FROM b""",
         "bib_authors": f"""WITH {BIB_NAMES} SELECT myID AS ID, coalesce(n_authors, 0) AS n_authors,
             authorBlock FROM bib""",
         "bib_first_last": f"WITH {BIB_NAMES} SELECT myID, firstAuthor, lastAuthor FROM bib",

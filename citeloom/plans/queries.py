@@ -171,7 +171,7 @@ def bib_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _once(
         spark, sf_dir, "bib", lambda p: bib_text(bib_entries(spark, sf_dir)).write.text(p)
     )
-    fields = ["author", "title", "journal", "year", "volume", "pages", "pmid", "annot", "month"]
+    fields = ["author", "title", "journal", "year", "volume", "pages", "pmid", "annot", "file", "month"]
     return bib.entry_columns(bib.read_entries(spark, path), fields)
 
 

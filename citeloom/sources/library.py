@@ -48,8 +48,12 @@ def _with_file(text: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines records. The order key is the record id, which no file split changes."""
-    lines = _with_file(spark.read.text(path))
-    return _parsed(lines.filter(F.trim("value") != ""))
+    return parse_lines(spark.read.text(path))
+
+
+def parse_lines(text: DataFrame) -> DataFrame:
+    """The same over a text source, a stream too."""
+    return _parsed(_with_file(text).filter(F.trim("value") != ""))
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -108,11 +112,20 @@ def write_lines(records: DataFrame, target: str) -> None:
     records.write.mode("overwrite").json(target)
 
 
-def export_label(spark: SparkSession, source: str, label: str, target: str) -> None:
+def export_label(
+    spark: SparkSession, source: str, label: str, target: str, rejected_to: str | None = None
+) -> None:
     """Copy the matching JSON Lines unchanged, so every original key survives.
 
-    Only the label array is parsed; the line itself is written through as text.
+    Only the label array is parsed; the line itself is written through as text. Lines that
+    are no record may carry the label or not: they go to the folder ``rejected_to``
+    (source_file, value, as JSON Lines); without one they fail the export before it writes.
     """
+    bad = rejected(read_lines(spark, source))
+    if rejected_to:
+        bad.write.mode("overwrite").json(rejected_to)
+    elif not bad.isEmpty():
+        raise ValueError(f"lines of {source} are no record; name a folder for them")
     lines = spark.read.text(source)
     names = F.from_json("value", "labelsNamed array<string>")["labelsNamed"]
     lines.filter(F.array_contains(names, label)).write.mode("overwrite").text(target)

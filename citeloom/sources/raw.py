@@ -1,4 +1,7 @@
-"""Records whose keys are not known beforehand: union of keys, all values as text."""
+"""Records whose keys are not known beforehand: union of keys, all values as text.
+
+A line that is no JSON object is kept whole under the key ``_corrupt_record``.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.sources.library import CORRUPT
+
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines as one text column ``value``."""
-    return spark.read.text(path)
+    """JSON Lines as one text column ``value``; blank lines are none."""
+    return spark.read.text(path).filter(F.trim("value") != "")
+
+
+def is_object(value: str = "value") -> Column:
+    """Whether a text is one whole JSON object."""
+    return F.json_object_keys(value).isNotNull() & F.try_parse_json(F.col(value)).isNotNull()
 
 
 def key_census(lines: DataFrame, value: str = "value", ord_col: str | None = None) -> DataFrame:
@@ -19,7 +29,8 @@ def key_census(lines: DataFrame, value: str = "value", ord_col: str | None = Non
 
     The map side keeps one row per key, so records never travel.
     """
-    keys = F.explode(F.array_distinct(F.json_object_keys(value))).alias("key")
+    found = F.when(is_object(value), F.array_distinct(F.json_object_keys(value)))
+    keys = F.explode(F.coalesce(found, F.array(F.lit(CORRUPT)))).alias("key")
     if ord_col is None:
         return lines.select(keys).groupBy("key").agg(F.count("*").alias("n_records"))
     return (
@@ -35,7 +46,9 @@ def as_text_map(lines: DataFrame, value: str = "value") -> DataFrame:
     One pass and no key on the driver. Use it where records bring keys of their own;
     ``raw_import`` is for key sets that can be columns of a table.
     """
-    return lines.withColumn("fields", F.from_json(value, "map<string,string>"))
+    broken = F.create_map(F.lit(CORRUPT), F.col(value))
+    fields = F.when(is_object(value), F.from_json(value, "map<string,string>")).otherwise(broken)
+    return lines.withColumn("fields", fields)
 
 
 def text_fields(lines: DataFrame, value: str = "value", key: str = "_id") -> DataFrame:
@@ -46,16 +59,25 @@ def text_fields(lines: DataFrame, value: str = "value", key: str = "_id") -> Dat
 
 
 def widen(lines: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """One text column per key; an absent key is NULL. Only the listed keys are parsed."""
+    """One text column per key; an absent key is NULL. Only the listed keys are parsed.
+    A line that is no object has its text in the column ``_corrupt_record`` alone, if listed."""
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    return lines.select(F.from_json(value, schema).alias("r")).select("r.*")
+    whole = F.when(is_object(value), F.from_json(value, schema)) if CORRUPT in keys else F.from_json(value, schema)
+    parsed = lines.select(whole.alias("r"), F.col(value).alias("line"))
+    return parsed.select(
+        *[
+            (F.when(F.col("r").isNull(), F.col("line")) if k == CORRUPT else F.col("r").getField(k)).alias(k)
+            for k in keys
+        ]
+    )
 
 
 def raw_import(spark: SparkSession, path: str) -> DataFrame:
     """All records of a JSON Lines folder as text columns over the union of keys.
 
     The column list is part of a table's schema, so it has to be known before the
-    read; the census that yields it moves one row per key and task.
+    read; the census that yields it moves one row per key and task. Broken lines, if there
+    are any, come in a column ``_corrupt_record``.
     """
     lines = read_raw(spark, path)
     keys = sorted(row["key"] for row in key_census(lines).select("key").toLocalIterator())

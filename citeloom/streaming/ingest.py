@@ -5,6 +5,7 @@ after a failure overwrites its own folders, so no record is counted twice. Facet
 keep partial counts per batch, which add up at read time.
 
 A file stream sees new files only; changed or removed files need ``plans.build``.
+Lines that are no record go to the batch's ``rejected`` folder and to no other table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from citeloom.operators.postings import (
     build_postings, keyed, scope_postings, vocabulary, with_scopes, write_postings,
     write_vocabulary,
 )
-from citeloom.sources.schema import LIBRARY
+from citeloom.sources import library
 
 FACETS = {"label_counts": ("labelsNamed", "labels"), "folder_counts": ("foldersNamed", "folders")}
 
@@ -30,16 +31,17 @@ def ingest_new_files(
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Process every file that has arrived since the last run, then stop."""
-    reader = spark.readStream.schema(LIBRARY)
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = reader.json(source).withColumn("ord", F.col("_id"))
+    lines = library.parse_lines(reader.text(source))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         def target(name: str) -> str:
             return f"{root}/{name}/batch={batch_id}"
 
-        keyed(normalize(batch), batch_id).write.mode("overwrite").parquet(target("records"))
+        library.rejected(batch).write.mode("overwrite").parquet(target("rejected"))
+        keyed(normalize(library.accepted(batch)), batch_id).write.mode("overwrite").parquet(target("records"))
         records = batch.sparkSession.read.parquet(target("records"))
         for name, (names, ids) in FACETS.items():
             counts = facets.facet_counts(records, names, ids)

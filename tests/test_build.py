@@ -210,3 +210,53 @@ def test_a_bad_element_takes_no_other_along(spark, tmp_path):
     indented = library.read_indented(spark, str(folder / "c.json"), 2)
     assert table(library.accepted(indented), "_id") == [("r5",)]
     assert library.rejected(indented).count() == 1
+
+
+def broken_lines(folder):
+    folder.mkdir()
+    (folder / "a.json").write_text(
+        json.dumps({**rec(1), "title": "T"}) + "\n" + '{"_id": "r2", "labelsNamed": ["x"], "ti\n\n[1]\n'
+    )
+    return str(folder)
+
+
+def test_ingest_keeps_broken_lines_apart(spark, tmp_path):
+    source, root = broken_lines(tmp_path / "in"), str(tmp_path / "out")
+    ingest_new_files(spark, source, root, str(tmp_path / "check")).awaitTermination()
+    assert table(open_ingested(spark, root, "records"), "_id", "title") == [("r1", "T")]
+    bad = open_ingested(spark, root, "rejected")
+    assert sorted(r["value"] for r in bad.collect()) == ['[1]', '{"_id": "r2", "labelsNamed": ["x"], "ti']
+    assert bad.first()["source_file"].endswith("a.json")
+
+
+def test_raw_import_keeps_broken_lines(spark, tmp_path):
+    source = broken_lines(tmp_path / "in")
+    got = raw.raw_import(spark, source)
+    assert sorted(map(str, table(got, "_id", "title", "_corrupt_record"))) == sorted(map(str, [
+        ("r1", "T", None), (None, None, "[1]"), (None, None, '{"_id": "r2", "labelsNamed": ["x"], "ti'),
+    ]))
+    fields = raw.text_fields(raw.read_raw(spark, source))
+    assert fields.filter("field = '_corrupt_record' and _id is null").count() == 2
+    write_lines(tmp_path / "good.json", rec(1))
+    assert "_corrupt_record" not in raw.raw_import(spark, str(tmp_path / "good.json")).columns
+
+
+def test_export_does_not_lose_broken_lines(spark, tmp_path):
+    source = broken_lines(tmp_path / "in")
+    with pytest.raises(ValueError):
+        library.export_label(spark, source, "x", str(tmp_path / "out"))
+    library.export_label(spark, source, "x", str(tmp_path / "out"), str(tmp_path / "bad"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 1
+    assert spark.read.json(str(tmp_path / "bad")).count() == 2
+
+
+def test_two_builds_at_once_keep_their_folders(spark, tmp_path):
+    root = str(tmp_path)
+    one, two = store.begin(spark, root), store.begin(spark, root)
+    assert one.version == two.version == 1 and one.folder != two.folder
+    store.write_table(spark.range(1), one, "t")
+    store.write_table(spark.range(2), two, "t")
+    store.publish(spark, two)
+    assert store.open_table(spark, root, "t").count() == 2
+    store.publish(spark, one)
+    assert store.open_table(spark, root, "t").count() == 1 and store.current_version(spark, root) == 1

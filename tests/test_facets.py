@@ -1,5 +1,7 @@
 from helpers import library, record, table
 
+from pyspark.sql import functions as F
+
 from citeloom.operators import facets
 from citeloom.operators.clauses import row_predicate, typed_text
 from citeloom.operators.normalize import normalize
@@ -94,3 +96,21 @@ def test_pivot_counts_every_type_that_occurs(spark):
     recs = records(spark, labelled("a", ["x"], ["1"], kind="Commentary"), labelled("b", ["x"], ["1"]))
     got = facets.facet_pivot(recs, "labelsNamed", "labels")
     assert table(got, "name", "Commentary", "PP_ARTICLE") == [("x", 1, 1)]
+
+
+def test_ids_and_order_of_records_without_order_key(spark):
+    recs = normalize(library(
+        spark, labelled(None, ["b", "x"], ["9", "1"]), labelled(None, ["x", "a"], ["1", "8"])
+    )).withColumn("ord", F.lit(None).cast("long"))
+    facet = facets.most_used_first(facets.label_facet(recs))
+    assert table(facet, "label", "total", "label_id", "first_ord") == [
+        ("x", 2, "1", None), ("a", 1, "8", None), ("b", 1, "9", None),
+    ]
+
+
+def test_first_id_of_equal_order_keys_is_defined(spark):
+    recs = normalize(library(spark, *[labelled("same", ["x"], [str(i)]) for i in (5, 3, 4)]))
+    equal = recs.withColumn("ord", F.lit("k"))
+    assert facets.label_facet(equal.repartition(3)).first()["label_id"] == "3"
+    by_rec = equal.withColumn("rec", F.concat(F.lit("r"), F.expr("10 - cast(labelID as int)")))
+    assert facets.label_facet(by_rec.repartition(3)).first()["label_id"] == "5"

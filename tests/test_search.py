@@ -13,9 +13,9 @@ from citeloom.operators.clauses import (
 )
 from citeloom.operators.normalize import RECORD_COLUMNS, normalize
 from citeloom.operators.postings import (
-    build_postings, keep_rarest, matching_records, vocabulary,
+    build_postings, keep_rarest, keyed, matching_records, vocabulary,
 )
-from citeloom.plans import driver_view
+from citeloom.plans import driver_view, queries
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -303,3 +303,27 @@ def test_scopes_are_exact_in_both_forms(spark):
     assert set(table(got, "query_id", "_id")) == {(1, "a"), (2, "c"), (2, "d")}
     with pytest.raises(ValueError):
         InScope("author", "x")
+
+
+def test_result_rows_of_equal_ids_keep_record_order(spark):
+    recs = keyed(normalize(library(spark, *[record("same", title=f"word {i}") for i in range(9)])))
+    equal = recs.withColumn("ord", F.lit("k")).cache()
+    got = search.result_rows(search.search(equal, typed_text("word")))
+    assert [r["title"] for r in got.orderBy("rank").collect()] == [f"word {i}" for i in range(9)]
+    post = build_postings(equal)
+    got = search.result_rows(search.search_postings(post, equal, typed_text("word")))
+    assert [r["title"] for r in got.orderBy("rank").collect()] == [f"word {i}" for i in range(9)]
+
+
+def test_whole_texts_are_searched(spark):
+    """A word that stands only late in a document whose doc_id is a multiple of six."""
+    sf = "/root/testdata/sf0.001"
+    doc = spark.read.parquet(f"{sf}/documents.parquet").filter(
+        "doc_id % 6 = 0 and doc_id % 13 <> 0 and length(text) > 300"
+    ).orderBy("doc_id").first()
+    late = max(split_words(doc["text"][200:]), key=len)
+    assert late not in split_words(doc["text"][:80])
+    found = search.search(queries.stored_records(spark, sf), Term(late), limit=1000)
+    assert f"d{doc['doc_id']}" in [r["_id"] for r in found.collect()]
+    found = matching_records(queries.stored_postings(spark, sf), Term(late))
+    assert f"d{doc['doc_id']}" in [r["_id"] for r in found.collect()]
