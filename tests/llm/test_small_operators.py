@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,73 @@ def test_a_detection_within_a_better_one_is_suppressed():
     assert [(d[1], d[3], d[4]) for d in found] == [("mit", 1, 6), ("bsd", 7, 9)]
 
 
+NOTICES = [
+    ("licensed under the GPLv3", "gpl-3.0"), ("Licensed under LGPLv2.1", "lgpl-2.1"),
+    ("GPLv3 license", "gpl-3.0"), ("Apache2 license", "apache-2.0"), ("licensed under MPLv2", "mpl-2.0"),
+    ("under the terms of the AGPLv3", "agpl-3.0"), ("BSD-3-Clause", "bsd-3"), ("GPL-3.0-only", "gpl-3.0"),
+    ("(MIT OR Apache-2.0)", "apache-2.0,mit"), ("Apache-2.0 or MIT", "apache-2.0,mit"),
+    ("License: ISC", "isc"), ("GNU GPL v2 or later", "gpl-2.0"), ("LGPL 3", None),
+    ("not licensed under the mit license", "mit"), ("This is not released under the AGPLv3.", ""),
+    ("It was not her license to give", ""), ("Some mitral text, gplx, apaches 2", ""),
+    ("CC BY-NC-SA 4.0", "cc-by-nc-sa"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+    ("Use of this source code is governed by a BSD-style license", "bsd"),
+    ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"), ("MIT license, GPLv2", "gpl-2.0,mit"),
+]
+
+
+@pytest.mark.parametrize("text,labels", NOTICES)
+def test_notices(text, labels):
+    ordered = licenses._narrowest_first(licenses.rules())
+    got = licenses.scan_text(text.encode(), ordered)
+    if labels is not None:
+        assert got["labels"] == labels
+    if text.startswith("not licensed"):
+        assert got["score"] == 0 and got["base_labels"] == "mit"
+
+
+def plain_scan(text, ordered):
+    """Every rule without its gates, every detection against all kept ones."""
+    words = re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", text.translate(
+        str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split(" ")
+    joined = " ".join(w for w in words if w)
+    kept = []
+    for rule in ordered:
+        for m in re.finditer(rule.pattern.pattern.decode(), joined):
+            a = joined[: m.start()].count(" ")
+            b = a + m[0].count(" ") + 1
+            if not any(c <= a and b <= d for _, _, c, d in kept):
+                kept.append((rule.label, rule.priority, a, b))
+    kept = [k for k in kept if k[0]]
+    places = {label: [joined[: m.start()].count(" ") for m in re.finditer(rf"(?<![^ ]){p}(?![^ ])", joined)]
+              for p, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))}
+    base = sorted(k for k, v in places.items() if v)
+    at = sorted(sum(places.values(), []))
+    return (
+        len(joined.split()), len(at), at[0] if at else None, at[-1] if at else None, ",".join(base),
+        ",".join(sorted({*base, *(k[0] for k in kept)})), max((k[1] for k in kept), default=0) / 100,
+    )
+
+
+def test_whole_table_equals_plain_scan(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ordered = licenses._narrowest_first(licenses.rules())
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    got = licenses.license_scan(table).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert tuple(r)[1:8] == plain_scan(texts[r["doc_id"]], ordered)
+    assert sum(r["labels"] != "" for r in got) > 5
+
+
+def test_many_notices_in_one_text():
+    ordered = licenses._narrowest_first(licenses.rules())
+    text = b"It is licensed under the Apache License, Version 2.0. But GPLv3 license too.\n" * 50_000
+    began = time.perf_counter()
+    got = licenses.scan_text(text, ordered)
+    assert time.perf_counter() - began < 20
+    assert len(got["detections"]) == 100_000 and got["labels"] == "apache,apache-2.0,gpl-3.0"
+
+
 def test_license_scan_of_no_rows(spark):
     assert licenses.license_scan(docs(spark)).count() == 0
 
