@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.session import salted_join, stored
 
@@ -177,7 +178,8 @@ def copied(docs: DataFrame, **options) -> DataFrame:
     Rows meet their copies by (source, doc_id, size). ``mix`` gives all rows of such a key
     the same count, or one more to those before the cut of the source: then as many rows,
     by a hash of all columns, get one more. At most one key of a source is cut so, and only
-    its rows are numbered. Null, empty and repeated rows behave as in ``mix``.
+    its rows are numbered. Null, empty and repeated rows behave as in ``mix``. Rows travel as
+    one struct, so their columns may have any names.
     """
     copies = F.col("copies")
     counts = mix(docs, **options).groupBy(
@@ -189,14 +191,23 @@ def copied(docs: DataFrame, **options) -> DataFrame:
         & F.col("doc_id").eqNullSafe(F.col("mix_id"))
         & (F.col("mix_size") == F.col("mix_words"))
     )
-    keyed = docs.withColumn("mix_size", word_count(F.col("text")))
+    keyed = docs.select(
+        F.struct("*").alias("row"), "source", "doc_id", word_count(F.col("text")).alias("mix_size")
+    )
     taken = keyed.join(counts.filter("more = 0"), on).withColumn("mix_copies", F.col("fewest"))
     cut = counts.filter("more > 0")
     if not cut.isEmpty():
-        in_key = Window.partitionBy("mix_source", "mix_id", "mix_words").orderBy(F.xxhash64(*docs.columns))
+        in_key = Window.partitionBy("mix_source", "mix_id", "mix_words").orderBy(_row_hash(docs))
         numbered = keyed.join(cut, on).withColumn("mix_number", F.row_number().over(in_key))
         extra = (F.col("mix_number") <= F.col("more")).cast("long")
         whole = numbered.withColumn("mix_copies", F.col("fewest") + extra).drop("mix_number")
         taken = taken.unionByName(whole.filter("mix_copies > 0"))
     again = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")
-    return taken.select(*docs.columns, again).drop("mix_copy")
+    return taken.select("row", again).select("row.*")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row in ``row``; maps, which have no hash, as their entries."""
+    kinds = [(f.name, isinstance(f.dataType, T.MapType)) for f in docs.schema.fields]
+    row = F.col("row")
+    return F.xxhash64(*[F.map_entries(row[n]) if is_map else row[n] for n, is_map in kinds])

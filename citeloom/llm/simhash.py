@@ -293,7 +293,9 @@ def hexed(value):
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """The documents with one row of each near-duplicate group: that of the smallest doc_id.
 
-    Where that id is repeated, or a group has no ids, one of its rows stays.
+    Where that id is repeated, or a group has no ids, one of its rows stays (of equal ids
+    that of the smallest text key; equal rows are alike). Null and empty texts are one group.
+    No rows: no rows. Rows travel as one struct, so their columns may have any names.
     """
     printed, groups = _groups(docs, shingle, radius)
     own = printed.join(groups, "fingerprint").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -305,5 +307,6 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
     here = F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")) & (
         text_key(F.col("d.text")) == F.col("k.kept_key")
     )
-    met = docs.alias("d").join(keys.alias("k"), here).select("d.*", "k.kept_group")
-    return met.dropDuplicates(["kept_group"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    met = rows.alias("d").join(keys.alias("k"), here).select("d.row", "k.kept_group")
+    return met.dropDuplicates(["kept_group"]).select("row.*")

@@ -87,3 +87,26 @@ def test_stages_on_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "none")
         assert docs.count() == 0
+
+
+CLASHES = [
+    "mix_size", "mix_copies", "mix_copy", "mix_source", "mix_id", "mix_words", "mix_number", "fewest",
+    "more", "row", "blob", "secret_blob", "findings", "secret_findings", "clean", "kept_group", "kept_id",
+    "fingerprint", "component_id", "label", "score", "size", "source_key", "copies", "number", "part",
+]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_extra_columns_of_any_name(spark, steps, stage):
+    """Extra columns with the names used inside come out as they went in."""
+    columns = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame(steps[stage], columns)
+    named = docs.withColumns({n: F.concat(F.lit(f"{n}-"), "doc_id") for n in CLASHES}).withColumn(
+        "a map", F.create_map(F.lit("k"), "doc_id")
+    )
+    got = corpus_pipeline.STAGES[stage][1](spark, named, SF).collect()
+    assert got and list(got[0].asDict()) == named.columns
+    for r in got:
+        assert all(r[n] == f"{n}-{r['doc_id']}" for n in CLASHES) and r["a map"] == {"k": r["doc_id"]}
+    plain = Counter((r["doc_id"], r["text"]) for r in steps[stage + 1])
+    assert Counter((r["doc_id"], r["text"]) for r in got) == plain
