@@ -11,12 +11,18 @@ from citeloom.session import stored
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; it learns from those of ``docs``."""
+    """Documents that the quality classifier keeps; it learns from those of ``docs``.
+
+    Null texts are scored as empty ones, repeated rows each; see ``quality.kept``.
+    """
     return quality.kept(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (3-word shingles, 3 bits) the one of the smallest doc_id stays."""
+    """Of near-duplicates (3-word shingles, 3 bits) the one of the smallest doc_id stays.
+
+    Texts without words are one group; ties and null ids as in ``simhash.one_of_each``.
+    """
     return simhash.one_of_each(docs, shingle=3, radius=3)
 
 
@@ -24,28 +30,35 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents stay; found secrets are replaced and n_chars follows.
 
     The findings come from the ledger of this run's blobs, written before it is joined, and
-    meet the documents by blob. Only texts with findings are joined on.
+    meet the documents by blob. Only texts with findings are joined on. Null and empty texts
+    stay as they are, repeated rows stay each; rows travel as one struct, so their columns
+    may have any names.
     """
     ledger = stored(secret_scan.scan_unseen(docs), "ledger")
-    found = secret_scan.entries(ledger).withColumnRenamed("findings", "secret_findings")
-    joined = docs.withColumn("secret_blob", secret_scan.blob_id(F.col("text"))).join(
-        found, F.col("secret_blob") == found["blob"], "left"
-    )
-    findings = F.col("secret_findings")
-    clean = joined.withColumn(
-        "text", F.when(findings.isNotNull(), secret_scan.redacted(F.col("text"), findings)).otherwise(F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), secret_scan.blob_id(F.col("text")).alias("blob"))
+    joined = rows.join(secret_scan.entries(ledger), "blob", "left")
+    found, text = F.col("findings").isNotNull(), F.col("row.text")
+    clean = joined.select(
+        "row", "findings", F.when(found, secret_scan.redacted(text, F.col("findings"))).otherwise(text).alias("clean")
     )
-    chars = F.when(findings.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", chars).select(*docs.columns)
+    chars = F.when(found, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    row = F.col("row").withField("text", F.col("clean")).withField("n_chars", chars)
+    return clean.select(row.alias("row")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source takes it, up to three times."""
+    """Each document as often as the mix of its source takes it, up to three times.
+
+    A null source is one of its own, a text without words is never taken; see ``mixing.copied``.
+    """
     return mixing.copied(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    Null and empty texts are one token, repeated rows pieces of their own.
+    """
     return packing.pack_documents(docs, *vocabulary())
 
 
