@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from citeloom.llm.vectors import (
-    CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK, block_search, distinct_rows, kth_largest,
-    only_own,
+    CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK, Pack, asked_rows, cut, exact, heaped, left_of_tile,
+    packed, survivors, usable_rows,
 )
+from citeloom.session import stored
 
 # Sums of this many products of two int8 are exact in single precision.
 EXACT_WIDTH = 1024
@@ -32,48 +31,48 @@ def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def bounds(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all inner products, from the int8 tiles.
+def bounds_of(q8: np.ndarray, q_step: np.ndarray, c8: np.ndarray, c_step: np.ndarray) -> tuple:
+    """Lower and upper bounds of all inner products, from the int8 tiles alone.
 
     With q = q' + dq and c = c' + dc, the product differs from q'c' by q dc + dq c', at
     most |q|_1 * step_c / 2 + |c'|_1 * step_q / 2, and a little for rounding in doubles.
     """
-    q8, q_step = quantise(queries)
-    c8, c_step = quantise(rows)
+    dim = q8.shape[1]
     middle = int8_products(q8, c8) * q_step[:, None] * c_step[None, :]
     c_sum = np.abs(c8.astype(np.int64)).sum(axis=1) * c_step
-    q_sum = np.abs(queries).sum(axis=1)
+    q_sum = (np.abs(q8.astype(np.int64)).sum(axis=1) + dim / 2) * q_step
     error = (q_sum[:, None] * c_step[None, :] + q_step[:, None] * c_sum[None, :]) * 0.5
-    slack = 1e-12 * q_sum[:, None] * np.abs(rows).max(axis=1)[None, :] * rows.shape[1]
+    slack = 1e-12 * q_sum[:, None] * (127.5 * c_step)[None, :] * dim
     error = error * (1 + 1e-9) + slack
     return middle - error, middle + error
 
 
+def bounds(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the rows themselves."""
+    return bounds_of(*quantise(queries), *quantise(rows))
+
+
 def search_tile(k: int):
-    def tile(query_ids, queries, ids, rows) -> list[tuple]:
-        found: list[tuple] = []
-        different, owners, smallest, shared = distinct_rows(ids, rows, k)
-        for at in range(0, len(queries), 256):
-            part = queries[at : at + 256]
-            low, high = bounds(part, different)
-            # Every vector that counts for the floor has a row that may be an answer.
-            own = only_own(query_ids[at : at + 256], smallest, shared)
-            floor = kth_largest(np.where(own, -np.inf, low), k)
-            for n, (query_id, query) in enumerate(zip(query_ids[at : at + 256], part)):
-                left = np.flatnonzero((high[n] >= floor[n]) & ~own[n])
-                exact = (different[left] * query).sum(axis=1)
-                heap = (
-                    (-score, other)
-                    for score, j in zip(exact.tolist(), left.tolist())
-                    for other in owners[j].tolist()
-                    if other != query_id
-                )
-                found += [(int(query_id), o, -s) for s, o in heapq.nsmallest(k, heap)]
-        return found
+    def tile(q: Pack, c: Pack) -> tuple:
+        def bounded(part: slice, first: np.ndarray) -> tuple:
+            return bounds_of(q.codes[part], q.grid[part], c.codes[first], c.grid[first])
+
+        return left_of_tile(q.ids, c, k, bounded, q.codes)
 
     return tile
 
 
+def surviving(
+    good: DataFrame, asking: DataFrame, k: int, queries_per_block: int, candidates_per_block: int
+) -> DataFrame:
+    """Stored pairs (query_id, vec_id, h) that the int8 bounds leave, over all tiles."""
+    q = stored(packed(asking, quantise, queries_per_block), "query-packs")
+    c = stored(packed(good, quantise, candidates_per_block), "packs")
+    types = (np.int8, np.float64, np.int8, np.float64)
+    found = stored(survivors(q, c, search_tile(k), types), "survivors")
+    return stored(cut(found, k).select("query_id", "vec_id", "h").distinct(), "pairs")
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -85,12 +84,16 @@ def nearest(
 
     Tiles of queries and candidates are multiplied as int8; the error bound of each product
     leaves the pairs that can still be among the best, and these are recomputed in double
-    precision on the original vectors. So the answer is exact. Ties go to smaller vec_ids.
+    precision on the original vectors and merged by heaps. So the answer is exact. Ties go
+    to smaller vec_ids.
 
     Null vec_ids and vectors that are null, empty, zero or hold null or non-finite
     components take no part. Repeated rows are candidates of their own; rows of the query's
-    own id never are. No query or no candidate: no rows. Other columns are ignored.
+    own id never are. No query or no candidate: no rows. Other columns are ignored. Packs,
+    bounds and exact vectors of survivors are written to the shared folder.
     """
-    return block_search(
-        vectors, is_query, search_tile(k), k, "double", False, queries_per_block, candidates_per_block
-    )
+    good = usable_rows(vectors, False)
+    asking = asked_rows(good, is_query)
+    pairs = surviving(good, asking, k, queries_per_block, candidates_per_block)
+    scored = exact(pairs, good, asking, lambda a, b: (a * b).sum(axis=1), "double")
+    return heaped(scored, k, "double")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.llm import ann, vafile
+from citeloom.llm.vectors import asked_rows, packed, usable_rows
 
 
 def vectors(seed=1, n=400, dim=16):
@@ -110,3 +111,22 @@ def test_bounds_hold():
     a, b = rng.normal(size=(30, 40)), rng.normal(size=(50, 40)) * np.exp(rng.normal(size=(50, 1)) * 3)
     low, high = ann.bounds(a, b)
     assert (low <= a @ b.T).all() and (a @ b.T <= high).all()
+
+
+def test_few_exact_vectors_are_read(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asks, k = F.col("vec_id") % 20 == 0, 20
+    good = usable_rows(rows, True)
+    asking = asked_rows(good, asks)
+    n = asking.count()
+    left = ann.surviving(good, asking, k, 1024, 500).count()
+    assert n * k <= left < n * k * 1.5
+    left = vafile.scanned(good, asking, k, 64, 5, 1024, 500).count()
+    assert n * k <= left < n * k * 12  # of 2000 candidates a query
+
+
+def test_packs_take_a_byte_a_component(spark):
+    good = usable_rows(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), True)
+    packs = packed(good, ann.quantise, 600).collect()
+    assert sum(p["n"] for p in packs) == 2000 and max(p["n"] for p in packs) <= 600
+    assert sum(len(p["codes"]) for p in packs) == 2000 * 64
