@@ -12,7 +12,7 @@ from citeloom.llm.vectors import (
 )
 from citeloom.session import stored
 
-CELL_BITS = 5
+CELL_BITS = 6
 #: Below this, sums of products are exact in doubles and in longs.
 _EXACT = 2.0**52
 

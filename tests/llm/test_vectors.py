@@ -120,9 +120,9 @@ def test_few_exact_vectors_are_read(spark):
     asking = asked_rows(good, asks)
     n = asking.count()
     left = ann.surviving(good, asking, k, 1024, 500).count()
-    assert n * k <= left < n * k * 1.5
-    left = vafile.scanned(good, asking, k, 64, 5, 1024, 500).count()
-    assert n * k <= left < n * k * 12  # of 2000 candidates a query
+    assert n * k <= left < n * k * 3  # of 2000 candidates a query
+    left = vafile.scanned(good, asking, k, 64, vafile.CELL_BITS, 1024, 500).count()
+    assert n * k <= left < n * k * 3
 
 
 def test_packs_take_a_byte_a_component(spark):
