@@ -100,8 +100,10 @@ def fits_broadcast(small: DataFrame) -> bool:
 
 
 def _width(field: T.StructField) -> Column:
-    """Bytes of a value: text by its length, numbers as 8, nested ones as JSON."""
+    """Bytes of a value: text by its length, numbers as 8, nested ones but lists of numbers as JSON."""
     value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * 8 + 16
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
         value = F.to_json(F.struct(value))
     elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
