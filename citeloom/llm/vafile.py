@@ -38,7 +38,7 @@ def search_tile(k: int):
     """Bounds from cells: the score of the query with the low corner of a cell is off by at
     most its positive (negative) components times the cell's width."""
 
-    def tile(q: Pack, c: Pack) -> tuple:
+    def tile(q: Pack, c: Pack, best: np.ndarray | None) -> tuple:
         lowest, width = np.split(c.grid, 2)
         corner = lowest + c.codes * width
         largest = np.abs(q.codes).max() * (np.abs(corner).max() + width.max())
@@ -52,7 +52,7 @@ def search_tile(k: int):
             down = np.minimum(asked, 0) @ (width - 1) - slack
             return base + down[:, None], base + up[:, None]
 
-        return left_of_tile(q.ids, c, k, bounded, q.codes)
+        return left_of_tile(q.ids, c, k, bounded, best)
 
     return tile
 

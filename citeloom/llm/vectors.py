@@ -105,7 +105,8 @@ def survivors(
     ``decode`` has the types of query codes, query grid, candidate codes and candidate grid.
     Up to BROADCAST_BYTES the packs of queries go to the packs of candidates, which stay in
     place; beyond that both are dealt over a square of tasks, each pack of queries to all
-    columns of its row, each pack of candidates to all rows of its column.
+    columns of its row, each pack of candidates to all rows of its column. A task carries the
+    best lower bounds of its queries from tile to tile, so later tiles leave little.
     """
     names = ["dim", "n", "ids", "hashes", "codes", "grid"]
     q = queries.select("dim", F.struct(*names).alias("q"))
@@ -121,17 +122,20 @@ def survivors(
         met = c.select("*", *by).join(q, ["dim", "row", "column"])
 
     def unpacked(struct: dict, codes, grid) -> Pack:
-        n, dim = struct["n"], struct["dim"]
+        n = struct["n"]
         return Pack(
             np.frombuffer(struct["ids"], np.int64), np.frombuffer(struct["hashes"], np.int64),
-            np.frombuffer(struct["codes"], codes).reshape(n, dim), np.frombuffer(struct["grid"], grid),
+            np.frombuffer(struct["codes"], codes).reshape(n, -1), np.frombuffer(struct["grid"], grid),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, np.ndarray] = {}  # of each pack of queries, the best lower bounds so far
         for batch in batches:
             for i in range(batch.num_rows):  # one tile at a time
                 a, b = (batch.column(j)[i].as_py() for j in range(2))
-                found = tile(unpacked(a, *decode[:2]), unpacked(b, *decode[2:]))
+                found, best[a["ids"]] = tile(
+                    unpacked(a, *decode[:2]), unpacked(b, *decode[2:]), best.get(a["ids"])
+                )
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in found], names=[f.split()[0] for f in SURVIVOR.split(", ")]
                 )
@@ -139,18 +143,24 @@ def survivors(
     return in_python(met.select("q", "c"), run, SURVIVOR)
 
 
-def left_of_tile(query_ids: np.ndarray, c: Pack, k: int, bounds: Callable, queries: np.ndarray) -> tuple:
-    """Survivors of a tile: ``bounds`` gives lower and upper bounds of some queries (by a slice)
-    against some candidates (by number)."""
+def left_of_tile(query_ids: np.ndarray, c: Pack, k: int, bounds: Callable, best: np.ndarray | None) -> tuple:
+    """Survivors of a tile, and the k best lower bounds of each query so far.
+
+    ``bounds`` gives lower and upper bounds of some queries (by a slice) against some
+    candidates (by number), ``best`` holds the k best lower bounds of earlier tiles.
+    """
+    best = np.full((len(query_ids), k), -np.inf) if best is None else best
     raw = np.concatenate([c.codes.view(np.uint8).reshape(len(c.ids), -1), c.hashes.view(np.uint8).reshape(-1, 8)], axis=1)
     first, owners, smallest, shared = distinct_rows(c.ids, raw, k)
     found: list[tuple] = []
-    for at in range(0, len(queries), ROWS_AT_ONCE):
+    for at in range(0, len(query_ids), ROWS_AT_ONCE):
         part = slice(at, at + ROWS_AT_ONCE)
         low, high = bounds(part, first)
         own = only_own(query_ids[part], smallest, shared)
         # Every vector that counts for the floor has a row that may be an answer.
-        floor = kth_largest(np.where(own, -np.inf, low), k)
+        all_low = np.concatenate([np.where(own, -np.inf, low), best[part]], axis=1)
+        best[part] = -np.partition(-all_low, k - 1, axis=1)[:, :k]
+        floor = best[part].min(axis=1)
         n, j = np.nonzero((high >= floor[:, None]) & ~own)
         times = np.fromiter((len(owners[x]) for x in j), np.int64, len(j))
         ids = np.concatenate([np.empty(0, np.int64), *(owners[x] for x in j)])
@@ -158,7 +168,7 @@ def left_of_tile(query_ids: np.ndarray, c: Pack, k: int, bounds: Callable, queri
         other = ids != query_ids[part][n]
         n, j, ids = n[other], j[other], ids[other]
         found.append((query_ids[part][n], ids, c.hashes[first[j]], low[n, j], high[n, j]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    return tuple(np.concatenate(x) for x in zip(*found)), best
 
 
 def cut(found: DataFrame, k: int, bound: str = "low") -> DataFrame:
@@ -184,11 +194,11 @@ def exact(
     vectors = stored(
         read.groupBy("vec_id", "h", "embedding").agg(F.count("*").alias("copies")), "vectors"
     )
-    with_rows = salted_join(pairs.select("query_id", "vec_id", "h"), vectors, ["vec_id", "h"], "query_id", 16)
+    with_rows = salted_join(pairs.select("query_id", "vec_id", "h"), vectors, ["vec_id", "h"], "query_id", 1)
     both = salted_join(
         with_rows.select("query_id", "vec_id", "embedding", "copies"),
         asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")),
-        ["query_id"], "vec_id", 16,
+        ["query_id"], "vec_id", 1,
     ).filter(F.size("asked") == F.size("embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +292,3 @@ def distinct_rows(
 def only_own(query_ids: np.ndarray, smallest: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """For every query and different vector: whether all its rows are of the query's id."""
     return (query_ids[:, None] == smallest[None, :]) & ~shared[None, :]
-
-
-def kth_largest(bound: np.ndarray, k: int) -> np.ndarray:
-    """Of each row the kth largest value; -inf if there are fewer."""
-    if bound.shape[1] < k:
-        return np.full(len(bound), -np.inf)
-    return -np.partition(-bound, k - 1, axis=1)[:, k - 1]
