@@ -1,11 +1,12 @@
 """The positional word table and searches over it.
 
-One row per (word, column, record, position), with the record's id, order key and
-year alongside so that ranking needs no join back to the records. ``rec`` is the key
-of the stored record; ``_id`` may be absent or repeated. Stored sorted by word,
-range-partitioned on (word, record): equality and prefix filters prune
-files and row groups, and a word that fills a third of the table still spreads
-over as many files as its size needs.
+One row per (word, column, record) with the sorted positions as an array, and the record's
+id, order key and year alongside so that ranking needs no join back to the records. ``rec``
+is the key of the stored record; ``_id`` may be absent or repeated. Stored sorted by word and
+year, range-partitioned on (word, year, record): equality, prefix and year filters prune
+files and row groups, and a word that fills a third of the table still spreads over as many
+files as its size needs. ``build_postings`` is the same with a row per position; every search
+takes either form.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ ROWS_PER_FILE = 20_000_000
 MASK_BITS = 62
 MAX_RARE_ROWS = 1_000_000  # a broadcast of at most that many record keys
 MIN_HOT_ROWS = 1_000_000  # below this a word's postings are shuffled as they are
+BAND_ROWS = 1_000  # words with fewer rows are read whole by every search
 
 
 def keyed(records: DataFrame, batch: int = 0) -> DataFrame:
@@ -53,6 +55,50 @@ def build_postings(records: DataFrame, columns: list[str] | None = None) -> Data
     ).select(fold(F.col("word")).alias("term"), "col", "pos", *RECORD_KEY)
 
 
+def _word_runs(every: Column) -> Column:
+    """The words of one text as structs (term, positions), by one sort of its words."""
+    placed = F.sort_array(F.transform(every, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def runs(s: Column) -> Column:
+        opens = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda k: (k == 0) | (F.get(s, k)["w"] != F.get(s, F.greatest(k - 1, F.lit(0)))["w"]),
+        )
+
+        def lists(starts: Column) -> Column:
+            def one(at: Column, n: Column) -> Column:
+                end = F.coalesce(F.get(starts, n + 1), F.size(s))
+                own = F.slice(s, at + 1, end - at)
+                return F.struct(
+                    F.get(s, at)["w"].alias("term"), F.transform(own, lambda x: x["i"]).alias("positions")
+                )
+
+            return F.transform(starts, one)
+
+        return F.get(F.transform(F.array(opens), lists), F.lit(0))
+
+    # Variables of a lambda are computed once, however often they are named in it.
+    return F.when(F.size(every) > 0, F.get(F.transform(F.array(placed), runs), F.lit(0)))
+
+
+def position_lists(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per word, column and record: term, col, positions (sorted, from 0) and the
+    record's key. Narrow: a record's own words are put together without a shuffle."""
+    columns = columns or RECORD_COLUMNS
+    fields = F.array(
+        *[F.struct(F.lit(c).alias("col"), raw_words(fold(F.col(c))).alias("words")) for c in columns]
+    )
+    per_column = keyed(records).select(*RECORD_KEY, F.inline(fields))
+    found = per_column.select(*RECORD_KEY, "col", F.inline(_word_runs(F.col("words"))))
+    return found.select("term", "col", "positions", *RECORD_KEY)
+
+
+def occurrences(lists: DataFrame) -> DataFrame:
+    """Position lists as rows of ``build_postings``."""
+    rows = lists.filter(~F.col("term").startswith("@"))
+    return rows.select("term", "col", F.explode("positions").alias("pos"), *RECORD_KEY)
+
+
 def _scope_terms() -> Column:
     """All scopes of a record as terms, each once."""
 
@@ -72,6 +118,42 @@ def scope_postings(records: DataFrame) -> DataFrame:
     )
 
 
+def scope_lists(records: DataFrame) -> DataFrame:
+    """The scopes in the form of position lists."""
+    rows = scope_postings(records)
+    return rows.select("term", "col", F.array("pos").alias("positions"), *RECORD_KEY)
+
+
+def band_counts(lists: DataFrame, least: int = BAND_ROWS) -> DataFrame:
+    """Rows per word and year of the words with many rows: term, year, n_rows."""
+    counted = lists.groupBy("term", "year").agg(F.count("*").alias("n_rows"))
+    whole = F.sum("n_rows").over(Window.partitionBy("term"))
+    return counted.withColumn("whole", whole).filter(F.col("whole") >= least).drop("whole")
+
+
+def year_cuts(bands: DataFrame, clause: Clause, limit: int, oldest_first: bool = False) -> list[str]:
+    """Years to stop at, one after the other: up to the first there are some times ``limit``
+    rows of the rarest required word, up to the next four times as many, and so on.
+
+    Empty where a search is best served at once: a required word has few rows, or no word is
+    required. What a cut leaves out never counts; the caller goes on until its hits are certain.
+    """
+    wanted = list(dict.fromkeys(required_words(clause)))
+    if not wanted:
+        return []
+    tests = [_term_test(word, is_prefix) for word, is_prefix in wanted]
+    rows = bands.filter(reduce(lambda a, b: a | b, tests)).groupBy("year").agg(
+        *[F.coalesce(F.sum(F.when(t, F.col("n_rows"))), F.lit(0)).alias(f"w{i}") for i, t in enumerate(tests)]
+    ).collect()
+    so_far, enough, cuts = [0] * len(tests), 4 * limit, []
+    for row in sorted(rows, key=lambda r: r["year"], reverse=not oldest_first):
+        so_far = [a + row[f"w{i}"] for i, a in enumerate(so_far)]
+        if min(so_far) >= enough:
+            cuts.append(row["year"])
+            enough = 4 * min(so_far)
+    return cuts
+
+
 def with_scopes(words_table: DataFrame, records: DataFrame) -> DataFrame:
     """The vocabulary with the records of each scope."""
     found = records.select(F.explode(_scope_terms()).alias("term")).groupBy("term").agg(
@@ -88,11 +170,11 @@ def files_for(spark: SparkSession, n_rows: int, rows_per_file: int) -> int:
 def write_postings(
     postings: DataFrame, path: str, n_rows: int, rows_per_file: int = ROWS_PER_FILE
 ) -> None:
-    """``n_rows`` is the number of postings; the vocabulary's occurrences add up to it."""
+    """``n_rows`` is the number of occurrences, which the vocabulary's add up to."""
     files = files_for(postings.sparkSession, n_rows, rows_per_file)
     (
-        postings.repartitionByRange(files, "term", "rec")
-        .sortWithinPartitions("term")
+        postings.repartitionByRange(files, "term", "year", "rec")
+        .sortWithinPartitions("term", "year", "rec")
         .write.mode("overwrite")
         .parquet(path)
     )
@@ -197,12 +279,63 @@ def _phrase_records(postings: DataFrame, phrase: Phrase) -> DataFrame:
     """
     size = len(phrase.words)
     rows = _in_field(postings, phrase.field).filter(_any_word(phrase))
+    if "positions" in postings.columns:
+        return _phrase_merge(rows, phrase)
     votes = rows.select(*RECORD_KEY, "col", "pos", _offsets(phrase).alias("offset")).select(
         *RECORD_KEY, "col", (F.col("pos") - F.col("offset")).alias("start")
     )
     return votes.groupBy(*RECORD_KEY, "col", "start").count().filter(F.col("count") == size)
 
 
+def _positions_where(test: Column) -> Column:
+    """All positions of the rows that pass, of one column of one record."""
+    return F.flatten(F.collect_list(F.when(test, F.col("positions"))))
+
+
+def _phrase_merge(lists: DataFrame, phrase: Phrase) -> DataFrame:
+    """The same from position lists: a column's lists, moved to where the phrase would start,
+    are cut down to what all share."""
+    n = len(phrase.words)
+    met = lists.groupBy(*RECORD_KEY, "col").agg(
+        *[_positions_where(_word_test(phrase, i)).alias(f"p{i}") for i in range(n)]
+    )
+    starts = reduce(
+        lambda found, i: F.array_intersect(found, F.transform(f"p{i}", lambda x: x - i)),
+        range(1, n), F.col("p0"),
+    )
+    return met.filter(F.size(starts) > 0)
+
+
+def _near_merge(lists: DataFrame, on_left: Column, on_right: Column, distance: int) -> DataFrame:
+    """The same from position lists, by one walk over both lists in order.
+
+    ``l`` and ``m`` are the last two positions of the left side: a word that is on both
+    sides does not stand close to itself.
+    """
+    met = lists.groupBy(*RECORD_KEY, "col").agg(
+        _positions_where(on_left).alias("left"), _positions_where(on_right).alias("right")
+    ).filter((F.size("left") > 0) & (F.size("right") > 0))
+
+    def side(name: str, mark: int) -> Column:
+        return F.transform(name, lambda p: F.struct(p.alias("p"), F.lit(mark).alias("side")))
+
+    none = F.lit(None).cast("int")
+    begin = F.struct(none.alias("l"), none.alias("m"), none.alias("r"), F.lit(False).alias("hit"))
+
+    def step(s: Column, x: Column) -> Column:
+        is_left = x["side"] == 0
+        before = F.when(is_left, s["r"]).when(s["l"] < x["p"], s["l"]).otherwise(s["m"])
+        return F.struct(
+            F.when(is_left, x["p"]).otherwise(s["l"]).alias("l"),
+            F.when(is_left, s["l"]).otherwise(s["m"]).alias("m"),
+            F.when(is_left, s["r"]).otherwise(x["p"]).alias("r"),
+            (s["hit"] | F.coalesce(x["p"] - before <= distance + 1, F.lit(False))).alias("hit"),
+        )
+
+    walk = F.sort_array(F.concat(side("left", 0), side("right", 1)))
+    return met.filter(F.aggregate(walk, begin, step, lambda s: s["hit"]))
+
+
 def _near_records(postings: DataFrame, near: Near) -> DataFrame:
     """Records where both words stand close, from one ordered pass per text.
 
@@ -210,6 +343,9 @@ def _near_records(postings: DataFrame, near: Near) -> DataFrame:
     compared with one position. A window group is one column of one record.
     """
     on_left, on_right = _word_test(near.left, 0), _word_test(near.right, 0)
+    if "positions" in postings.columns:
+        rows = _in_field(postings, near.field).filter(on_left | on_right)
+        return _near_merge(rows, on_left, on_right, near.distance)
     rows = (
         _in_field(postings, near.field)
         .filter(on_left | on_right)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import record as R
 from citeloom.operators.clauses import Clause, InScope, row_predicate
 from citeloom.operators.normalize import RECORD_COLUMNS
-from citeloom.operators.postings import RECORD_KEY, keyed, matching_records
+from citeloom.operators.postings import RECORD_KEY, keyed, matching_records, year_cuts
 
 DEFAULT_LIMIT = 99  # fixed value: results per search
 FETCH_KEYS = 1_000  # limits up to this are fetched by key, without a join
@@ -61,11 +61,16 @@ def search(
 def search_postings(
     postings: DataFrame, records: DataFrame, clause: Clause | None, limit: int = DEFAULT_LIMIT,
     oldest_first: bool = False, columns: list[str] | None = None,
-    vocabulary: DataFrame | None = None,
+    vocabulary: DataFrame | None = None, bands: DataFrame | None = None,
 ) -> DataFrame:
     """Postings form: only the rows of the query's words are read, and the top hits are
     ranked from the postings alone.
 
+    With ``bands`` (``postings.band_counts``) hot words are not read whole: the search takes
+    the newest years first and stops as soon as ``limit`` hits are certain. A record's rows
+    all bear its year, so a clause holds within the years read or not at all, and what lies
+    beyond them ranks after every hit.
+
     Up to ``FETCH_KEYS`` the search runs when this is called, and the records are filtered
     by the hits' keys as literals: records lie in key order, so only the hits' row groups
     are read. A larger limit meets the records in a join. ``rec`` stays on the rows, so that
@@ -75,10 +80,20 @@ def search_postings(
     wanted = records.select("rec", "ord", *(columns or RECORD_COLUMNS))
     if clause is None:
         return wanted.limit(0)
-    found = matching_records(postings, clause, vocabulary)
-    hits = top_by_year(found, limit, oldest_first).select("rec")
+    def hits_in(rows: DataFrame) -> DataFrame:
+        found = matching_records(rows, clause, vocabulary)
+        return top_by_year(found, limit, oldest_first).select("rec")
+
+    hits = hits_in(postings)
     if limit <= FETCH_KEYS:
-        keys = [F.col("rec") == row["rec"] for row in hits.collect()]
+        for year in year_cuts(bands, clause, limit, oldest_first) if bands is not None else []:
+            near = F.col("year") <= year if oldest_first else F.col("year") >= year
+            certain = hits_in(postings.filter(near)).collect()
+            if len(certain) == limit:
+                break
+        else:
+            certain = hits.collect()
+        keys = [F.col("rec") == row["rec"] for row in certain]
         chosen = wanted.filter(either(keys)) if keys else wanted.limit(0)
     else:
         chosen = wanted.join(hits, "rec", "left_semi")

@@ -408,6 +408,7 @@ def oracle_sql() -> dict[str, str]:
         "search_top_desc": _top("DESC"),
         "search_top_postings": _top("DESC"),
         "search_top_asc": _top("ASC"),
+        "search_top_postings_asc": _top("ASC"),
         "search_display": f"""WITH {WORDS}, top AS (SELECT * FROM w WHERE {TOP}
               ORDER BY year DESC, ord LIMIT 99),
             ranked AS (SELECT *, row_number() OVER (ORDER BY year DESC, ord) AS rank,

@@ -15,8 +15,8 @@ from citeloom.operators.clauses import InScope, Near, Not, Phrase, Term, row_pre
 from citeloom.operators.normalize import RECORD_COLUMNS, complete_only, normalize, normalize_bib
 from citeloom.operators.normalize import with_defaults
 from citeloom.operators.postings import (
-    build_postings, keyed, matching_records, scope_postings, vocabulary, with_scopes,
-    write_postings, write_vocabulary,
+    band_counts, keyed, matching_records, occurrences, position_lists, scope_lists, vocabulary,
+    with_scopes, write_postings, write_vocabulary,
 )
 from citeloom.plans import driver_view
 from citeloom.plans.driver_view import bib_text, table
@@ -105,14 +105,21 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(
         spark, sf_dir, "postings",
         lambda path: write_postings(
-            build_postings(stored_records(spark, sf_dir)).unionByName(
-                scope_postings(stored_records(spark, sf_dir))
+            position_lists(stored_records(spark, sf_dir)).unionByName(
+                scope_lists(stored_records(spark, sf_dir))
             ), path,
             stored_vocabulary(spark, sf_dir).agg(F.sum("n_occurrences")).first()[0] or 0,
         ),
     )
 
 
+def stored_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(
+        spark, sf_dir, "bands",
+        lambda path: band_counts(stored_postings(spark, sf_dir)).write.parquet(path),
+    )
+
+
 def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(
         spark, sf_dir, "vocabulary",
@@ -274,10 +281,12 @@ def _top(oldest_first: bool) -> Query:
     ).select("ord", "_id", "year", "title")
 
 
-def search_top_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_postings(
+def _top_postings(oldest_first: bool) -> Query:
+    """Newest or oldest years first, until the hits are certain."""
+    return lambda spark, sf_dir: search.search_postings(
         stored_postings(spark, sf_dir), stored_records(spark, sf_dir), typed_text("the an"),
-        columns=["_id", "year", "title"], vocabulary=stored_vocabulary(spark, sf_dir),
+        oldest_first=oldest_first, columns=["_id", "year", "title"],
+        vocabulary=stored_vocabulary(spark, sf_dir), bands=stored_bands(spark, sf_dir),
     ).select("ord", "_id", "year", "title")
 
 
@@ -345,7 +354,7 @@ def queries() -> dict[str, Query]:
             facets.label_facet(records(s, d)), "label", "label_id"
         ),
         "facet_search": facet_search,
-        "postings": lambda s, d: build_postings(stored_records(s, d)).select(
+        "postings": lambda s, d: occurrences(position_lists(stored_records(s, d))).select(
             "term", "col", "_id", "pos"
         ),
         "term_stats": lambda s, d: vocabulary(records(s, d)),
@@ -361,7 +370,8 @@ def queries() -> dict[str, Query]:
         "facet_search_types": facet_search_types,
         "search_top_desc": _top(False),
         "search_top_asc": _top(True),
-        "search_top_postings": search_top_postings,
+        "search_top_postings": _top_postings(False),
+        "search_top_postings_asc": _top_postings(True),
         "search_display": search_display,
         "search_batch": search_batch,
         "bib_scan": bib_scan,

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from citeloom.operators import facets
 from citeloom.operators.normalize import normalize
 from citeloom.operators.postings import (
-    build_postings, keyed, scope_postings, vocabulary, with_scopes, write_postings,
+    keyed, position_lists, scope_lists, vocabulary, with_scopes, write_postings,
     write_vocabulary,
 )
 from citeloom.sources import library
@@ -49,7 +49,7 @@ def ingest_new_files(
         facets.type_facet(records).write.mode("overwrite").parquet(target("type_counts"))
         words = with_scopes(vocabulary(records), records)
         n_rows = write_vocabulary(words, target("vocabulary"))
-        rows = build_postings(records).unionByName(scope_postings(records))
+        rows = position_lists(records).unionByName(scope_lists(records))
         write_postings(rows, target("postings"), n_rows)
 
     return (

@@ -1,5 +1,6 @@
 """Scan form = postings form = an independent full-text engine over the same rows."""
 
+import random
 import sqlite3
 
 import pytest
@@ -327,3 +328,57 @@ def test_whole_texts_are_searched(spark):
     assert f"d{doc['doc_id']}" in [r["_id"] for r in found.collect()]
     found = matching_records(queries.stored_postings(spark, sf), Term(late))
     assert f"d{doc['doc_id']}" in [r["_id"] for r in found.collect()]
+
+
+def test_position_lists_explode_to_postings(spark):
+    recs = keyed(normalize(driver_view.library(spark, SF))).cache()
+    lists = postings.position_lists(recs)
+    names = ["term", "col", "pos", *postings.RECORD_KEY]
+    assert lists.groupBy("term", "col", "rec").count().filter("count > 1").isEmpty()
+    one, two = (df.select(*names) for df in (postings.occurrences(lists), build_postings(recs)))
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    none = postings.position_lists(normalize(library(spark, record("x", title="", abstract=None))), ["title", "abstract"])
+    assert none.count() == 0
+
+
+LIST_CLAUSES = [
+    Phrase(("of", "the")), Phrase(("a", "a", "b")), Phrase(("a", "b"), prefix=True), Phrase(("a", "a"), prefix=True),
+    Near(Term("a"), Term("b"), 1), Near(Term("a"), Term("a"), 0), Near(Term("a", prefix=True), Term("ab"), 2),
+    Near(Term("ab"), Term("a", prefix=True), 0), Near(Term("c"), Term("a"), 3),
+    Not(Near(Term("a"), Term("b"), 0), Phrase(("b", "a"))) | Term("zz"),
+]
+
+
+@pytest.mark.parametrize("clause", LIST_CLAUSES)
+def test_merged_lists_equal_occurrences(spark, clause):
+    rng = random.Random(7)
+    words_ = ["a", "b", "ab", "abc", "c", "of", "the"]
+    recs = keyed(normalize(library(spark, *[
+        record(f"r{i}", title=" ".join(rng.choices(words_, k=rng.randint(1, 7))),
+               abstract=" ".join(rng.choices(words_, k=rng.randint(0, 6)))) for i in range(150)
+    ]))).cache()
+    one = matching_records(postings.position_lists(recs), clause)
+    two = matching_records(build_postings(recs), clause)
+    assert sorted(table(one, "rec")) == sorted(table(two, "rec"))
+    assert 0 < one.count() < 150
+
+
+@pytest.mark.parametrize("oldest_first", [False, True])
+def test_bands_stop_early_with_the_same_hits(spark, tmp_path, oldest_first):
+    rows = [record(f"r{i:04}", title="hot " + ("cold" if i % 50 == 0 else f"w{i}"),
+                   published=None if i % 97 == 0 else {"year": str(1900 + i % 90)}) for i in range(2500)]
+    recs = keyed(normalize(library(spark, *rows))).cache()
+    path = str(tmp_path / "p")
+    postings.write_postings(postings.position_lists(recs), path, 20_000)
+    lists = spark.read.parquet(path)
+    bands = postings.band_counts(lists, 1000)
+    assert {r["term"] for r in bands.select("term").distinct().collect()} >= {"hot"}
+    for clause in (Term("hot"), Term("hot") & Term("hot", "title"), Not(Term("hot"), Term("cold")), Term("hot") | Term("cold")):
+        want = search.search_postings(lists, recs, clause, 20, oldest_first)
+        got = search.search_postings(lists, recs, clause, 20, oldest_first, bands=bands)
+        assert table(got, "rec") == table(want, "rec")
+    cuts = postings.year_cuts(bands, Term("hot"), 20, oldest_first)
+    near = F.col("year") <= cuts[0] if oldest_first else F.col("year") >= cuts[0]
+    read = lists.filter((F.col("term") == "hot") & near).count()
+    assert 80 <= read < 250  # of 2500 rows, however many there are
+    assert postings.year_cuts(bands, Term("hot") & Term("cold"), 20) == []
