@@ -9,8 +9,10 @@ exactly. A context never seen uses P(word) itself.
 
 Work. Every text is cut into (word, context, document) counts, and these meet by word in
 buckets: there the training counts of a bigram are complete and are applied at once to all
-documents that hold it. Each bucket leaves tables, partitioned by kind: sums per document,
-the seen followers of each context (all that its alpha needs), the unseen bigrams. The
+documents that hold it. Each bucket leaves tables, partitioned by kind: the bigram counts
+themselves, sums per document, the seen followers of each context (all that its alpha needs),
+the unseen bigrams. From the stored counts ``score_texts`` scores any other texts, token by
+token: the discounted count, or the back-off weight and the word's own probability. The
 discounts follow from counts of counts over all buckets; only then is anything scored, so the
 sums keep r = 1..LARGEST apart. Words so frequent that one would fill a bucket are counted
 first and spread over all buckets by their context.
@@ -23,6 +25,7 @@ import ctypes
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -271,12 +274,14 @@ def grams(read: DataFrame, buckets: int, frequent: dict[int, int]) -> DataFrame:
 SEEN = [f"n{r}" for r in range(1, LARGEST + 2)]
 TABLES = (
     "kind string, key long, doc long, doc_id long, training boolean, n_tokens long, n_known long,"
-    f" n_unseen long, {', '.join(f'{n} long' for n in SEEN)}, mass long, base double, score double"
+    f" n_unseen long, {', '.join(f'{n} long' for n in SEEN)}, mass long, base double, score double,"
+    " bucket int, place int, payload binary"
 )
 _TABLES = pa.schema(
     [("kind", pa.string()), ("key", pa.int64()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_())]
     + [(n, pa.int64()) for n in ("n_tokens", "n_known", "n_unseen", *SEEN, "mass")]
     + [("base", pa.float64()), ("score", pa.float64())]
+    + [("bucket", pa.int32()), ("place", pa.int32()), ("payload", pa.binary())]
 )
 
 
@@ -320,7 +325,21 @@ class Sums:
         self.sizes, self.known = np.zeros(LARGEST + 3, np.int64), 0
 
 
-def evaluate(payloads: list[tuple[int, bytes]], frequent: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _counts_row(bucket: int, words: np.ndarray, word: np.ndarray, place: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    """Bigram counts as one stored row: words, bigrams of each, steps between the places of
+    their contexts in the bucket's list, counts. The bigrams come by word and place."""
+    own, n = np.unique(word, return_counts=True)
+    step = np.diff(place, prepend=0)
+    first = np.cumsum(n) - n
+    step[first] = place[first]
+    payload = packed(*(a.astype(np.uint64) for a in (words[own], n, step, r)))
+    row = {"kind": "bigrams", "bucket": bucket, "payload": payload}
+    return pa.RecordBatch.from_pylist([row], schema=_TABLES)
+
+
+def evaluate(
+    payloads: list[tuple[int, bytes]], frequent: dict[int, int], bucket: int = 0
+) -> Iterator[pa.RecordBatch]:
     """All tables of one bucket, from its payloads of all chunks.
 
     The words pass by in ranges of their hash, so that only the compact payloads and the sums
@@ -333,7 +352,7 @@ def evaluate(payloads: list[tuple[int, bytes]], frequent: dict[int, int]) -> Ite
     total = sum(len(p.docs) for p in parts)
     step = (1 << 64) // max(1, math.ceil(total / GRAMS_AT_ONCE)) + 1
     for low in range(0, 1 << 64, step):
-        yield from _words_between(parts, sums, low, min(low + step, 1 << 64) - 1, frequent)
+        yield from _words_between(parts, sums, low, min(low + step, 1 << 64) - 1, frequent, bucket)
 
     yield _rows(
         "stats", 1, n_known=np.array([sums.known]),
@@ -343,7 +362,8 @@ def evaluate(payloads: list[tuple[int, bytes]], frequent: dict[int, int]) -> Ite
     for at in range(0, len(some), ROWS_AT_ONCE):
         own = some[at : at + ROWS_AT_ONCE]
         yield _rows(
-            "contexts", len(own), key=sums.contexts[own].view(np.int64),
+            "contexts", len(own), key=sums.contexts[own].view(np.int64), place=own,
+            bucket=np.full(len(own), bucket),
             **{name: values[own] for name, values in sums.seen.items()},
         )
     for at in range(0, len(sums.docs), ROWS_AT_ONCE):
@@ -355,7 +375,7 @@ def evaluate(payloads: list[tuple[int, bytes]], frequent: dict[int, int]) -> Ite
 
 
 def _words_between(
-    parts: list[Part], sums: Sums, low: int, high: int, frequent: dict[int, int]
+    parts: list[Part], sums: Sums, low: int, high: int, frequent: dict[int, int], bucket: int
 ) -> Iterator[pa.RecordBatch]:
     cut = [(p, *p.of_words(low, high)) for p in parts]
     cut = [(p, words, grams) for p, words, grams in cut if grams.stop > grams.start]
@@ -384,6 +404,8 @@ def _words_between(
     sums.known += int(((word_count > 0) & ~is_frequent).sum())
     seen = pair_count > 0
     at, r = pair_context[seen], pair_count[seen]
+    if len(at):
+        yield _counts_row(bucket, words, pair_word[seen], at, r)
     for i, name in enumerate(SEEN, 1):
         np.add.at(sums.seen[name], at[r == i] if i <= LARGEST else at[r > LARGEST], 1)
     np.add.at(sums.seen["mass"], at, word_count[pair_word[seen]] + 1)
@@ -436,7 +458,7 @@ def bucket_tables(shuffled: DataFrame, frequent: dict[int, int]) -> DataFrame:
             for i in np.flatnonzero(~is_doc).tolist():
                 parts.append((batch.column("doc")[i].as_py(), batch.column("payload")[i].as_py()))
         if parts:
-            yield from evaluate(parts, frequent)
+            yield from evaluate(parts, frequent, TaskContext.get().partitionId())
         give_back()
 
     return in_python(shuffled, run, TABLES)
@@ -457,6 +479,19 @@ def discounts(sizes: list[int]) -> list[float]:
     return found
 
 
+class Model(NamedTuple):
+    """Stored tables by kind, training tokens and words, training texts, discounts."""
+
+    tables: DataFrame
+    n: int
+    v: int
+    texts: int
+    d: list[float]
+
+    def kind(self, name: str) -> DataFrame:
+        return self.tables.filter(F.col("kind") == name).drop("kind")
+
+
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """Learn from the rows that ``training`` marks and score all rows.
 
@@ -466,6 +501,11 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     their own; a null training mark is false. Without training rows every probability is one
     (a single unknown word). An empty table gives no rows; other columns are ignored.
     """
+    return _scored(fit(docs, training))
+
+
+def fit(docs: DataFrame, training: Column) -> Model:
+    """The model of the rows that ``training`` marks, and the sums of all rows under it."""
     spark = docs.sparkSession
     read = _read(docs, training)
     total = token_total(read)
@@ -475,18 +515,15 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     shuffled = grams(read, buckets, frequent).repartitionById(buckets, "bucket")
     path = scratch_dir(spark, "katz")
     bucket_tables(shuffled, frequent).write.partitionBy("kind").parquet(path)
-    tables = spark.read.schema(TABLES).parquet(path)
-
-    def kind(name: str) -> DataFrame:
-        return tables.filter(F.col("kind") == name).drop("kind")
-
+    model = Model(spark.read.schema(TABLES).parquet(path), 0, 0, 0, [])
+    kind = model.kind
     seen = kind("stats").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_known", *SEEN)]).first()
     trained = kind("docs").filter("training").agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("texts")
     ).first()
     n, v = trained["tokens"], seen["n_known"] + sum(c > 0 for c in frequent.values())
     d = discounts([seen[name] for name in SEEN])
-    return _scored(kind, n, v, trained["texts"], d)
+    return model._replace(n=n, v=v, texts=trained["texts"], d=d)
 
 
 def backoff_weights(contexts: DataFrame, n: int, v: int, d: list[float]) -> DataFrame:
@@ -499,7 +536,85 @@ def backoff_weights(contexts: DataFrame, n: int, v: int, d: list[float]) -> Data
     return sums.select("key", (left / (1 - F.col("mass") / float(n + v + 1))).alias("weight"))
 
 
-def _scored(kind, n: int, v: int, texts: int, d: list[float]) -> DataFrame:
+def bigrams(model: Model) -> DataFrame:
+    """The stored counts: context, word (hashes) and r, the times seen in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words, n, step, r = unpacked(payload.as_py())
+                n = n.astype(np.int64)
+                place = np.cumsum(step.astype(np.int64))
+                first = np.cumsum(n) - n
+                place -= np.repeat(place[first] - step[first].astype(np.int64), n)
+                word = np.repeat(words.astype(np.uint64).view(np.int64), n)
+                for at in range(0, len(r), ROWS_AT_ONCE):
+                    own = slice(at, at + ROWS_AT_ONCE)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(r[own]), bucket), pa.int32()), pa.array(place[own].astype(np.int32)),
+                         pa.array(word[own]), pa.array(r[own].astype(np.int64))],
+                        names=["bucket", "place", "word", "r"],
+                    )
+
+    read = model.kind("bigrams").select("bucket", "payload")
+    counts = in_python(read, run, "bucket int, place int, word long, r long")
+    places = model.kind("contexts").select("bucket", "place", F.col("key").alias("context"))
+    return counts.join(places, ["bucket", "place"]).select("context", "word", "r")
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` its doc_id and size, and per (context, word) of it a row; written."""
+    kind = "kind string, doc long, doc_id long, context long, word long, n long"
+    schema = pa.schema([("kind", pa.string()), *[(n, pa.int64()) for n in ("doc", "doc_id", "context", "word", "n")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = [START, *map(xxhash.xxh64_intdigest, words_of(text.as_py())), END]
+                signed = np.array(hashes, np.uint64).view(np.int64).tolist()
+                found = Counter(zip(signed, signed[1:]))
+                rows = [("doc", doc, doc_id, None, None, len(signed) - 1)]
+                rows += [("gram", doc, None, c, w, n) for (c, w), n in found.items()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema
+                )
+                doc += 1
+
+    path = scratch_dir(docs.sparkSession, "katz-texts")
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    in_python(read, run, kind).write.partitionBy("kind").parquet(path)
+    return docs.sparkSession.read.schema(kind).parquet(path)
+
+
+def score_texts(model: Model, docs: DataFrame) -> DataFrame:
+    """Score texts the model need not have seen, from its stored tables: doc_id, n_tokens, score.
+
+    Each token takes its bigram's discounted count over the context's count, where that was
+    seen; else the context's back-off weight times the word's probability; in a context never
+    seen the word's probability alone. Rows are handled as in ``score``.
+    """
+    tokens = _tokens(docs)
+    grams = tokens.filter("kind = 'gram'").select("doc", "context", "word", "n")
+    counts = bigrams(model)
+    words = counts.groupBy("word").agg(F.sum("r").alias("times"))
+    followed = counts.groupBy("context").agg(F.sum("r").alias("after"))
+    weights = backoff_weights(model.kind("contexts"), model.n, model.v, model.d)
+    contexts = followed.join(weights, F.col("context") == F.col("key")).drop("key")
+    met = grams.join(counts, ["context", "word"], "left").join(words, "word", "left").join(contexts, "context", "left")
+    r, after = F.col("r"), F.col("after")
+    kept = F.when(r > LARGEST, r - LEAST_MASS)
+    for i, d in enumerate(model.d, 1):
+        kept = kept.when(r == i, F.lit(i * d))
+    own = (F.coalesce("times", F.lit(0)) + 1) / F.lit(float(model.n + model.v + 1))
+    p = F.when(r.isNotNull(), kept / after).when(after.isNotNull(), F.col("weight") / after * own).otherwise(own)
+    sums = met.groupBy("doc").agg(F.sum(F.col("n") * F.log10(p)).alias("score"))
+    every = tokens.filter("kind = 'doc'").select("doc", "doc_id", F.col("n").alias("n_tokens"))
+    return every.join(sums, "doc").select("doc_id", "n_tokens", "score")
+
+
+def _scored(model: Model) -> DataFrame:
+    kind, n, v, texts, d = model.kind, model.n, model.v, model.texts, model.d
     weights = backoff_weights(kind("contexts"), n, v, d)
     backed = kind("unseen").select("key", "doc", "n_unseen").join(weights, "key").select(
         "doc", (F.col("n_unseen") * F.log10("weight")).alias("score")

@@ -129,3 +129,31 @@ def test_packed_arrays_come_back():
     arrays = [katz.np.array(a, katz.np.uint64) for a in arrays]
     back = katz.unpacked(katz.packed(*arrays))
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, back))
+
+
+@pytest.mark.parametrize("per_bucket", [katz.TOKENS_PER_BUCKET, 100])
+def test_stored_counts_score_other_texts(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(katz, "TOKENS_PER_BUCKET", per_bucket)
+    monkeypatch.setattr(katz, "GRAMS_AT_ONCE", 60)
+    rows = corpus()
+    docs = spark.createDataFrame([(*r, "s", "k") for r in rows], SCHEMA).repartition(3)
+    model = katz.fit(docs, training())
+    plain = Plain([t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2])
+
+    def signed(t, start):
+        if t == "START ":
+            t = " "
+        h = katz.xxhash.xxh64_intdigest((t or "").encode())
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    stored = {(r["context"], r["word"]): r["r"] for r in katz.bigrams(model).collect()}
+    assert stored == {(signed(c, True), signed(t, False)): r for (c, t), r in plain.bi.items()}
+    other = [(1, "the of w1 w2"), (1, "the of w1 w2"), (2, None), (None, "of nothing w3 nothing"), (3, "the " * 50)]
+    got = katz.score_texts(model, spark.createDataFrame([(*r, "", "") for r in other], SCHEMA)).collect()
+    want = sorted((str(i), len(tokens(t)), plain.score(t)) for i, t in other)
+    found = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
+    assert [w[:2] for w in want] == [f[:2] for f in found]
+    assert [f[2] for f in found] == pytest.approx([w[2] for w in want], rel=1e-9)
+    own = {(r["doc_id"], r["n_tokens"]): r["score"] for r in katz.score(docs, training()).collect()}
+    again = {(r["doc_id"], r["n_tokens"]): r["score"] for r in katz.score_texts(model, docs).collect()}
+    assert own.keys() == again.keys() and all(own[k] == pytest.approx(again[k], rel=1e-9) for k in own)
