@@ -75,6 +75,19 @@ BIB = {
 }
 
 
+# A JSON line per document: ``rank`` is a number, a text or a list, ``size`` is nested.
+MIXED = (
+    "concat('{\"_id\":\"d', d.doc_id, '\",\"rank\":', case d.doc_id % 4 when 0 then cast(d.doc_id as varchar(20))"
+    " when 1 then concat('\"r', d.doc_id, '\"') when 2 then concat('[', d.doc_id, ',true]') else 'null' end,"
+    " ',\"size\":{\"chars\":', d.n_chars, case when d.doc_id % 3 = 0 then '' else"
+    " concat(',\"lang\":\"', d.lang, '\"') end, '}}')"
+)
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").alias("d").selectExpr(f"{MIXED} as value")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

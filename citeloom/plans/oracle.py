@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.plans.driver_view import BASE, BIB
+from citeloom.plans.driver_view import BASE, BIB, MIXED
 
 NESTED = """
     string_split(label_csv, ',') AS labelsNamed,
@@ -305,6 +305,19 @@ def _top(direction: str) -> str:
     )
 
 
+MIXED_FIELDS = f"""j AS (SELECT CAST({MIXED} AS JSON) AS j, d.doc_id, d.n_chars, d.lang FROM documents d),
+f AS (
+  SELECT concat('d', doc_id) AS _id, '_id' AS field, 'STRING' AS type, concat('d', doc_id) AS text FROM j
+  UNION ALL SELECT concat('d', doc_id), 'rank', CASE json_type(j, '$.rank') WHEN 'UBIGINT' THEN 'BIGINT'
+    WHEN 'VARCHAR' THEN 'STRING' WHEN 'ARRAY' THEN 'ARRAY<VARIANT>' ELSE 'VOID' END, json_extract_string(j, '$.rank') FROM j
+  UNION ALL SELECT concat('d', doc_id), 'size', concat('OBJECT<chars: BIGINT',
+    CASE WHEN json_type(j, '$.size.lang') IS NULL THEN '' ELSE ', lang: STRING' END, '>'),
+    json_extract_string(j, '$.size') FROM j
+  UNION ALL SELECT concat('d', doc_id), 'size.chars', 'BIGINT', json_extract_string(j, '$.size.chars') FROM j
+  UNION ALL SELECT concat('d', doc_id), 'size.lang', 'STRING', json_extract_string(j, '$.size.lang') FROM j
+    WHERE json_type(j, '$.size.lang') IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "library_scan": f"""WITH {LIB} SELECT _id, cast(incomplete AS varchar) AS incomplete, title,
@@ -323,6 +336,10 @@ def oracle_sql() -> dict[str, str]:
             f" HAVING count({source}) > 0"
             for key, source in LINE_KEYS.items()
         ),
+        "variant_fields": f"WITH {MIXED_FIELDS} SELECT * FROM f",
+        "variant_schema": f"""WITH {MIXED_FIELDS} SELECT field, CASE WHEN count(DISTINCT type) = 1
+            THEN min(type) WHEN field = 'size' THEN arg_max(type, length(type)) ELSE 'VARIANT' END AS type,
+            count(*) AS n_values FROM f GROUP BY field""",
         "union_schema": """SELECT cast(conv_id AS varchar) AS conv_id, cast(turn AS varchar) AS turn,
             role, text, NULL::varchar AS event_id, NULL::varchar AS user_id,
             NULL::varchar AS event_type, NULL::varchar AS props, NULL::varchar AS ts,

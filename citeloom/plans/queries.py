@@ -153,6 +153,15 @@ def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.text_fields(raw.read_raw(spark, library_lines(spark, sf_dir)))
 
 
+def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = raw.variant_fields(driver_view.mixed_lines(spark, sf_dir))
+    return fields.select("_id", "field", "type", "text")
+
+
+def variant_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw.variant_schema(raw.variant_fields(driver_view.mixed_lines(spark, sf_dir)))
+
+
 def schema_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = raw.read_raw(spark, library_lines(spark, sf_dir))
     return raw.key_census(lines).select("key", "n_records")
@@ -327,6 +336,8 @@ def queries() -> dict[str, Query]:
         "raw_import": raw_import,
         "raw_fields": raw_fields,
         "schema_keys": schema_keys,
+        "variant_fields": variant_fields,
+        "variant_schema": variant_schema,
         "union_schema": union_schema,
         "label_export": label_export,
         "complete_only": lambda s, d: complete_only(unlabelled(s, d)).select("_id", "title"),

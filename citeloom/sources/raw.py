@@ -5,6 +5,7 @@ A line that is no JSON object is kept whole under the key ``_corrupt_record``.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,3 +103,63 @@ def union_schema(*batches: DataFrame) -> DataFrame:
     return reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True), [stringify(b) for b in batches]
     )
+
+
+def variant_records(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines as VARIANT values in ``record``: every key with its own type, none listed anywhere.
+    A line that is no object is ``{"_corrupt_record": line}``."""
+    broken = F.to_variant_object(F.struct(F.col(value).alias(CORRUPT)))
+    return lines.withColumn("record", F.when(is_object(value), F.parse_json(F.col(value))).otherwise(broken))
+
+
+def variant_fields(lines: DataFrame, key: str = "_id", depth: int = 2, value: str = "value") -> DataFrame:
+    """One row per record and field, those of nested objects included, types kept.
+
+    Columns: ``key`` as text, field (nested names joined by dots), type, text (nested values
+    as JSON; JSON null is NULL of type VOID) and value (VARIANT). Objects nested deeper than
+    ``depth`` stay whole in their field. Narrow: fields come from ``variant_explode``.
+    """
+    spark = lines.sparkSession
+    records = variant_records(lines, value).select(
+        F.try_variant_get("record", f"$.{key}", "string").alias(key), "record"
+    )
+    level = records.select(key, F.lit("").alias("prefix"), F.col("record").alias("inside"))
+    found = []
+    for _ in range(depth):
+        opened = level.lateralJoin(
+            spark.tvf.variant_explode(F.col("inside").outer()).select(F.col("key").alias("name"), F.col("value"))
+        ).select(key, F.concat("prefix", "name").alias("field"), "value")
+        found.append(opened)
+        level = opened.filter(F.schema_of_variant("value").startswith("OBJECT")).select(
+            key, F.concat("field", F.lit(".")).alias("prefix"), F.col("value").alias("inside")
+        )
+    every = reduce(DataFrame.unionByName, found)
+    kind = F.schema_of_variant("value")
+    is_nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    text = F.when(is_nested, F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
+    return every.select(key, "field", kind.alias("type"), text.alias("text"), "value")
+
+
+def variant_schema(fields: DataFrame) -> DataFrame:
+    """Per field of ``variant_fields``: rows and the type that takes all of its values.
+
+    Numbers widen and objects unite their fields; values of conflicting types are VARIANT.
+    Merged on the executors, one row per field and task travels.
+    """
+    return fields.groupBy("field").agg(
+        F.schema_of_variant_agg("value").alias("type"), F.count("*").alias("n_values")
+    )
+
+
+def variant_columns(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Records as one typed column per top-level key; a key of conflicting types is VARIANT.
+
+    For key sets that can be columns of a table: their merged schema is one text on the driver.
+    """
+    records = variant_records(lines, value)
+    merged = records.agg(F.schema_of_variant_agg("record").alias("s")).first()["s"]
+    kind = re.sub(r"(^|: |<)OBJECT<", r"\1STRUCT<", merged or "")
+    kind = re.sub(r"(: |<)VOID\b", r"\1VARIANT", kind)  # never more than JSON null
+    if not kind.startswith("STRUCT<") or kind == "STRUCT<>":
+        return records.select()
+    return records.select(F.try_variant_get("record", "$", kind).alias("r")).select("r.*")

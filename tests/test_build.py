@@ -260,3 +260,27 @@ def test_two_builds_at_once_keep_their_folders(spark, tmp_path):
     assert store.open_table(spark, root, "t").count() == 2
     store.publish(spark, one)
     assert store.open_table(spark, root, "t").count() == 1 and store.current_version(spark, root) == 1
+
+
+def test_variant_import_keeps_and_merges_types(spark):
+    lines = spark.createDataFrame(
+        [('{"_id": "a", "n": 1, "m": 1, "o": {"x": 1, "deep": {"y": [1]}}}',),
+         ('{"_id": "b", "n": 2.5, "m": "t", "o": {"z": null}}',), ('{"_id": "c", "n": nope',), ("[1]",), ("{}",)],
+        "value string",
+    )
+    fields = raw.variant_fields(lines)
+    got = {(r["_id"], r["field"]): (r["type"], r["text"]) for r in fields.collect()}
+    assert got["a", "n"] == ("BIGINT", "1") and got["a", "m"][0] == "BIGINT" and got["b", "m"] == ("STRING", "t")
+    assert got["a", "o.x"] == ("BIGINT", "1") and got["a", "o.deep"] == ("OBJECT<y: ARRAY<BIGINT>>", '{"y":[1]}')
+    assert got["b", "o.z"] == ("VOID", None) and ("a", "o.deep.y") not in got
+    assert sorted(r["text"] for r in fields.filter("field = '_corrupt_record'").collect()) == [
+        "[1]", '{"_id": "c", "n": nope'
+    ]
+    kinds = {r["field"]: (r["type"], r["n_values"]) for r in raw.variant_schema(fields).collect()}
+    assert kinds["m"] == ("VARIANT", 2) and kinds["n"][0].startswith("DECIMAL") and kinds["o.x"] == ("BIGINT", 1)
+    table_ = raw.variant_columns(lines)
+    types = dict(table_.dtypes)
+    assert types["m"] == "variant" and types["_id"] == "string" and types["o"].startswith("struct<deep:struct<y:array<bigint>>")
+    assert table_.filter("_id = 'a'").select("o.x").first()["x"] == 1 and table_.count() == 5
+    assert raw.variant_columns(lines.filter("value = '{}'")).columns == []
+    assert raw.variant_fields(lines.limit(0)).count() == 0
