@@ -8,10 +8,11 @@ Both cases are equi-joins between de-duplicated sides, so neither a name shared
 by a third of all files nor one shared by a third of all records pairs up:
 
 * exact: one row per base name (smallest path) meets one row per wanted name;
-* pattern: each base name is cut at the lengths of wanted first literals, then, for
-  the literals it really starts with, at the lengths of their wanted titles. Cuts that
-  equal no wanted pattern are dropped in place; the rest is reduced to one smallest
-  path each.
+* pattern: each base name is cut at the lengths of wanted first literals. For the literals
+  it really starts with, the rest of the name is cut once per position into pieces of GRAM
+  characters, which meet the patterns by their rarest such piece; what meets is verified.
+  Titles shorter than that are met by pieces of their own lengths. Pieces that no pattern
+  has are dropped in place; the rest is reduced to one smallest path each.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import record as R
-from citeloom.session import by_rows, fits_broadcast, salted_join, stored
+from citeloom.session import by_rows, salted_join, stored
 
 NAMES_PER_TASK = 20_000
+GRAM = 8
 SALTS = 16
 
 
@@ -47,13 +49,29 @@ def list_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+def rarest_grams(patterns: DataFrame) -> DataFrame:
+    """Per pattern the piece of its title to look for: lead, title, gram.
+
+    Of the title's pieces of GRAM characters it is the one that occurs least in the patterns
+    of the same first literal; a shorter title is its own piece.
+    """
+    length = F.char_length("title")
+    at = F.explode(F.sequence(F.lit(1), F.greatest(length - GRAM + 1, F.lit(1)))).alias("at")
+    pieces = patterns.select("lead", "title", at).select(
+        "lead", "title", F.substr("title", F.col("at"), F.lit(GRAM)).alias("gram")
+    )
+    counts = pieces.groupBy("lead", "gram").agg(F.count("*").alias("n"))
+    return pieces.join(counts, ["lead", "gram"]).groupBy("lead", "title").agg(
+        F.min(F.struct("n", "gram"))["gram"].alias("gram")
+    )
+
+
 def resolve_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(lead, title, path) for distinct patterns; ``names`` is a stored table of one path
-    per base name, cut by row count because each name yields some hundred pieces."""
-    # Sizes per first literal: at most one per title length, which the pattern bounds.
-    sizes = patterns.groupBy("lead").agg(
-        F.collect_set(F.char_length("title")).alias("title_sizes")
-    )
+    per base name, cut by row count because each name yields some dozen pieces."""
+    index = stored(rarest_grams(patterns), "grams")
+    # Piece lengths per first literal: one unless there are short titles.
+    sizes = index.groupBy("lead").agg(F.collect_set(F.char_length("gram")).alias("sizes"))
     leads = stored(sizes, "leads")
     lead_sizes = leads.agg(F.collect_set(F.char_length("lead"))).scalar()
     tasks = by_rows(names, "basename", NAMES_PER_TASK)
@@ -68,20 +86,21 @@ def resolve_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
     starting = salted_join(heads, leads, ["lead"], "basename", SALTS)
     sized = starting.select(
         "path", "lead", F.expr("substr(basename, n + 1)").alias("rest"),
-        F.explode("title_sizes").alias("size"),
+        F.explode("sizes").alias("size"),
     ).filter(F.col("size") <= F.char_length("rest"))
     # An empty title stands everywhere; one position is enough for it.
     last_start = F.when(F.col("size") == 0, 1).otherwise(F.char_length("rest") - F.col("size") + 1)
     pieces = sized.select(
-        "path", "lead", "rest", "size", F.explode(F.sequence(F.lit(1), last_start)).alias("start")
-    ).select("path", "lead", F.expr("substr(rest, start, size)").alias("title"))
-    # Pieces that no record wants go before anything is shuffled for them; only where the
-    # patterns are too many to broadcast do the pieces meet them reduced.
-    smallest = F.min("path").alias("path")
-    if fits_broadcast(patterns):
-        wanted = pieces.join(F.broadcast(patterns), ["lead", "title"], "left_semi")
-        return wanted.groupBy("lead", "title").agg(smallest)
-    return pieces.groupBy("lead", "title").agg(smallest).join(patterns, ["lead", "title"])
+        "path", "lead", "rest", F.explode(_distinct_pieces(last_start)).alias("gram")
+    )
+    met = salted_join(pieces, index, ["lead", "gram"], "path", SALTS)
+    fitting = met.filter(F.contains("rest", "title"))
+    return fitting.groupBy("lead", "title").agg(F.min("path").alias("path"))
+
+
+def _distinct_pieces(last_start: Column) -> Column:
+    starts = F.sequence(F.lit(1), last_start)
+    return F.array_distinct(F.transform(starts, lambda at: F.substr("rest", at, F.col("size"))))
 
 
 def resolve_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
