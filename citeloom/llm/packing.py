@@ -336,7 +336,8 @@ def pack(made: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Dat
     )
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     found = slots(plan(histogram, capacity, rounds))
-    numbered = made.join(base, ["part", "length"]).withColumn("number", F.col("base") + F.col("local"))
+    # One row per task and length would grow past any broadcast; the pieces are narrow rows.
+    numbered = made.join(base.hint("merge"), ["part", "length"]).withColumn("number", F.col("base") + F.col("local"))
     kept = [c for c in made.columns if c not in ("part", "local")]
     out = numbered.select(*kept, "number")
 
