@@ -3,20 +3,46 @@
 DataFrame functions only. The text is read once to measure sizes; everything later
 works on narrow rows. A hot source is never gathered into one task: ranks are
 compared through word counts per (source, rank bin), and only the bin in which a
-source reaches its target is ordered row by row.
+source reaches its target is ordered, by its different rows. Of equal rows at the cut, which
+may be many, some are taken by numbers that many tasks give out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from citeloom.session import salted_join, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANK_BINS = 4096
 SALTS = 16
+SHARES = 64
+
+
+def print_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``number``, from 1 on within their keys, for few keys of any number of rows.
+
+    The rows are written with a random share of the key's, so a task that runs again sees the
+    same ones; shares are numbered on their own, behind the counts of those before them.
+    """
+    dealt = stored(rows.withColumn("share", F.floor(F.rand(42) * SHARES).cast("int")), "numbered")
+    before = Window.partitionBy(*keys).orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "share").agg(F.count("*").alias("n")).select(
+        *[F.col(k).alias(f"of_{k}") for k in keys], F.col("share").alias("of_share"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*keys, "share"]]
+    own = F.row_number().over(Window.partitionBy(*keys, "share").orderBy(F.lit(0)))
+    ranked = dealt.withColumn("own", own).join(F.broadcast(counts), reduce(and_, same))
+    return ranked.withColumn("number", F.col("offset") + F.col("own")).select(*rows.columns, "number")
 
 
 def word_count(text: Column) -> Column:
@@ -90,22 +116,26 @@ def mix(
     Each document gets expected copies in proportion to its weight, at most ``most``, so
     that the expected words of a source equal its target. The whole part is certain. The
     fraction p is an inclusion probability: documents are ranked by u / (1 - u) divided by
-    p / (1 - p), with u a hash of (doc_id, size, seed), and taken in this order until the
+    p / (1 - p), with u a hash of (doc_id, size, text, seed), and taken in this order until the
     words still missing are reached; the last one is taken if that ends nearer to the
     target. So the sample's size in words is fixed and reruns agree.
 
     ``document_weight`` maps the size column to a weight of few distinct values (one
     window row per source and value).
 
-    One output row per input row: doc_id, source, size, source_size, target, copies, taken.
-    Null or empty text: size 0, nothing taken. Null source: a source of its own. Null or
-    repeated doc_id: the row stands for itself; equal rows get equal ranks. Empty table:
-    no rows. Other columns are ignored.
+    One output row per input row: doc_id, source, size, source_size, target, copies, taken,
+    print (hash of the text). Null or empty text: size 0, nothing taken. Null source: a source
+    of its own. Null or repeated doc_id: the row stands for itself; rows of equal id and text
+    get equal ranks, and at the cut as many of them are taken as fit. Empty table: no rows.
+    Other columns are ignored.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
     size = word_count(F.col("text"))
     sized = stored(
-        docs.select("doc_id", "source", key.alias("source_key"), size.alias("size")), "sized"
+        docs.select(
+            "doc_id", "source", key.alias("source_key"), size.alias("size"),
+            print_of(F.col("text")).alias("print"),
+        ), "sized"
     ).withColumn("weight", document_weight(F.col("size")))
     classes = sized.groupBy("source_key", "weight").agg(
         F.sum("size").alias("class_size"), F.first("source").alias("source")
@@ -122,7 +152,7 @@ def mix(
     plan = stored(targets.drop("source").join(scales, "source_key"), "targets")
 
     expected = F.least(F.lit(float(most)), F.col("scale") * F.col("weight"))
-    mantissa = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(1 << 52))
+    mantissa = F.pmod(F.xxhash64("doc_id", "size", "print", F.lit(seed)), F.lit(1 << 52))
     u = (mantissa + F.lit(0.5)) / F.lit(float(1 << 52))
     p = F.col("expected") - F.col("whole")
     odds = u / (1 - u) * (1 - p) / p
@@ -154,19 +184,51 @@ def mix(
     placed = salted_join(ranked, stored(cuts_of_all(plan, cuts), "cuts"), ["source_key"], "doc_id", SALTS)
     at_cut = F.col("bin").eqNullSafe(F.col("cut_bin")) & F.col("bin").isNotNull()
     sure = F.coalesce((F.col("bin") < F.col("cut_bin")).cast("int"), F.lit(0))
-    in_bin = Window.partitionBy("source_key").orderBy("rank", "doc_id", "size")
-    reached = F.sum("size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0))
-    near = (reached - F.col("size") / 2 < F.col("missing")).cast("int")
     taken = placed.filter(~at_cut).withColumn("extra", sure).unionByName(
-        placed.filter(at_cut).withColumn("extra", near)
+        _cut_bin(placed.filter(at_cut))
     )
     copies = (F.col("whole") + F.col("extra")).cast("long")
     return taken.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+        (copies * F.col("size")).alias("taken"), "print",
     )
 
 
+def _cut_bin(rows: DataFrame) -> DataFrame:
+    """``extra`` for the rows of the bin in which their source reaches its target.
+
+    In the order of (rank, doc_id, size, print) a row is taken if the words up to its middle
+    are still missing. Rows that are equal in these are one group: all groups before the last
+    that takes any take all, and this one, the source's cut, ``take`` of its ``n`` rows.
+    """
+    place = ["rank", "doc_id", "size", "print"]
+    groups = rows.groupBy("source_key", *place).agg(
+        F.count("*").alias("n"), F.first("missing").alias("missing")
+    )
+    order = Window.partitionBy("source_key").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("missing") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0))
+    # The words up to the middle of row j are (j - 1/2) * size.
+    fitting = F.when(F.col("size") > 0, F.ceil(left / F.col("size") + 0.5) - 1).when(left > 0, F.col("n"))
+    take = F.least(F.greatest(F.coalesce(fitting, F.lit(0)), F.lit(0)), F.col("n")).cast("long")
+    counted = groups.withColumn("take", take).filter(F.col("take") > 0)
+    last = counted.groupBy("source_key").agg(F.max(F.struct(*place, "take", "n")).alias("cut"))
+    found = salted_join(rows, stored(last, "cut"), ["source_key"], "doc_id", SALTS)
+    cut = F.col("cut")
+    here, there = F.struct(*place), F.struct(*[cut[c].alias(c) for c in place])
+    known = found.withColumn("extra", F.when(here <= there, 1).otherwise(0)).withColumn(
+        "split", (here == there) & (cut["take"] < cut["n"])
+    )
+    # A source without a taken row has no cut.
+    without = rows.join(last.select("source_key"), "source_key", "left_anti").withColumn("extra", F.lit(0))
+    whole = known.filter(~F.col("split")).drop("cut", "split").unionByName(without)
+    split = known.filter("split")
+    if split.isEmpty():
+        return whole
+    some = numbered(split.drop("split"), ["source_key"])
+    extra = (F.col("number") <= cut["take"]).cast("int")
+    return whole.unionByName(some.withColumn("extra", extra).drop("cut", "number"))
+
+
 def cuts_of_all(plan: DataFrame, cuts: DataFrame) -> DataFrame:
     """A row for every source, also for one without fractional copies."""
     return plan.select("source_key").join(cuts, "source_key", "left")
@@ -175,39 +237,33 @@ def cuts_of_all(plan: DataFrame, cuts: DataFrame) -> DataFrame:
 def copied(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with its own columns.
 
-    Rows meet their copies by (source, doc_id, size). ``mix`` gives all rows of such a key
-    the same count, or one more to those before the cut of the source: then as many rows,
-    by a hash of all columns, get one more. At most one key of a source is cut so, and only
-    its rows are numbered. Null, empty and repeated rows behave as in ``mix``. Rows travel as
+    Rows meet their copies by (source, doc_id, size, print). ``mix`` gives all rows of such a
+    key the same count, or one more to those before the cut of the source: then as many rows
+    get one more. At most one key of a source is cut so, and only its rows are numbered. Null, empty and repeated rows behave as in ``mix``. Rows travel as
     one struct, so their columns may have any names.
     """
     copies = F.col("copies")
     counts = mix(docs, **options).groupBy(
-        F.col("source").alias("mix_source"), F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_words")
+        F.col("source").alias("mix_source"), F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_words"),
+        F.col("print").alias("mix_print"),
     ).agg(F.min(copies).alias("fewest"), (F.sum(copies) - F.min(copies) * F.count("*")).alias("more"))
     counts = stored(counts.filter((F.col("fewest") > 0) | (F.col("more") > 0)), "copies")
     on = (
         F.col("source").eqNullSafe(F.col("mix_source"))
         & F.col("doc_id").eqNullSafe(F.col("mix_id"))
-        & (F.col("mix_size") == F.col("mix_words"))
+        & (F.col("mix_size") == F.col("mix_words")) & (F.col("text_print") == F.col("mix_print"))
     )
     keyed = docs.select(
-        F.struct("*").alias("row"), "source", "doc_id", word_count(F.col("text")).alias("mix_size")
+        F.struct("*").alias("row"), "source", "doc_id", word_count(F.col("text")).alias("mix_size"),
+        print_of(F.col("text")).alias("text_print"),
     )
     taken = keyed.join(counts.filter("more = 0"), on).withColumn("mix_copies", F.col("fewest"))
     cut = counts.filter("more > 0")
     if not cut.isEmpty():
-        in_key = Window.partitionBy("mix_source", "mix_id", "mix_words").orderBy(_row_hash(docs))
-        numbered = keyed.join(cut, on).withColumn("mix_number", F.row_number().over(in_key))
-        extra = (F.col("mix_number") <= F.col("more")).cast("long")
-        whole = numbered.withColumn("mix_copies", F.col("fewest") + extra).drop("mix_number")
+        split = numbered(keyed.join(cut, on), ["mix_source", "mix_id", "mix_words", "mix_print"])
+        extra = (F.col("number") <= F.col("more")).cast("long")
+        whole = split.withColumn("mix_copies", F.col("fewest") + extra).drop("number")
         taken = taken.unionByName(whole.filter("mix_copies > 0"))
     again = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")
     return taken.select("row", again).select("row.*")
 
-
-def _row_hash(docs: DataFrame) -> Column:
-    """Hash of all columns of a row in ``row``; maps, which have no hash, as their entries."""
-    kinds = [(f.name, isinstance(f.dataType, T.MapType)) for f in docs.schema.fields]
-    row = F.col("row")
-    return F.xxhash64(*[F.map_entries(row[n]) if is_map else row[n] for n, is_map in kinds])

@@ -355,3 +355,25 @@ def test_inclusion_follows_the_odds(spark):
 def test_mix_of_no_rows(spark):
     assert mixing.mix(docs(spark)).count() == 0
     assert mixing.copied(docs(spark)).count() == 0
+
+
+def test_equal_rows_at_the_cut_are_split(spark):
+    rows = [(None, "the same four words", "a")] * 600 + [(i, "w " * (i % 7), "a") for i in range(50)]
+    rows += [(i, f"other {i} x", "b") for i in range(300)] + [(None, None, "a")] * 5
+    table = docs(spark, *rows).repartition(4)
+    mixed = mixing.mix(table).cache()
+    same = [r["copies"] for r in mixed.filter("size = 4 and doc_id is null").collect()]
+    assert len(same) == 600 and max(same) - min(same) == 1
+    for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 4
+    got = mixing.copied(table).filter("doc_id is null and text is not null").count()
+    assert got == sum(same)
+    assert mixed.count() == len(rows)
+
+
+def test_numbers_within_keys(spark):
+    rows = spark.range(1000).selectExpr("id", "case when id < 900 then null else id % 3 end as k")
+    found = mixing.numbered(rows.repartition(5), ["k"]).groupBy("k").agg(
+        F.count("*").alias("n"), F.countDistinct("number").alias("d"), F.max("number").alias("m"), F.min("number").alias("low")
+    ).collect()
+    assert len(found) == 4 and all(r["n"] == r["d"] == r["m"] and r["low"] == 1 for r in found)
