@@ -32,6 +32,8 @@ LONG = 256
 #: Digests that a sketch of one cell may be expected to give back.
 LOAD = 0.75
 ROWS_AT_ONCE = 1000
+#: A range of documents holds about this many at most; small tables have a range a partition.
+ROWS_PER_RANGE = 100_000
 
 _BREAK = re.compile(rb"[.!?]+\s+|[\r\n]+\s*")
 _WORD = re.compile(rb"\S+\s*")
@@ -254,7 +256,7 @@ def dealt_in_order(docs: DataFrame) -> DataFrame:
     read = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read.count() // ROWS_PER_RANGE))
     shares = [i / slots for i in range(1, slots)] or [0.5]
     seen = read.agg(
         F.min("doc_id").alias("first"),
