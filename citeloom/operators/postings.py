@@ -306,18 +306,15 @@ def _phrase_merge(lists: DataFrame, phrase: Phrase) -> DataFrame:
     return met.filter(F.size(starts) > 0)
 
 
-def _near_merge(lists: DataFrame, on_left: Column, on_right: Column, distance: int) -> DataFrame:
-    """The same from position lists, by one walk over both lists in order.
+def near_test(left: Column, right: Column, distance: int | Column) -> Column:
+    """Whether two position lists of one text stand close, by one walk over both in order.
 
     ``l`` and ``m`` are the last two positions of the left side: a word that is on both
     sides does not stand close to itself.
     """
-    met = lists.groupBy(*RECORD_KEY, "col").agg(
-        _positions_where(on_left).alias("left"), _positions_where(on_right).alias("right")
-    ).filter((F.size("left") > 0) & (F.size("right") > 0))
 
-    def side(name: str, mark: int) -> Column:
-        return F.transform(name, lambda p: F.struct(p.alias("p"), F.lit(mark).alias("side")))
+    def side(positions: Column, mark: int) -> Column:
+        return F.transform(positions, lambda p: F.struct(p.alias("p"), F.lit(mark).alias("side")))
 
     none = F.lit(None).cast("int")
     begin = F.struct(none.alias("l"), none.alias("m"), none.alias("r"), F.lit(False).alias("hit"))
@@ -332,8 +329,16 @@ def _near_merge(lists: DataFrame, on_left: Column, on_right: Column, distance: i
             (s["hit"] | F.coalesce(x["p"] - before <= distance + 1, F.lit(False))).alias("hit"),
         )
 
-    walk = F.sort_array(F.concat(side("left", 0), side("right", 1)))
-    return met.filter(F.aggregate(walk, begin, step, lambda s: s["hit"]))
+    walk = F.sort_array(F.concat(side(left, 0), side(right, 1)))
+    return F.aggregate(walk, begin, step, lambda s: s["hit"])
+
+
+def _near_merge(lists: DataFrame, on_left: Column, on_right: Column, distance: int) -> DataFrame:
+    """The same from position lists."""
+    met = lists.groupBy(*RECORD_KEY, "col").agg(
+        _positions_where(on_left).alias("left"), _positions_where(on_right).alias("right")
+    ).filter((F.size("left") > 0) & (F.size("right") > 0))
+    return met.filter(near_test(F.col("left"), F.col("right"), distance))
 
 
 def _near_records(postings: DataFrame, near: Near) -> DataFrame:
