@@ -227,6 +227,47 @@ BATCH = (
 SELECT query_id, rank, _id, year FROM ranked WHERE rank <= 99"""
 )
 
+TREES = (
+    POST
+    + f""", sentences AS (
+  SELECT item_id, string_split(text, '.') AS parts FROM benchmark
+), numbered AS (
+  SELECT item_id * 1000 + generate_subscripts(parts, 1) - 1 AS query_id, unnest(parts) AS sentence
+  FROM sentences
+), q AS (
+  SELECT query_id, len(tok) AS n, tok[1] AS a, tok[2] AS b, tok[3] AS c, tok[4] AS d,
+    CASE WHEN len(tok) < 4 THEN 9 ELSE query_id % 4 END AS form
+  FROM (SELECT query_id, {_tokens('sentence')} AS tok FROM numbered) WHERE len(tok) > 0
+), holds AS (SELECT DISTINCT _id, term FROM post
+), phrase0 AS (
+  SELECT query_id, p._id FROM q JOIN post p ON p.term = q.a
+    JOIN post r ON r._id = p._id AND r.col = p.col AND r.pos = p.pos + 1 AND r.term = q.b WHERE form = 0
+  UNION SELECT query_id, p._id FROM q JOIN post p ON p.term = q.c
+    JOIN post r ON r._id = p._id AND r.col = p.col AND r.pos = p.pos + 1 AND starts_with(r.term, q.d)
+    WHERE form = 0
+), both1 AS (
+  SELECT query_id, x._id FROM q JOIN holds x ON x.term = q.a JOIN holds y ON y._id = x._id AND y.term = q.b
+  WHERE form = 1
+  EXCEPT SELECT query_id, x._id FROM q JOIN holds x ON x.term = q.c WHERE form = 1
+), near2 AS (
+  SELECT DISTINCT query_id, p._id FROM q JOIN post p ON p.term = q.a
+    JOIN post r ON r._id = p._id AND r.col = p.col AND r.term = q.c AND r.pos <> p.pos
+      AND abs(r.pos - p.pos) <= 4
+    JOIN rec ON rec._id = p._id AND list_contains(rec.labels, 'L-src1') WHERE form = 2
+), field3 AS (
+  SELECT query_id, p._id FROM q JOIN post p ON p.term IN (q.a, q.b) AND p.col = 'title' WHERE form = 3
+  INTERSECT SELECT query_id, x._id FROM q JOIN holds x ON starts_with(x.term, left(q.c, 3)) WHERE form = 3
+), found AS (
+  FROM phrase0 UNION ALL FROM both1 UNION ALL FROM near2 UNION ALL FROM field3
+  UNION ALL SELECT query_id, x._id FROM q JOIN holds x ON x.term = q.a WHERE form = 9
+), ranked AS (
+  SELECT f.query_id, f._id, r.year,
+    row_number() OVER (PARTITION BY f.query_id ORDER BY r.year DESC, r.ord) AS rank
+  FROM found f JOIN rec r ON r._id = f._id
+)
+SELECT query_id, rank, _id, year FROM ranked WHERE rank <= 99"""
+)
+
 RESOLVE = (
     REC
     + """, listing AS (
@@ -435,6 +476,7 @@ def oracle_sql() -> dict[str, str]:
               fullReference, concat(subtitle, ' ', pmid) AS shortPMID, abstract,
               concat('@', citekey) AS citekey, gdrive_id, _id FROM ranked""",
         "search_batch": f"WITH {BATCH}",
+        "search_batch_trees": f"WITH {TREES}",
         "bib_scan": f"""WITH {BIB_SQL} SELECT 'article' AS entrytype, ID, author, title, journal,
             year, volume, pages, pmid, annot, file, 'March' AS month FROM b""",
         "bib_authors": f"""WITH {BIB_NAMES} SELECT myID AS ID, coalesce(n_authors, 0) AS n_authors,

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from citeloom.functions import bibtex as B
 from citeloom.functions import record as R
 from citeloom.operators import facets, files, refresh, search
+from citeloom.functions.tokens import words
 from citeloom.operators.batch import batch_search, typed_queries
+from citeloom.operators.batch_trees import batch_trees
 from citeloom.operators.clauses import InScope, Near, Not, Phrase, Term, row_predicate, typed_text
 from citeloom.operators.normalize import RECORD_COLUMNS, complete_only, normalize, normalize_bib
 from citeloom.operators.normalize import with_defaults
@@ -232,6 +234,46 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_search(asked, stored_postings(spark, sf_dir), stored_vocabulary(spark, sf_dir))
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.posexplode(F.split("text", r"\.")).alias("n", "sentence")
+    )
+    return parts.select((F.col("item_id") * 1000 + F.col("n")).alias("query_id"), "sentence")
+
+
+def search_batch_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of four words or more is a tree over its words a, b, c, d, in turn
+    "a b" OR "c d*"; (a AND b) NOT c; a NEAR/3 c AND a label; (title:a OR title:b) AND c's first
+    three letters. Shorter ones are one word."""
+    w = [f"w[{i}]" for i in range(4)]
+
+    def leaf(step: int, op: str, *terms: str, field: str = "null", distance: str = "null") -> str:
+        pairs = ", ".join(
+            f"named_struct('word', {t.rstrip('*')}, 'is_prefix', {str(t.endswith('*')).lower()})" for t in terms
+        )
+        return (f"named_struct('step', {step}, 'op', '{op}', 'field', cast({field} as string),"
+                f" 'terms', array({pairs}), 'distance', cast({distance} as int))")
+
+    def join(step: int, op: str) -> str:
+        return (f"named_struct('step', {step}, 'op', '{op}', 'field', cast(null as string), 'terms',"
+                " cast(null as array<struct<word:string,is_prefix:boolean>>), 'distance', cast(null as int))")
+
+    a, b, c, d = w
+    forms = [
+        [leaf(0, "phrase", a, b), leaf(1, "phrase", c, d + "*"), join(2, "or")],
+        [leaf(0, "phrase", a), leaf(1, "phrase", b), join(2, "and"), leaf(3, "phrase", c), join(4, "not")],
+        [leaf(0, "near", a, c, distance="3"), leaf(1, "label", "'L-src1'"), join(2, "and")],
+        [leaf(0, "phrase", a, field="'title'"), leaf(1, "phrase", b, field="'title'"), join(2, "or"),
+         leaf(3, "phrase", f"left({c}, 3)*"), join(4, "and")],
+    ]
+    arrays = " ".join(f"when query_id % 4 = {i} then array({', '.join(f)})" for i, f in enumerate(forms))
+    found = _sentences(spark, sf_dir).select("query_id", words(F.col("sentence")).alias("w"))
+    nodes = found.filter("size(w) > 0").selectExpr(
+        "query_id", f"inline(case when size(w) < 4 then array({leaf(0, 'phrase', a)}) {arrays} end)"
+    )
+    return batch_trees(nodes, stored_postings(spark, sf_dir), stored_vocabulary(spark, sf_dir))
+
+
 def _select(*columns) -> Query:
     return lambda spark, sf_dir: records(spark, sf_dir).select(*columns)
 
@@ -385,6 +427,7 @@ def queries() -> dict[str, Query]:
         "search_top_postings_asc": _top_postings(True),
         "search_display": search_display,
         "search_batch": search_batch,
+        "search_batch_trees": search_batch_trees,
         "bib_scan": bib_scan,
         "bib_authors": bib_authors,
         "bib_first_last": _bib("myID", "firstAuthor", "lastAuthor"),
