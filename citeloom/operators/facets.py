@@ -26,20 +26,21 @@ def name_id_pairs(records: DataFrame, names: str, ids: str, *keep: str) -> DataF
     return records.select(*keep, F.inline(zipped).alias("name", "id")).filter(F.col("name") != "")
 
 
-def facet_counts(records: DataFrame, names: str, ids: str) -> DataFrame:
+def facet_counts(records: DataFrame, names: str, ids: str, *by: str) -> DataFrame:
     """Per (name, type): records, and the first seen id with its order keys. Counts of several
-    batches of records may be unioned before ``finish_facet``.
+    batches of records may be unioned before ``finish_facet``; ``by`` counts each value of
+    these columns on its own.
 
     Records come in the order of ``ord``, those without it last, and of their key ``rec``
     where they have one; of equal ones the smaller id is first.
     """
     raw_type = F.col("type")
     rec = F.col("rec") if "rec" in records.columns else F.lit(None).cast("string")
-    pairs = name_id_pairs(records.withColumn("rec", rec), names, ids, "ord", "rec", "type").select(
-        F.struct(F.col("ord").isNull().alias("last"), "ord", "rec", "id").alias("first"),
+    pairs = name_id_pairs(records.withColumn("rec", rec), names, ids, *dict.fromkeys([*by, "ord", "rec", "type"])).select(
+        *by, F.struct(F.col("ord").isNull().alias("last"), "ord", "rec", "id").alias("first"),
         "name", F.when(raw_type != "", R.summary_type(raw_type)).alias("kind"),
     )
-    return pairs.groupBy("name", "kind").agg(*_merged(F.count("*")))
+    return pairs.groupBy(*by, "name", "kind").agg(*_merged(F.count("*")))
 
 
 def _merged(n: Column) -> list[Column]:
@@ -89,10 +90,10 @@ def folder_facet(records: DataFrame) -> DataFrame:
     )
 
 
-def type_facet(records: DataFrame) -> DataFrame:
+def type_facet(records: DataFrame, *by: str) -> DataFrame:
     """Display types with counts; raw types that read the same are merged."""
-    kinds = records.select("ord", F.explode(R.display_types(F.col("type"))).alias("type"))
-    return kinds.groupBy("type").agg(
+    kinds = records.select(*by, "ord", F.explode(R.display_types(F.col("type"))).alias("type"))
+    return kinds.groupBy(*by, "type").agg(
         F.count("*").alias("total"), F.min("ord").alias("first_ord")
     )
 

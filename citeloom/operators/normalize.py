@@ -32,8 +32,9 @@ def with_defaults(library: DataFrame) -> DataFrame:
     )
 
 
-def normalize(library: DataFrame) -> DataFrame:
-    """Drop incomplete records and derive the record table. No shuffle: one projection."""
+def normalize(library: DataFrame, *keep: str) -> DataFrame:
+    """Drop incomplete records and derive the record table; ``keep`` names further columns to
+    carry along. No shuffle: one projection."""
     base = with_defaults(complete_only(library))
     attachments = F.col("attachments")
     step1 = base.withColumns(
@@ -63,7 +64,7 @@ def normalize(library: DataFrame) -> DataFrame:
             "fullReference": full,
         }
     )
-    return step2.select("ord", *RECORD_COLUMNS, *ARRAY_COLUMNS)
+    return step2.select("ord", *RECORD_COLUMNS, *ARRAY_COLUMNS, *keep)
 
 
 def normalize_bib(entries: DataFrame) -> DataFrame:

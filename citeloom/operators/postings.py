@@ -154,9 +154,9 @@ def year_cuts(bands: DataFrame, clause: Clause, limit: int, oldest_first: bool =
     return cuts
 
 
-def with_scopes(words_table: DataFrame, records: DataFrame) -> DataFrame:
+def with_scopes(words_table: DataFrame, records: DataFrame, *by: str) -> DataFrame:
     """The vocabulary with the records of each scope."""
-    found = records.select(F.explode(_scope_terms()).alias("term")).groupBy("term").agg(
+    found = records.select(*by, F.explode(_scope_terms()).alias("term")).groupBy(*by, "term").agg(
         F.count("*").alias("n_occurrences"), F.count("*").alias("n_records")
     )
     return words_table.unionByName(found)
@@ -180,8 +180,8 @@ def write_postings(
     )
 
 
-def vocabulary(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per word: occurrences and records.
+def vocabulary(records: DataFrame, columns: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per word: occurrences and records, for each value of the columns ``by`` on its own.
 
     Counted from the records, where one record's distinct words are known without a
     shuffle; then one row per word and task travels. Counting from the postings would
@@ -196,10 +196,10 @@ def vocabulary(records: DataFrame, columns: list[str] | None = None) -> DataFram
         )
 
     lanes = F.array(lane(1, 0, F.col("every")), lane(0, 1, F.array_distinct("every")))
-    counted = records.select(every.alias("every")).select(F.inline(lanes))
+    counted = records.select(*by, every.alias("every")).select(*by, F.inline(lanes))
     return (
-        counted.select("occurrence", "record", F.explode("w").alias("term"))
-        .groupBy("term")
+        counted.select(*by, "occurrence", "record", F.explode("w").alias("term"))
+        .groupBy(*by, "term")
         .agg(F.sum("occurrence").alias("n_occurrences"), F.sum("record").alias("n_records"))
     )
 

@@ -38,7 +38,7 @@ def build_library(
     found = read(spark, source)
     if library.CORRUPT in found.columns:
         bad = store.write_table(library.rejected(found), draft, "rejected")
-        _refuse(bad, draft.path("rejected"), allow_rejected)
+        refuse(bad, draft.path("rejected"), allow_rejected)
         found = library.accepted(found)
     keyed = postings.keyed(normalize(found))
     records = store.write_table(keyed, draft, "records")
@@ -55,7 +55,7 @@ def build_library(
     return draft.version
 
 
-def _refuse(bad: DataFrame, path: str, allowed: bool) -> None:
+def refuse(bad: DataFrame, path: str, allowed: bool) -> None:
     n = bad.count()
     if n and not allowed:
         raise ValueError(f"{n} pieces of the input are no record, see {path}")
@@ -69,7 +69,7 @@ def build_bib(spark: SparkSession, source: str, root: str, allow_rejected: bool
     """
     draft = store.begin(spark, root)
     bad = store.write_table(bib.rejected(spark, source), draft, "rejected")
-    _refuse(bad, draft.path("rejected"), allow_rejected)
+    refuse(bad, draft.path("rejected"), allow_rejected)
     read = bib.read_entries(spark, source)
     entries = bib.entry_columns(read, bib.all_fields(read))
     store.write_table(normalize_bib(entries), draft, "entries")
