@@ -160,6 +160,13 @@ def _facet(names: str, ids: str, name: str, key: str) -> str:
 
 
 LABEL_FACET = _facet("labelsNamed", "labels", "label", "label_id")
+
+
+def _refreshed(ctes: str) -> str:
+    """Without the records of the folder that the refresh finds empty."""
+    return ctes.replace("WHERE incomplete <> 1", "WHERE incomplete <> 1 AND ord % 8 <> 5")
+
+
 FOLDER_FACET = _facet("foldersNamed", "folders", "folder", "folder_id")
 
 BIB_SQL = (
@@ -491,6 +498,10 @@ def oracle_sql() -> dict[str, str]:
               AS fullRef FROM bib""",
         "resolve_files": f"WITH {RESOLVE}",
         "refresh_changed_files": REFRESH,
+        "refresh_delta_facet": f"""WITH {_refreshed(LABEL_FACET)}
+            SELECT label, total, label_id, summary FROM facet""",
+        "refresh_delta_words": f"""WITH {_refreshed(POST)} SELECT term, count(*) AS n_occurrences,
+            count(DISTINCT _id) AS n_records FROM post GROUP BY term""",
     }
     for name, (ctes, source, condition) in MATCHES.items():
         found[name] = f"WITH {ctes} SELECT _id, year, title FROM {source} WHERE {condition}"

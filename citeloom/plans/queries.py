@@ -20,7 +20,7 @@ from citeloom.operators.postings import (
     band_counts, keyed, matching_records, occurrences, position_lists, scope_lists, vocabulary,
     with_scopes, write_postings, write_vocabulary,
 )
-from citeloom.plans import driver_view
+from citeloom.plans import delta, driver_view
 from citeloom.plans.driver_view import bib_text, table
 from citeloom.session import scratch_dir
 from citeloom.sources import bib, raw
@@ -205,6 +205,42 @@ def refresh_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.changed_files(now, seen)
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> str:
+    """A library of eight folders of files, built when two of them hold an earlier state and one
+    is empty, then refreshed."""
+    every = library(spark, sf_dir).withColumn("b", F.col("ord") % 8)
+
+    def earlier(b: int):
+        return every.filter(F.col("b") == b).withColumn("labelsNamed", F.array(F.lit("draft")))
+
+    def write(path: str) -> None:
+        source, root = f"{path}/in", f"{path}/lib"
+
+        def put(rows: DataFrame, b: int) -> None:
+            rows.drop("b").write.mode("overwrite").json(f"{source}/b={b}")
+
+        every.filter("b not in (3, 5, 7)").write.partitionBy("b").json(source)
+        put(earlier(3), 3)
+        put(earlier(5), 5)
+        delta.refresh_library(spark, source, root)
+        put(every.filter("b = 3"), 3)
+        put(every.filter("b = 7"), 7)
+        put(every.limit(0), 5)
+        delta.refresh_library(spark, source, root)
+
+    return f"{_once(spark, sf_dir, 'refreshed', write)}/lib"
+
+
+def refresh_delta_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facet = delta.open_live(spark, _refreshed(spark, sf_dir), "label_facet")
+    return facet.select("label", "total", "label_id", "summary")
+
+
+def refresh_delta_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words_table = delta.open_live(spark, _refreshed(spark, sf_dir), "vocabulary")
+    return words_table.filter(~F.col("term").startswith("@"))
+
+
 def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of article files, title-named files and page urls as the searched listing."""
     recs = unlabelled(spark, sf_dir).filter("ord % 4 <> 2").withColumn(
@@ -437,5 +473,7 @@ def queries() -> dict[str, Query]:
         ),
         "resolve_files": resolve_files,
         "refresh_changed_files": refresh_changed_files,
+        "refresh_delta_facet": refresh_delta_facet,
+        "refresh_delta_words": refresh_delta_words,
     }
     return found
