@@ -287,7 +287,8 @@ def batch_trees(
     by_year = F.col("year").asc() if oldest_first else F.col("year").desc()
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(by_year, "ord", "rec"))
     top = single.unionByName(passed).withColumn("rank", rank).filter(F.col("rank") <= limit)
-    copies = signed.join(unique, "tree").select("query_id", "rep")
+    # A tree that many queries share is met by many tasks.
+    copies = salted_join(signed, unique, ["tree"], "query_id", 16).select("query_id", "rep")
     return copies.join(top, "rep").select(
         "query_id", F.col("rank").cast("long").alias("rank"), "_id", "year"
     )
