@@ -71,3 +71,30 @@ def test_nothing_to_learn(spark, label):
     rows = quality.score(docs, quality.train(docs, labels)).collect()
     assert [(round(r["score"], 9), r["predicted"]) for r in rows] == [(0.3, 1)] * 2
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_all_pairs_are_fitted():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, quality.N_FEATURES))
+    label = (x[:, 3] + rng.normal(size=300) > 0.3).astype(int)
+    model = quality.fit(x, label)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    pairs = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, z.shape[1])
+    p = 1 / (1 + np.exp(pairs @ model.weights))
+    slope = pairs.T @ p / len(pairs) - 1e-4 * model.weights
+    assert np.abs(slope).max() < 5e-4
+    parts = quality.learn(lambda fold, merge: merge(fold(x[:111], label[:111]), fold(x[111:], label[111:])))
+    np.testing.assert_allclose(parts.weights, model.weights, rtol=1e-9, atol=1e-12)
+    assert abs(parts.cut - model.cut) < 1e-9
+
+
+def test_every_label_teaches(spark):
+    ids = [i for i in range(32_000) if zlib.crc32(str(i).encode()) % 5][:25_000]
+    texts = ["!! || " * (i % 7 + 1) if i % 3 == 0 else f"some words of length {i % 11} " * (i % 5 + 1) for i in ids]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    truth = [int(i % 3 > 0 and i % 50 > 0) for i in ids]
+    labels = spark.createDataFrame(list(zip(ids, truth)), "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x = np.array([quality.features(t.encode()) for t in texts])
+    np.testing.assert_allclose(model.mean, x.mean(axis=0), rtol=1e-9)
+    np.testing.assert_allclose(model.weights, quality.fit(x, np.array(truth)).weights, rtol=1e-5, atol=1e-7)
