@@ -6,7 +6,7 @@ import pytest
 from helpers import library, record, table
 
 from citeloom.operators import search
-from citeloom.operators.batch import batch_search, typed_queries
+from citeloom.operators.batch import batch_search, typed_queries, rows_of
 from citeloom.operators.clauses import And, Term, typed_text
 from citeloom.operators.normalize import normalize
 from citeloom.operators.postings import build_postings, vocabulary
@@ -111,3 +111,17 @@ def test_oldest_first_equal_ids_and_a_named_folder(spark, tmp_path):
         years.setdefault(query_id, []).append(int(year) - 2000)
     assert years == {1: [1, 2, 4, 5, 7, 8], 2: [0, 3, 6]}
     assert (tmp_path / "work").exists()
+
+
+def test_prefixes_meet_the_postings_as_asked(spark):
+    rows = [(t, "title", f"r{i}") for i, t in enumerate(["ab", "abc", "b", "", "é1", "abé"])]
+    lists = spark.createDataFrame(rows, "term string, col string, rec string")
+    atoms = spark.createDataFrame(
+        [(1, "ab", False), (2, "ab", True), (3, "a", True), (4, "é", True), (5, "abcd", True), (6, "abé", True)],
+        "atom long, word string, is_prefix boolean",
+    )
+    got = sorted((r["atom"], r["term"]) for r in rows_of(lists, atoms, 2).collect())
+    assert got == [
+        (1, "ab"), (2, "ab"), (2, "abc"), (2, "abé"), (3, "ab"), (3, "abc"), (3, "abé"), (4, "é1"), (6, "abé"),
+    ]
+    assert rows_of(lists, atoms.filter("atom = 1"), 2).count() == 1
