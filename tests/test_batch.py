@@ -120,8 +120,15 @@ def test_prefixes_meet_the_postings_as_asked(spark):
         [(1, "ab", False), (2, "ab", True), (3, "a", True), (4, "é", True), (5, "abcd", True), (6, "abé", True)],
         "atom long, word string, is_prefix boolean",
     )
-    got = sorted((r["atom"], r["term"]) for r in rows_of(lists, atoms, 2).collect())
-    assert got == [
-        (1, "ab"), (2, "ab"), (2, "abc"), (2, "abé"), (3, "ab"), (3, "abc"), (3, "abé"), (4, "é1"), (6, "abé"),
-    ]
-    assert rows_of(lists, atoms.filter("atom = 1"), 2).count() == 1
+    known = [t for t, _, _ in rows]
+    terms = spark.createDataFrame(
+        [(a["atom"], t) for a in atoms.collect() for t in known
+         if t == a["word"] or a["is_prefix"] and t.startswith(a["word"])], "atom long, term string",
+    )
+    for most in (0, 1, 2, 300):
+        got = sorted((r["atom"], r["term"]) for r in rows_of(lists, atoms, terms, 2, most).collect())
+        assert got == [
+            (1, "ab"), (2, "ab"), (2, "abc"), (2, "abé"), (3, "ab"), (3, "abc"), (3, "abé"), (4, "é1"), (6, "abé"),
+        ]
+    narrow = rows_of(lists, atoms, terms, 2, 1)._jdf.queryExecution().analyzed().toString()
+    assert "Generate" in narrow

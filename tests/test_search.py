@@ -382,3 +382,23 @@ def test_bands_stop_early_with_the_same_hits(spark, tmp_path, oldest_first):
     read = lists.filter((F.col("term") == "hot") & near).count()
     assert 80 <= read < 250  # of 2500 rows, however many there are
     assert postings.year_cuts(bands, Term("hot") & Term("cold"), 20) == []
+
+
+def test_a_record_lies_in_one_segment(spark, tmp_path):
+    rows = [record(f"r{i}", title=f"hot word{i}", labels=["L", "L", None], folders=["F"] if i % 2 else None)
+            for i in range(200)]
+    path = str(tmp_path / "recs")
+    keyed(normalize(library(spark, *rows))).write.parquet(path)
+    recs = spark.read.parquet(path)
+    want = postings.position_lists(recs).unionByName(postings.scope_lists(recs))
+    counts = postings.with_scopes(vocabulary(recs), recs)
+    postings.write_lists(recs, str(tmp_path / "p"), 200, rows_per_file=10)
+    lists = spark.read.parquet(str(tmp_path / "p"))
+    assert lists.schema.names == want.schema.names
+    assert lists.exceptAll(want).isEmpty() and want.exceptAll(lists).isEmpty()
+    placed = lists.select("rec", F.input_file_name().alias("file")).distinct()
+    assert placed.count() == 200 and placed.select("file").distinct().count() > 10
+    plan = postings.record_lists(recs.repartition(20, "rec"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    narrow = postings.band_counts(lists, 150, vocabulary=counts)
+    assert sorted(table(narrow, "term", "n_rows")) == sorted(table(postings.band_counts(lists, 150), "term", "n_rows"))
