@@ -6,6 +6,7 @@ import pytest
 from helpers import library, record, table
 
 from citeloom import session
+from citeloom.operators import batch_trees as trees_module
 from citeloom.operators import search
 from citeloom.operators.batch_trees import NODES, batch_trees, tree_rows
 from citeloom.operators.clauses import And, InScope, Near, Not, Or, Phrase, Term
@@ -92,6 +93,42 @@ def test_random_trees_equal_single_searches(spark, monkeypatch):
     recs.unpersist()
 
 
+@pytest.mark.parametrize("oldest_first", [False, True])
+def test_rounds_of_years_equal_single_searches(spark, monkeypatch, oldest_first):
+    monkeypatch.setattr(trees_module, "WHOLE_ROWS", 0)
+    monkeypatch.setattr(trees_module, "MOST_TERMS", 0)
+    monkeypatch.setattr(trees_module, "NAMED_ROWS", 0)
+    pick = random.Random(9)
+    recs = some_records(spark, pick).cache()
+    trees = [some_tree(pick, i % 4) for i in range(24)] + [Or(Phrase(("a", "zz")), Phrase(("hot", "abc")))]
+    got = run(spark, recs, asked(spark, trees), limit=2, oldest_first=oldest_first)
+    for i, tree in enumerate(trees):
+        single = search.search(recs, tree, limit=2, oldest_first=oldest_first)
+        assert got.get(i, []) == [r[0] for r in table(single, "_id")], tree
+    recs.unpersist()
+
+
+def test_a_tree_with_enough_matches_reads_no_more_years(spark, monkeypatch):
+    monkeypatch.setattr(trees_module, "WHOLE_ROWS", 0, raising=False)
+    recs = normalize(library(spark, *[
+        record(f"r{i}", title="gene ex", published={"year": str(1900 + i % 40)}) for i in range(400)
+    ]))
+    candidates, plain = [], trees_module.stored
+
+    def spy(rows, name, folder=None):
+        written = plain(rows, name, folder)
+        if name == "candidates":
+            candidates.append(written.count())
+        return written
+
+    monkeypatch.setattr(trees_module, "stored", spy)
+    nodes = asked(spark, [Phrase(("gene", "ex")), Phrase(("gene", "none")) | Phrase(("ex", "gene"))])
+    got = run(spark, recs, nodes, limit=2)
+    assert got == {0: ["r39", "r79"]}
+    # The first tree takes one year of ten records, the other one all 400.
+    assert sum(candidates) == 410
+
+
 def test_limits_order_and_equal_ids(spark):
     recs = normalize(library(spark, *[
         record("same" if i % 2 else None, title="gene ex", published={"year": str(2000 + i)}) for i in range(6)
